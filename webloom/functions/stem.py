@@ -1,10 +1,11 @@
 """The English stemmer of the full-text index, as built-in column functions.
 
 This is the published English ("Porter2") suffix-stripping algorithm as one
-column expression of regular expressions, so it stays in the JVM.  Each step is
-bound to a variable: chained projections would be substituted into each other
-when a filter on the stem is pushed down, and grow without bound.  Words with a
-digit are left alone, as the index does not treat them as English.
+column expression, so it stays in the JVM.  Each step is bound to a variable:
+chained projections would be substituted into each other when a filter on the
+stem is pushed down, and grow without bound.  Endings are compared as bytes
+where that will do, which is several times faster than a regular expression.
+Words with a digit are left alone, as the index does not treat them as English.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ NON_VOWEL = "[^aeiouy]"
 REGION_1 = "^(gener|commun|arsen|.*?[aeiouy][^aeiouy])"
 REGION_2 = "^.*?[aeiouy][^aeiouy]"
 SHORT_END = "(^[aeiouy][^aeiouy]|[^aeiouy][aeiouy][^aeiouywxY])$"
-DOUBLE_END = "(bb|dd|ff|gg|mm|nn|pp|rr|tt)$"
+DOUBLES = ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")
+LI_BEFORE = "cdeghkmnrt"
 SPECIAL_WORDS = {
     "skis": "ski",
     "skies": "sky",
@@ -86,9 +88,20 @@ STEP_4 = (
 # ---------------------------------------------------------------------------
 
 
-def _longest(suffixes) -> str:
-    """Pattern of the longest of ``suffixes`` at the end: the leftmost match wins."""
-    return f"({'|'.join(sorted(suffixes, key=lambda s: (-len(s), s)))})$"
+def _ends(word: Column, endings) -> Column:
+    """Whether ``word`` ends with one of ``endings``."""
+    hit = F.lit(False)
+    for ending in endings:
+        hit = hit | word.endswith(ending)
+    return hit
+
+
+def _longest(word: Column, suffixes) -> Column:
+    """The longest of ``suffixes`` that ``word`` ends with, or an empty text."""
+    found = F
+    for suffix in sorted(suffixes, key=lambda s: (-len(s), s)):
+        found = found.when(word.endswith(suffix), F.lit(suffix))
+    return found.otherwise(F.lit(""))
 
 
 def _table(mapping: dict[str, str]) -> Column:
@@ -112,14 +125,14 @@ def _by_suffix(word: Column, suffixes, body) -> Column:
             let(_cut(word, F.length(suf)), lambda rest: F.coalesce(body(suf, rest), word))
         )
 
-    return let(F.regexp_extract(word, _longest(suffixes), 1), split)
+    return let(_longest(word, suffixes), split)
 
 
 def _plural(w: Column, r1: Column, r2: Column) -> Column:
     return (
         F.when(w.endswith("sses"), _cut(w, 2))
-        .when(w.rlike("(ied|ies)$"), F.when(F.length(w) > 4, _cut(w, 2)).otherwise(_cut(w, 1)))
-        .when(w.rlike("(us|ss)$"), w)
+        .when(_ends(w, ("ied", "ies")), F.when(F.length(w) > 4, _cut(w, 2)).otherwise(_cut(w, 1)))
+        .when(~w.endswith("s") | _ends(w, ("us", "ss")), w)
         .when(w.rlike(f"{VOWEL}.+s$"), _cut(w, 1))
         .otherwise(w)
     )
@@ -128,8 +141,8 @@ def _plural(w: Column, r1: Column, r2: Column) -> Column:
 def _participle(w: Column, r1: Column, r2: Column) -> Column:
     def strip(suf: Column, rest: Column) -> Column:
         repaired = (
-            F.when(rest.rlike("(at|bl|iz)$"), F.concat(rest, F.lit("e")))
-            .when(rest.rlike(DOUBLE_END), _cut(rest, 1))
+            F.when(_ends(rest, ("at", "bl", "iz")), F.concat(rest, F.lit("e")))
+            .when(_ends(rest, DOUBLES), _cut(rest, 1))
             .when((r1 >= F.length(rest)) & rest.rlike(SHORT_END), F.concat(rest, F.lit("e")))
             .otherwise(rest)
         )
@@ -141,7 +154,7 @@ def _participle(w: Column, r1: Column, r2: Column) -> Column:
 
 
 def _final_y(w: Column, r1: Column, r2: Column) -> Column:
-    return F.when(w.rlike(f"^.+{NON_VOWEL}[yY]$"), F.concat(_cut(w, 1), F.lit("i"))).otherwise(w)
+    return F.when(_ends(w, "yY") & w.rlike(f"^.+{NON_VOWEL}[yY]$"), F.concat(_cut(w, 1), F.lit("i"))).otherwise(w)
 
 
 def _step_2(w: Column, r1: Column, r2: Column) -> Column:
@@ -149,7 +162,7 @@ def _step_2(w: Column, r1: Column, r2: Column) -> Column:
         allowed = (
             (F.length(rest) >= r1)
             & ((suf != "ogi") | rest.endswith("l"))
-            & ((suf != "li") | rest.rlike("[cdeghkmnrt]$"))
+            & ((suf != "li") | _ends(rest, LI_BEFORE))
         )
         return F.when(allowed, F.concat(rest, _table(STEP_2)[suf]))
 
@@ -166,7 +179,7 @@ def _step_3(w: Column, r1: Column, r2: Column) -> Column:
 
 def _step_4(w: Column, r1: Column, r2: Column) -> Column:
     def drop(suf: Column, rest: Column) -> Column:
-        return F.when((F.length(rest) >= r2) & ((suf != "ion") | rest.rlike("[st]$")), rest)
+        return F.when((F.length(rest) >= r2) & ((suf != "ion") | _ends(rest, "st")), rest)
 
     return _by_suffix(w, STEP_4, drop)
 

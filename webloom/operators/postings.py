@@ -14,7 +14,9 @@ from webloom.functions.stem import stem
 from webloom.functions.text import STOP_WORDS, search_text, tokens
 
 
-def build_postings(docs: DataFrame, english: bool = True, clustered: bool = False) -> DataFrame:
+def build_postings(
+    docs: DataFrame, english: bool = True, clustered: bool = False, partitions: int | None = None
+) -> DataFrame:
     """Postings ``(link_id, term, tf, positions)`` of ``docs(link_id, title, content)``.
 
     With ``english`` stop words are dropped and terms are stems, otherwise all
@@ -25,10 +27,17 @@ def build_postings(docs: DataFrame, english: bool = True, clustered: bool = Fals
     every word.  ``clustered`` tells that ``docs`` is partitioned by id already
     (a bucketed table), and then nothing is shuffled.  Stemming runs on the
     distinct words of each document, after the first aggregate.
+
+    ``partitions`` defaults to the session's shuffle partitions.  The number is
+    kept: adaptive execution would join partitions by the size of the texts,
+    while the work on them is many times that.
     """
     texts = docs.select("link_id", search_text(F.col("title"), F.col("content")).alias("_text"))
     if not clustered:
-        texts = texts.repartition("link_id")
+        spark = docs.sparkSession
+        texts = texts.repartition(
+            partitions or int(spark.conf.get("spark.sql.shuffle.partitions")), "link_id"
+        )
     found = texts.select("link_id", F.posexplode(tokens(F.col("_text"))).alias("_pos", "_word"))
     if english:
         found = found.where(~F.col("_word").isin(*STOP_WORDS))
@@ -41,7 +50,7 @@ def build_postings(docs: DataFrame, english: bool = True, clustered: bool = Fals
         "link_id",
         F.col("_word").alias("term"),
         F.size("_positions").alias("tf"),
-        F.array_sort("_positions").alias("positions"),
+        F.sort_array("_positions").alias("positions"),
     )
 
 

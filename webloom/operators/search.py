@@ -82,6 +82,10 @@ def read_phrase(docs: DataFrame, text: str, english: bool = True) -> list[list[O
     return [[Operand(terms)]] if terms else []
 
 
+def _shift(positions: Column, distance: int) -> Column:
+    return F.transform(positions, lambda p: p - distance)
+
+
 def _holds(operand: Operand, index: dict[str, int]) -> Column:
     """Whether a document with columns ``tf_i`` and ``pos_i`` has the operand."""
     if len(operand.terms) == 1:
@@ -90,7 +94,7 @@ def _holds(operand: Operand, index: dict[str, int]) -> Column:
         # Where the phrase would have to start for each term; all must agree.
         starts = None
         for term, distance in operand.terms:
-            shifted = F.transform(F.col(f"pos_{index[term]}"), lambda p, d=distance: p - d)
+            shifted = _shift(F.col(f"pos_{index[term]}"), distance)
             starts = shifted if starts is None else F.array_intersect(starts, shifted)
         found = F.coalesce(F.size(starts) > 0, F.lit(False))
     return ~found if operand.negated else found

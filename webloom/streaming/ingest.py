@@ -8,7 +8,8 @@ rarely as one likes, with the same result (see ``plans.crawl``).
 
 from __future__ import annotations
 
-from datetime import datetime
+from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,7 +55,11 @@ def write_delta(delta: CrawlDelta, root: str, batch_id: int) -> None:
 
 
 def crawl_sink(
-    pages: DataFrame, root: str, checkpoint: str, clock=datetime.utcnow, interval: str | None = CRAWL_INTERVAL
+    pages: DataFrame,
+    root: str,
+    checkpoint: str,
+    clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc),
+    interval: str | None = CRAWL_INTERVAL,
 ) -> DataStreamWriter:
     """A stream of fetched pages into deltas below ``root``.
 
@@ -65,12 +70,33 @@ def crawl_sink(
 
     def store(batch: DataFrame, batch_id: int) -> None:
         path = f"{root}/parsed/batch_id={batch_id}"
-        extract_pages(batch).write.mode("overwrite").parquet(path)
-        crawled = batch.sparkSession.read.parquet(path)
+        parsed = extract_pages(batch)
+        parsed.write.mode("overwrite").parquet(path)
+        crawled = batch.sparkSession.read.schema(parsed.schema).parquet(path)
         write_delta(crawl_delta(crawled, clock()), root, batch_id)
 
+    return _sink(pages.writeStream.foreachBatch(store), checkpoint, interval)
+
+
+def link_sink(
+    latest: DataFrame, root: str, checkpoint: str, interval: str | None = CRAWL_INTERVAL
+) -> DataStreamWriter:
+    """The urls whose latest time a micro-batch changed, as link deltas below ``root``."""
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/links/batch_id={batch_id}")
+
+    return _sink(latest.writeStream.outputMode("update").foreachBatch(store), checkpoint, interval)
+
+
+def _sink(writer: DataStreamWriter, checkpoint: str, interval: str | None) -> DataStreamWriter:
     trigger = {"availableNow": True} if interval is None else {"processingTime": interval}
-    return pages.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(**trigger)
+    return writer.option("checkpointLocation", checkpoint).trigger(**trigger)
+
+
+def read_link_deltas(spark: SparkSession, root: str) -> DataFrame:
+    """Stored link deltas, ready for ``upsert_links``."""
+    return spark.read.schema(DELTA_SCHEMAS["links"]).parquet(f"{root}/links")
 
 
 def read_deltas(spark: SparkSession, root: str) -> CrawlDelta:
