@@ -6,9 +6,12 @@ their message along their out-edges, and it is delivered in the next superstep.
 
 Physical design, per superstep one job of two stages:
 
+* Vertices get a number each, and edges and messages carry these 8 bytes in
+  place of ids several times as long.  Encoding the edges costs two joins,
+  which also find edges of unknown vertices, and is paid back by the supersteps.
 * Edges are partitioned and sorted by source once, written to the shared
   folder (``checkpoint``) and cached.  They are never shuffled again.
-* Vertices stay partitioned by id.  Messages are summed per task before they
+* Vertices stay partitioned by number.  Messages are summed per task before they
   are shuffled, so a hub that receives a third of all messages costs one row
   per task.
 * A source with more out-edges than ``edges_per_block`` is split into blocks,
@@ -17,7 +20,7 @@ Physical design, per superstep one job of two stages:
   of them by the choice of the block size.
 * The new vertices are checkpointed by the same job that computes them.  That
   ends the lineage of the superstep, so a lost executor costs one superstep at
-  most, and it keeps the plan of the next one small.  The partitioning by id
+  most, and it keeps the plan of the next one small.  The partitioning
   survives, so the join with the messages shuffles the messages alone.
 * Only one row of metrics comes back to the driver.  It is observed while the
   vertices are written, not computed by a second pass over them.
@@ -73,16 +76,9 @@ def unknown_destinations(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
     Distinct destinations are compared first, so a hub is looked up once.
     """
-    return _from_known(vertices, edges.join(_missing(vertices, edges), "dst", "left_semi"))
-
-
-def _missing(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    ids = vertices.select(F.col("id").alias("dst"))
-    return edges.select("dst").distinct().join(ids, "dst", "left_anti")
-
-
-def _from_known(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    return edges.join(vertices.select(F.col("id").alias("src")), "src", "left_semi")
+    ids = vertices.select("id")
+    missing = edges.select("dst").distinct().join(ids.withColumnRenamed("id", "dst"), "dst", "left_anti")
+    return edges.join(missing, "dst", "left_semi").join(ids.withColumnRenamed("id", "src"), "src", "left_semi")
 
 
 def out_degrees(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -115,43 +111,55 @@ class _Layout:
         partitions: int | None,
         edges_per_block: int,
     ) -> None:
-        given = edges.persist()  # read by the check, the degrees and the layout
-        ids = _single_value(vertices)
-        if not _missing(ids, edges).isEmpty():
-            if on_unknown_dst == "drop":
-                edges = edges.join(ids.select(F.col("id").alias("dst")), "dst", "left_semi")
-            elif not unknown_destinations(ids, edges).isEmpty():
-                raise UnknownDestination("an edge leads to an unknown vertex")
-        base = out_degrees(ids, edges).persist()
-        size = base.agg(
-            F.count(F.lit(1)).alias("v"), F.sum("out_degree").alias("e"), F.max("out_degree").alias("hub")
+        # The numbers are not repeatable, so they are written before any use.
+        self.keyed = _single_value(vertices).withColumn("_key", F.monotonically_increasing_id()).checkpoint()
+        # Hubs make these joins uneven; adaptive execution splits their partitions.
+        encoded = (
+            edges.join(self.keyed.select(F.col("id").alias("src"), F.col("_key").alias("_src")), "src")
+            .join(self.keyed.select(F.col("id").alias("dst"), F.col("_key").alias("_dst")), "dst", "left")
+            .drop("src", "dst")
+            .persist()
+        )
+        counted = encoded.agg(
+            F.count(F.lit(1)).alias("all"), F.count_if(F.col("_dst").isNull()).alias("lost")
         ).first()
-        self.vertex_count, edge_count, hub = size["v"], size["e"] or 0, size["hub"] or 0
+        if counted["lost"] and on_unknown_dst == "error":
+            encoded.unpersist()
+            raise UnknownDestination(f"{counted['lost']} edges lead to unknown vertices")
+        valid = encoded.where(F.col("_dst").isNotNull()) if counted["lost"] else encoded
+        degrees = valid.groupBy(F.col("_src").alias("_key")).agg(F.count(F.lit(1)).alias("out_degree"))
+        base = (
+            self.keyed.join(degrees, "_key", "left")
+            .withColumn("out_degree", F.coalesce("out_degree", F.lit(0)))
+            .persist()
+        )
+        size = base.agg(F.count(F.lit(1)).alias("v"), F.max("out_degree").alias("hub")).first()
+        self.vertex_count, edge_count, hub = size["v"], counted["all"], size["hub"] or 0
         rows = max(self.vertex_count, edge_count)
         self.partitions = partitions or max(
             spark.sparkContext.defaultParallelism, math.ceil(rows / EDGES_PER_PARTITION)
         )
         self.block = max(edges_per_block, math.ceil(edge_count / MAX_BLOCKED_SOURCES))
         self.blocked = hub > self.block
-        keys = ["src"]
+        keys = ["_src"]
         if self.blocked:
             hubs = base.where(F.col("out_degree") > self.block).select(
-                F.col("id").alias("src"), self.blocks().alias("_blocks")
+                F.col("_key").alias("_src"), self.blocks().alias("_blocks")
             )
-            columns = [c for c in edges.columns if c != "src"]
-            edges = (
-                edges.join(F.broadcast(hubs), "src", "left")
+            columns = [c for c in valid.columns if c != "_src"]
+            valid = (
+                valid.join(F.broadcast(hubs), "_src", "left")
                 .withColumn("_block", F.coalesce(F.pmod(F.xxhash64(*columns), "_blocks"), F.lit(0)))
                 .drop("_blocks")
             )
             keys.append("_block")
         with planning(spark, self.settings()):
             self.edges = (
-                edges.repartition(self.partitions, *keys).sortWithinPartitions(*keys).checkpoint().persist()
+                valid.repartition(self.partitions, *keys).sortWithinPartitions(*keys).checkpoint().persist()
             )
-            self.vertices = base.repartition(self.partitions, "id").checkpoint()
+            self.vertices = base.repartition(self.partitions, "_key").checkpoint()
         base.unpersist()
-        given.unpersist()
+        encoded.unpersist()
 
     def release(self) -> None:
         self.edges.unpersist()
@@ -166,15 +174,20 @@ class _Layout:
         return {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": self.partitions}
 
     def messages(self, senders: DataFrame, message: Column) -> DataFrame:
-        """The messages the out-edges carry, as ``(dst, msg)``."""
+        """The messages the out-edges carry, as ``(_dst, msg)``."""
+        same = F.col("_key") == F.col("_src")
         if self.blocked:
-            senders = senders.withColumn("_block", F.explode(F.sequence(F.lit(0), self.blocks() - 1)))
-            joined = senders.join(
-                self.edges, (senders["id"] == F.col("src")) & (senders["_block"] == self.edges["_block"])
-            )
-        else:
-            joined = senders.join(self.edges, senders["id"] == F.col("src"))
-        return joined.select("dst", message.alias("msg"))
+            senders = senders.withColumn("_part", F.explode(F.sequence(F.lit(0), self.blocks() - 1)))
+            same = same & (F.col("_part") == F.col("_block"))
+        return senders.join(self.edges, same).select("_dst", message.alias("msg"))
+
+    def addressed(self, sent: DataFrame, on_unknown_dst: str) -> DataFrame:
+        """V6: messages ``(dst, msg)`` to given ids, as ``(_dst, msg)``."""
+        ids = self.keyed.select(F.col("id").alias("dst"), F.col("_key").alias("_dst"))
+        found = sent.select("dst", "msg").join(ids, "dst", "left").select("_dst", "msg")
+        if on_unknown_dst == "error" and not found.where(F.col("_dst").isNull()).isEmpty():
+            raise UnknownDestination("a message was sent to an unknown vertex")
+        return found.where(F.col("_dst").isNotNull())
 
 
 def run_vertex_program(
@@ -225,26 +238,28 @@ def run_vertex_program(
     globals_: dict[str, float] = {"vertex_count": layout.vertex_count, "active": layout.vertex_count}
     history: list[dict[str, float]] = []
     step = first_step
-    with planning(spark, layout.settings()):
-        while layout.vertex_count and (max_steps is None or len(history) < max_steps):
-            if pre_step:
-                pre_step(step, globals_)
-            inbox = _inbox(layout, state, message, combine, send, step, on_unknown_dst) if history else None
-            state, metrics = _superstep(state, inbox, values, update, aggregates, halt, step, globals_)
-            for name in running:
-                if name in metrics or name in globals_:
-                    metrics[name] = (globals_.get(name) or 0) + (metrics.get(name) or 0)
-            globals_.update(metrics)
-            history.append({"superstep": step, **metrics})
-            step += 1
-            if post_step:
-                post_step(step - 1, globals_)
-            if keep_running is None:
-                if not globals_["active"]:
+    try:
+        with planning(spark, layout.settings()):
+            while layout.vertex_count and (max_steps is None or len(history) < max_steps):
+                if pre_step:
+                    pre_step(step, globals_)
+                inbox = _inbox(layout, state, message, combine, send, step, on_unknown_dst) if history else None
+                state, metrics = _superstep(state, inbox, values, update, aggregates, halt, step, globals_)
+                for name in running:
+                    if name in metrics or name in globals_:
+                        metrics[name] = (globals_.get(name) or 0) + (metrics.get(name) or 0)
+                globals_.update(metrics)
+                history.append({"superstep": step, **metrics})
+                step += 1
+                if post_step:
+                    post_step(step - 1, globals_)
+                if keep_running is None:
+                    if not globals_["active"]:
+                        break
+                elif not keep_running(step - 1, globals_):
                     break
-            elif not keep_running(step - 1, globals_):
-                break
-    layout.release()
+    finally:
+        layout.release()
     return VertexResult(state.select("id", "out_degree", *values), step - 1, history)
 
 
@@ -261,15 +276,9 @@ def _inbox(
     senders = state.where("_ran")
     sent = layout.messages(senders, message).where(F.col("msg").isNotNull())
     if send:
-        extra = send(step - 1, senders.drop("_active", "_ran")).select("dst", "msg")
-        if on_unknown_dst == "error":
-            strays = extra.select("dst").distinct().join(
-                state.select("id"), F.col("dst") == F.col("id"), "left_anti"
-            )
-            if not strays.isEmpty():
-                raise UnknownDestination("a message was sent to an unknown vertex")
-        sent = sent.unionByName(extra)
-    return sent.groupBy("dst").agg(combine("msg").alias("msg"))
+        extra = send(step - 1, senders.drop("_key", "_active", "_ran"))
+        sent = sent.unionByName(layout.addressed(extra, on_unknown_dst))
+    return sent.groupBy("_dst").agg(combine("msg").alias("msg"))
 
 
 def _superstep(
@@ -286,7 +295,7 @@ def _superstep(
         # The type does not matter: no message is there to be read.
         delivered = state.withColumn("msg", F.lit(None).cast("double"))
     else:
-        delivered = state.join(inbox, F.col("id") == F.col("dst"), "left").drop("dst")
+        delivered = state.join(inbox, F.col("_key") == F.col("_dst"), "left").drop("_dst")
     runs = F.col("_active") | F.col("msg").isNotNull()
     new = dict(update(step, globals_))
     unknown = set(new) - set(values)
@@ -294,6 +303,7 @@ def _superstep(
         raise ValueError(f"update sets columns that no vertex has: {sorted(unknown)}")
     sleeps = halt(step, globals_) if halt else F.lit(False)
     next_state = delivered.select(
+        "_key",
         "id",
         "out_degree",
         *[F.when(runs, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in values],
