@@ -158,6 +158,19 @@ def test_stored_postings_give_the_same_and_prune(spark, corpus, tmp_path):
     assert "In(term, [fox,lazi])" in plan and "positions" not in plan.split("ReadSchema")[1].split("\n")[0]
 
 
+def test_a_page_is_fetched_by_pushed_ids(spark, corpus, tmp_path):
+    table, postings = corpus
+    path = str(tmp_path / "docs")
+    table.write.parquet(path)
+    stored = spark.read.schema(DOCUMENT).parquet(path)
+    page = search.search(stored, postings, "cat or lazy").page
+    assert [r.link_id for r in page.collect()] == ["d1", "d4"]
+    assert "In(link_id, [d1,d4])" in page._jdf.queryExecution().executedPlan().toString()
+    for bad in ({"limit": 0}, {"limit": 10**6}, {"offset": -1}):
+        with pytest.raises(ValueError):
+            search.match_all(table, **bad)
+
+
 def test_results_page(corpus):
     table, postings = corpus
     page = results.search_results(table, postings, "dog", results_per_page=2)

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from webloom.functions.urls import is_web_url, normalise_url, parse_uuid, resolve_url, uuid_of
 from webloom.operators import partitioning, scans, upserts
+from webloom.operators.skew import lookup_join
+from webloom.session import planning
 from webloom.schemas import EDGE, LINK, MAX_ID, NEVER, NIL_ID
 from webloom.sources.pages import extract_pages, rejected_submissions, submitted_links
 
@@ -205,3 +207,22 @@ def test_extract_pages(spark):
     assert row.url == "http://h.x/d/p" and row.title == "A & B"
     assert row.found_urls == ["http://h.x/no", "http://h.x/one", "http://h.x/d/two"]
     assert "var" not in row.content and "One" in row.content and row.content.endswith("<b> &lt;")
+
+
+def test_a_hub_is_split_and_nothing_is_lost(spark):
+    """Two thirds of the rows share a key; no task gets much more than its share."""
+    rows = spark.range(60000).select(
+        F.when(F.col("id") % 3 > 0, F.lit("hub")).otherwise(F.concat(F.lit("s"), F.col("id"))).alias("src"),
+        F.concat(F.lit("d"), F.col("id")).alias("dst"),
+    )
+    table = rows.where("src <> 's3'").groupBy(F.col("src").alias("_key")).agg(F.max("dst").alias("best"))
+    with planning(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}):
+        for how, want in (("left_semi", 59999), ("left_anti", 1), ("inner", 59999), ("left", 60000)):
+            joined = lookup_join(rows, table, "src", how, rows_per_task=1000)
+            assert joined.count() == want, how
+            plain = rows.join(table, rows["src"] == table["_key"], how).drop("_key")
+            assert joined.exceptAll(plain).count() == 0, how
+        sizes = joined.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert sizes < 60000 / 3
+    limited = lookup_join(rows, table, "src", "left_semi", F.col("dst") == F.col("best"), 1000)
+    assert limited.count() == table.count()

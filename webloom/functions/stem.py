@@ -97,10 +97,16 @@ def _ends(word: Column, endings) -> Column:
 
 
 def _longest(word: Column, suffixes) -> Column:
-    """The longest of ``suffixes`` that ``word`` ends with, or an empty text."""
+    """The longest of ``suffixes`` that ``word`` ends with, or an empty text.
+
+    The last letter is looked at first, so most suffixes are never compared.
+    """
     found = F
-    for suffix in sorted(suffixes, key=lambda s: (-len(s), s)):
-        found = found.when(word.endswith(suffix), F.lit(suffix))
+    for last in sorted({s[-1] for s in suffixes}):
+        same = F
+        for suffix in sorted((s for s in suffixes if s[-1] == last), key=lambda s: (-len(s), s)):
+            same = same.when(word.endswith(suffix), F.lit(suffix))
+        found = found.when(word.endswith(last), same.otherwise(F.lit("")))
     return found.otherwise(F.lit(""))
 
 
@@ -113,8 +119,8 @@ def _cut(word: Column, n: Column | int) -> Column:
 
 
 def _region(pattern: str, text: Column) -> Column:
-    found = F.length(F.regexp_extract(text, pattern, 0))
-    return F.when(found > 0, found).otherwise(F.length(text))
+    """Length of what ``pattern`` matches at the start, of the whole text if nothing."""
+    return F.length(F.regexp_extract(text, f"{pattern}|^.*", 0))
 
 
 def _by_suffix(word: Column, suffixes, body) -> Column:
@@ -220,7 +226,9 @@ def stem(word: Column) -> Column:
             ),
         )
 
-    marked = F.regexp_replace(F.regexp_replace(word, "^y", "Y"), f"({VOWEL})y", "$1Y")
+    marked = F.when(
+        word.contains("y"), F.regexp_replace(F.regexp_replace(word, "^y", "Y"), f"({VOWEL})y", "$1Y")
+    ).otherwise(word)
     return (
         F.when((F.length(word) <= 2) | word.rlike(r"\p{N}"), word)
         .when(word.isin(*SPECIAL_WORDS), _table(SPECIAL_WORDS)[word])

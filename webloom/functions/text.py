@@ -7,6 +7,7 @@ with built-in functions, so none of it shuffles.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,13 +42,14 @@ STOP_WORDS = tuple(
 # ---------------------------------------------------------------------------
 
 
-def let(value: Column, body) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once.
 
     Inside a lambda Spark does not share repeated sub-expressions, so a value
-    used twice there is bound to a variable first.
+    used twice there is bound to a variable first: it is the start value of an
+    aggregate over no elements, whose final step is ``body``.
     """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return F.aggregate(F.array().cast("array<int>"), value, lambda bound, _: bound, body)
 
 
 def search_text(title: Column, content: Column) -> Column:
@@ -89,12 +91,27 @@ def summary_snippets(content: Column, terms: list[str], max_length: int = MAX_SU
     spent; the sentence that does not fit is cut and ends the choice.  At most
     ``max_length`` sentences are ever held, as each costs a character or more.
     """
+    wanted = sorted({t.lower() for t in terms})
+    numbered = F.transform(
+        sentences(content), lambda s, i: F.struct(i.alias("ordinal"), s.alias("text"))
+    )
+
+    def may_match(s: Column) -> Column:
+        # Most sentences hold no term at all; splitting them into words is dear.
+        low = F.lower(s["text"])
+        hit = F.lit(False)
+        for term in wanted:
+            hit = hit | low.contains(term)
+        return hit
+
     # Rounding makes ratios that are equal as fractions equal as doubles too.
     scored = F.filter(
         F.transform(
-            sentences(content),
-            lambda s, i: F.struct(
-                (-F.round(match_ratio(s, terms), 9)).alias("neg_ratio"), i.alias("ordinal"), s.alias("text")
+            F.filter(numbered, may_match),
+            lambda s: F.struct(
+                (-F.round(match_ratio(s["text"], terms), 9)).alias("neg_ratio"),
+                s["ordinal"].alias("ordinal"),
+                s["text"].alias("text"),
             ),
         ),
         lambda s: s["neg_ratio"] < 0,

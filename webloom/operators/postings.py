@@ -58,9 +58,15 @@ def write_postings(postings: DataFrame, path: str, partitions: int | None = None
     """Store postings clustered by term, so a search reads only its row groups.
 
     The range is over term and document: a term that is in every document is
-    spread over as many files as it needs.
+    spread over as many files as it needs.  Finding range bounds reads the
+    input once more, so the postings are written as they come first; the bounds
+    then come from two columns of that table and texts are analysed once.
     """
+    spark = postings.sparkSession
     keys = ("term", "link_id")
-    ranged = postings.repartitionByRange(partitions, *keys) if partitions else postings.repartitionByRange(*keys)
+    staged = f"{path}-staged"
+    postings.write.mode("overwrite").parquet(staged)
+    found = spark.read.schema(postings.schema).parquet(staged)
+    ranged = found.repartitionByRange(partitions, *keys) if partitions else found.repartitionByRange(*keys)
     ranged.sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
-    return postings.sparkSession.read.schema(postings.schema).parquet(path)
+    return spark.read.schema(postings.schema).parquet(path)

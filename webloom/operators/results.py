@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions.text import highlight, html_escape, is_phrase, match_summary, shown_title
@@ -83,8 +83,7 @@ def search_results(
     found = search(
         docs, postings, text, is_phrase(text), offset, limit, relevance_order=relevance_order, english=english
     )
-    position = F.col("rank_pos") if text else F.row_number().over(Window.orderBy("link_id")) + offset
     hits = hit_columns(found.page, text, max_summary_length).select(
-        "link_id", "url", F.col("_title").alias("title"), "summary_html", position.alias("rank_pos")
+        "link_id", "url", F.col("_title").alias("title"), "summary_html", "rank_pos"
     )
     return ResultPage(hits, page_details(found.total, text, offset, limit, results_per_page, endpoint))

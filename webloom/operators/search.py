@@ -11,13 +11,15 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions.stem import stem
 from webloom.functions.text import STOP_WORDS, tokens
 from webloom.schemas import DOCUMENT_COLUMNS, PAGE_SIZE
 
+MAX_PAGE = 1000
+
 
 @dataclass(frozen=True)
 class Operand:
@@ -41,18 +43,19 @@ def _analyse(docs: DataFrame, chunks: list[str], english: bool) -> list[tuple[tu
     The chunks are literals, so this is one row of constants, not a job over data.
     """
 
-    def terms_of(chunk: str) -> Column:
+    if not chunks:
+        return []
+
+    def terms_of(chunk: Column) -> Column:
         return F.transform(
-            tokens(F.lit(chunk)),
+            tokens(chunk),
             lambda w, i: F.struct(w.alias("word"), (stem(w) if english else w).alias("term"), i.alias("at")),
         )
 
-    if not chunks:
-        return []
-    row = docs.sparkSession.sql("SELECT 1").select(*[terms_of(c).alias(f"c{n}") for n, c in enumerate(chunks)]).first()
+    found = F.transform(F.array(*[F.lit(c) for c in chunks]), terms_of)
     out: list[tuple[tuple[str, int], ...]] = []
-    for found in row:
-        kept = [(t["term"], t["at"]) for t in found if not (english and t["word"] in STOP_WORDS)]
+    for terms in docs.sparkSession.sql("SELECT 1").select(found).first()[0]:
+        kept = [(t["term"], t["at"]) for t in terms if not (english and t["word"] in STOP_WORDS)]
         out.append(tuple((term, at - kept[0][1]) for term, at in kept))
     return out
 
@@ -150,26 +153,20 @@ def search(
 
     A match is ordered by relevance (least relevant first unless
     ``relevance_order="desc"``), then by falling rank with unranked documents
-    first, then by id (T1).  The ordering needs the rank only; the text of the
-    page's documents is fetched for those few ids afterwards.
+    first, then by id (T1).  The page has the document columns and ``rank_pos``,
+    a match also ``relevance``.
     """
     if relevance_order not in ("asc", "desc"):
         raise ValueError("relevance_order must be 'asc' or 'desc'")
     if text == "":
-        page = match_all(docs, offset, limit)
-        return SearchResult(page, docs.agg(F.count(F.lit(1)).alias("total")))
+        return SearchResult(match_all(docs, offset, limit), docs.agg(F.count(F.lit(1)).alias("total")))
     query = read_phrase(docs, text, english) if phrase else read_query(docs, text, english)
     found = matches(docs, postings, query)
-    total = found.agg(F.count(F.lit(1)).alias("total"))
-    order = search_order(relevance_order)
+    # Ordering needs the rank only, so no text is read or sorted for it.
     ranked = found.join(docs.select("link_id", "pagerank"), "link_id")
-    top = ranked.orderBy(*order).offset(offset).limit(limit)
-    # At most ``limit`` rows, whatever the query: safe to number and broadcast.
-    top = top.select(
-        "link_id", "relevance", (F.row_number().over(Window.orderBy(*order)) + offset).alias("rank_pos")
-    )
-    page = docs.select(*DOCUMENT_COLUMNS).join(F.broadcast(top), "link_id").orderBy("rank_pos")
-    return SearchResult(page, total)
+    top = ranked.orderBy(*search_order(relevance_order)).select("link_id", "relevance")
+    page = fetch_page(docs, top, offset, limit, {"relevance": "double"})
+    return SearchResult(page, found.agg(F.count(F.lit(1)).alias("total")))
 
 
 def search_order(relevance_order: str = "asc") -> list[Column]:
@@ -184,5 +181,30 @@ def search_order(relevance_order: str = "asc") -> list[Column]:
 
 def match_all(docs: DataFrame, offset: int = 0, limit: int = PAGE_SIZE) -> DataFrame:
     """A page of all documents by id."""
-    return docs.select(*DOCUMENT_COLUMNS).orderBy("link_id").offset(offset).limit(limit)
+    return fetch_page(docs, docs.select("link_id").orderBy("link_id"), offset, limit)
+
 
+def fetch_page(
+    docs: DataFrame, ordered: DataFrame, offset: int, limit: int, extra: dict[str, str] | None = None
+) -> DataFrame:
+    """The documents of one page of ``ordered``, with ``rank_pos``.
+
+    The ids of the page, ``limit`` at most, are fetched first: as literals they
+    are pushed into the scan of the documents, which then reads the row groups
+    that may hold them in place of the text of every document.  ``extra`` names
+    the columns of ``ordered`` to keep, with their types.
+    """
+    if not 0 < limit <= MAX_PAGE:
+        raise ValueError(f"a page has 1 to {MAX_PAGE} rows")
+    if offset < 0:
+        raise ValueError("the offset must not be negative")
+    rows = ordered.offset(offset).limit(limit).collect()
+
+    def of_row(values: list, kind: str) -> Column:
+        pairs = [F.lit(x).cast(t) for r, v in zip(rows, values) for x, t in ((r["link_id"], "string"), (v, kind))]
+        return F.create_map(*pairs)[F.col("link_id")] if pairs else F.lit(None).cast(kind)
+
+    columns = {name: of_row([r[name] for r in rows], kind) for name, kind in (extra or {}).items()}
+    columns["rank_pos"] = of_row([offset + n + 1 for n in range(len(rows))], "int")
+    page = docs.select(*DOCUMENT_COLUMNS).where(F.col("link_id").isin([r["link_id"] for r in rows]))
+    return page.withColumns(columns).orderBy("rank_pos")

@@ -9,8 +9,7 @@ aggregate before they are shuffled, so a url, source or document that fills a
 third of a batch costs one row per task.  A snapshot bucketed by its key
 (``sources.tables.save_bucketed``) is joined without being shuffled at all.
 The endpoint checks and the expiry join rows by ``src`` or ``dst``, where one
-hub may hold a large share; these are one-off sort-merge joins whose hot
-partitions adaptive execution splits.
+hub may hold a large share; they split hubs (``skew.lookup_join``).
 """
 
 from __future__ import annotations
@@ -22,6 +21,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions.urls import parse_uuid, uuid_of
 from webloom.operators.scans import ntz
+from webloom.operators.skew import lookup_join
 from webloom.schemas import DOCUMENT_COLUMNS, NIL_ID
 
 
@@ -46,19 +46,19 @@ def upsert_links(links: DataFrame, batch: DataFrame) -> DataFrame:
 
 def known_ends(edges: DataFrame, links: DataFrame) -> DataFrame:
     """Edges whose two ends exist.  Also the cascade after a link is gone."""
+    ids = links.select(F.col("id").alias("_key"))
     for end in ("src", "dst"):
-        ids = links.select(F.col("id").alias(end))
-        edges = edges.join(ids, end, "left_semi")
+        edges = lookup_join(edges, ids, end, "left_semi")
     return edges
 
 
 def unknown_ends(edges: DataFrame, links: DataFrame) -> DataFrame:
     """The rejects, edges with at least one end that does not exist."""
-    ids = links.select("id")
-    bad_src = edges.join(ids, F.col("src") == F.col("id"), "left_anti")
-    good_src = edges.join(ids, F.col("src") == F.col("id"), "left_semi")
-    bad_dst = good_src.join(ids, F.col("dst") == F.col("id"), "left_anti")
-    return bad_src.unionByName(bad_dst)
+    ids = links.select(F.col("id").alias("_key"))
+    known = ids.withColumn("_known", F.lit(True))
+    marked = lookup_join(edges, known, "src", "left").withColumnRenamed("_known", "_src_known")
+    marked = lookup_join(marked, known, "dst", "left")
+    return marked.where(F.col("_src_known").isNull() | F.col("_known").isNull()).drop("_src_known", "_known")
 
 
 def distinct_edges(batch: DataFrame) -> DataFrame:
@@ -94,10 +94,8 @@ def delete_stale_edges(edges: DataFrame, cutoffs: DataFrame) -> DataFrame:
     ``cutoffs`` has ``(src, cutoff)``; when a source is listed more than once
     the latest cutoff covers the others.  An edge without a time stays.
     """
-    limit = cutoffs.groupBy(F.col("src").alias("_src")).agg(F.max("cutoff").alias("_cutoff"))
-    return edges.join(
-        limit, (F.col("src") == F.col("_src")) & (F.col("update_at") < F.col("_cutoff")), "left_anti"
-    )
+    limit = cutoffs.groupBy(F.col("src").alias("_key")).agg(F.max("cutoff").alias("_cutoff"))
+    return lookup_join(edges, limit, "src", "left_anti", F.col("update_at") < F.col("_cutoff"))
 
 
 def cascade_edges(edges: DataFrame, links: DataFrame) -> DataFrame:

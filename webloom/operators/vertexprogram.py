@@ -35,6 +35,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from webloom.operators.skew import lookup_join
 from webloom.session import planning, shared_dir
 
 Globals = Mapping[str, float]
@@ -78,7 +79,8 @@ def unknown_destinations(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """
     ids = vertices.select("id")
     missing = edges.select("dst").distinct().join(ids.withColumnRenamed("id", "dst"), "dst", "left_anti")
-    return edges.join(missing, "dst", "left_semi").join(ids.withColumnRenamed("id", "src"), "src", "left_semi")
+    lost = lookup_join(edges, missing.withColumnRenamed("dst", "_key"), "dst", "left_semi")
+    return lookup_join(lost, ids.withColumnRenamed("id", "_key"), "src", "left_semi")
 
 
 def out_degrees(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -113,17 +115,16 @@ class _Layout:
     ) -> None:
         # The numbers are not repeatable, so they are written before any use.
         self.keyed = _single_value(vertices).withColumn("_key", F.monotonically_increasing_id()).checkpoint()
-        # Hubs make these joins uneven; adaptive execution splits their partitions.
-        encoded = (
-            edges.join(self.keyed.select(F.col("id").alias("src"), F.col("_key").alias("_src")), "src")
-            .join(self.keyed.select(F.col("id").alias("dst"), F.col("_key").alias("_dst")), "dst", "left")
-            .drop("src", "dst")
-            .persist()
-        )
+        given = edges.persist()
+        by_id = self.keyed.select(F.col("id").alias("_key"), F.col("_key").alias("_number"))
+        encoded = lookup_join(given, by_id, "src", "inner").withColumnRenamed("_number", "_src")
+        encoded = lookup_join(encoded, by_id, "dst", "left").withColumnRenamed("_number", "_dst")
+        encoded = encoded.drop("src", "dst").persist()
         counted = encoded.agg(
             F.count(F.lit(1)).alias("all"), F.count_if(F.col("_dst").isNull()).alias("lost")
         ).first()
         if counted["lost"] and on_unknown_dst == "error":
+            given.unpersist()
             encoded.unpersist()
             raise UnknownDestination(f"{counted['lost']} edges lead to unknown vertices")
         valid = encoded.where(F.col("_dst").isNotNull()) if counted["lost"] else encoded
@@ -158,8 +159,8 @@ class _Layout:
                 valid.repartition(self.partitions, *keys).sortWithinPartitions(*keys).checkpoint().persist()
             )
             self.vertices = base.repartition(self.partitions, "_key").checkpoint()
-        base.unpersist()
-        encoded.unpersist()
+        for frame in (base, encoded, given):
+            frame.unpersist()
 
     def release(self) -> None:
         self.edges.unpersist()

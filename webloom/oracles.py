@@ -379,7 +379,8 @@ def oracle_sql() -> dict[str, str]:
         "index_json": f"""with {DOC} select link_id, '{{"ID":"' || link_id || '","URL":"' || url || '","PageScore":' ||
  case when pagerank > 0.5 then '0.5' when pagerank > 0 then '0.25' else 'null' end || '}}' as json
  from doc order by link_id limit 10 offset 5""",
-        "match_all": f"with {DOC} select * from doc order by link_id limit 10 offset 20",
+        "match_all": f"""with {DOC} select *, (row_number() over (order by link_id))::int rank_pos
+ from doc order by link_id limit 10 offset 20""",
         "stem_terms": f"with {WORDS}, {stem_ctes('tok')} select word, stem from stems",
         "build_postings": f"with {POSTINGS} select link_id, term, tf, array_to_string(positions,' ') positions from posting",
         "build_postings_plain": f"""with {WORDS} select link_id, word term, count(*)::int tf,

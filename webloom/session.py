@@ -19,6 +19,9 @@ RECOMMENDED = {
     # Vertex programs write a checkpoint per superstep; drop the ones that
     # nothing refers to any more.
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # Postings gather short lists under many keys; keep hashing them beyond the
+    # default of 128 keys a task instead of sorting.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "50000",
     # Iterative programs build many small plans; do not record a call site for
     # each column function.
     "spark.python.sql.dataFrameDebugging.enabled": "false",

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from webloom.operators.search import match_all
 from webloom.schemas import PAGE_SIZE
 
 
@@ -76,9 +75,8 @@ def index_json(docs: DataFrame, offset: int = 0, limit: int = PAGE_SIZE) -> Data
     row = F.struct(
         F.col("link_id").alias("ID"), F.col("url").alias("URL"), F.col("pagerank").alias("PageScore")
     )
-    return match_all(docs, offset, limit).select(
-        "link_id", F.to_json(row, {"ignoreNullFields": "false"}).alias("json")
-    )
+    page = docs.select("link_id", "url", "pagerank").orderBy("link_id").offset(offset).limit(limit)
+    return page.select("link_id", F.to_json(row, {"ignoreNullFields": "false"}).alias("json"))
 
 
 def export_index_json(docs: DataFrame, path: str, offset: int = 0, limit: int = PAGE_SIZE) -> None:
