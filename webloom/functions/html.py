@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from webloom.functions.text import let
+
 # -- fixed values: character entities, in the order they are decoded ---------
 ENTITIES = (
     ("&lt;", "<"),
@@ -34,9 +36,13 @@ TAG = r"(?s)<[^>]*>"
 
 
 def decode_entities(text: Column) -> Column:
-    for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    def decode(raw: Column) -> Column:
+        plain = raw
+        for entity, char in ENTITIES:
+            plain = F.replace(plain, F.lit(entity), F.lit(char))
+        return F.when(raw.contains("&"), plain).otherwise(raw)
+
+    return let(text, decode)
 
 
 def squeeze(text: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from webloom.functions.text import let
+
 UUID_PATTERN = "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:"
 
@@ -40,27 +42,52 @@ def is_web_url(url: Column) -> Column:
 
 def normalise_url(url: Column) -> Column:
     """No fragment (nor a bare trailing ``#``), scheme in lower case."""
-    bare = F.regexp_replace(url, "(?s)#.*$", "")
-    scheme = F.regexp_extract(bare, SCHEME, 0)
-    return F.concat(F.lower(scheme), F.substr(bare, F.length(scheme) + 1))
+
+    def lower_scheme(bare: Column) -> Column:
+        return let(
+            F.regexp_extract(bare, SCHEME, 0),
+            lambda scheme: F.concat(F.lower(scheme), F.substr(bare, F.length(scheme) + 1)),
+        )
+
+    return let(F.regexp_replace(url, "(?s)#.*$", ""), lower_scheme)
+
+
+def base_parts(base: Column) -> Column:
+    """What resolving needs of a page's url, so that it is taken apart once a page."""
+
+    def parts(page: Column) -> Column:
+        origin = F.regexp_extract(page, "^[A-Za-z][A-Za-z0-9+.-]*://[^/]*", 0)
+        folder = F.regexp_extract(F.substr(page, F.length(origin) + 1), "^/.*/|^/", 0)
+        return F.struct(
+            base.alias("url"),
+            page.alias("page"),
+            F.lower(F.regexp_extract(page, SCHEME, 0)).alias("scheme"),
+            origin.alias("origin"),
+            F.when(folder == "", F.lit("/")).otherwise(folder).alias("folder"),
+        )
+
+    return let(F.regexp_replace(base, "(?s)[?#].*$", ""), parts)
+
+
+def resolve_from(href: Column, base: Column) -> Column:
+    """F23 for a page given by its ``base_parts``."""
+
+    def absolute(h: Column) -> Column:
+        return (
+            F.when(h.startswith("//"), F.concat(base["scheme"], h))
+            .when(h.startswith("/"), F.concat(base["origin"], h))
+            .when((h == "") | h.startswith("#"), base["url"])
+            .when(h.startswith("?"), F.concat(base["page"], h))
+            .when(h.rlike(SCHEME), h)
+            .otherwise(F.concat(base["origin"], base["folder"], h))
+        )
+
+    return normalise_url(let(F.trim(href), absolute))
 
 
 def resolve_url(href: Column, base: Column) -> Column:
     """``href`` as found on the page ``base``, made absolute and normalised."""
-    href = F.trim(href)
-    page = F.regexp_replace(base, "(?s)[?#].*$", "")
-    scheme = F.lower(F.regexp_extract(page, SCHEME, 0))
-    origin = F.regexp_extract(page, "^[A-Za-z][A-Za-z0-9+.-]*://[^/]*", 0)
-    folder = F.regexp_extract(F.substr(page, F.length(origin) + 1), "^/.*/|^/", 0)
-    absolute = (
-        F.when(href.rlike(SCHEME), href)
-        .when(href.startswith("//"), F.concat(scheme, href))
-        .when(href.startswith("/"), F.concat(origin, href))
-        .when((href == "") | href.startswith("#"), base)
-        .when(href.startswith("?"), F.concat(page, href))
-        .otherwise(F.concat(origin, F.when(folder == "", F.lit("/")).otherwise(folder), href))
-    )
-    return normalise_url(absolute)
+    return let(base_parts(base), lambda parts: resolve_from(href, parts))
 
 
 def page_link(endpoint: str, query: Column, offset: Column) -> Column:

@@ -26,14 +26,17 @@ def lookup_join(
     how: str,
     condition: Column | None = None,
     rows_per_task: int = ROWS_PER_TASK,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """``rows`` joined to ``table`` on ``rows[key] = table["_key"]``.
 
     ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``; further
     ``condition``s may be given.  The column ``_key`` of ``table`` is not in
-    the result.
+    the result.  Keys are counted in ``counted``, which may hold more rows than
+    ``rows``: with lookups in a row, give the rows that the first one starts
+    from, so that no lookup is run again to count for the next.
     """
-    counts = rows.groupBy(F.col(key).alias("_hot")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = (rows if counted is None else counted).groupBy(F.col(key).alias("_hot")).agg(F.count(F.lit(1)).alias("_n"))
     hot = F.broadcast(
         counts.where(F.col("_n") > rows_per_task).select("_hot", F.ceil(F.col("_n") / rows_per_task).alias("_parts"))
     )

@@ -47,9 +47,9 @@ def upsert_links(links: DataFrame, batch: DataFrame) -> DataFrame:
 def known_ends(edges: DataFrame, links: DataFrame) -> DataFrame:
     """Edges whose two ends exist.  Also the cascade after a link is gone."""
     ids = links.select(F.col("id").alias("_key"))
-    for end in ("src", "dst"):
-        edges = lookup_join(edges, ids, end, "left_semi")
-    return edges
+    return lookup_join(
+        lookup_join(edges, ids, "src", "left_semi"), ids, "dst", "left_semi", counted=edges
+    )
 
 
 def unknown_ends(edges: DataFrame, links: DataFrame) -> DataFrame:
@@ -57,7 +57,7 @@ def unknown_ends(edges: DataFrame, links: DataFrame) -> DataFrame:
     ids = links.select(F.col("id").alias("_key"))
     known = ids.withColumn("_known", F.lit(True))
     marked = lookup_join(edges, known, "src", "left").withColumnRenamed("_known", "_src_known")
-    marked = lookup_join(marked, known, "dst", "left")
+    marked = lookup_join(marked, known, "dst", "left", counted=edges)
     return marked.where(F.col("_src_known").isNull() | F.col("_known").isNull()).drop("_src_known", "_known")
 
 

@@ -80,7 +80,7 @@ def unknown_destinations(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     ids = vertices.select("id")
     missing = edges.select("dst").distinct().join(ids.withColumnRenamed("id", "dst"), "dst", "left_anti")
     lost = lookup_join(edges, missing.withColumnRenamed("dst", "_key"), "dst", "left_semi")
-    return lookup_join(lost, ids.withColumnRenamed("id", "_key"), "src", "left_semi")
+    return lookup_join(lost, ids.withColumnRenamed("id", "_key"), "src", "left_semi", counted=edges)
 
 
 def out_degrees(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -118,7 +118,7 @@ class _Layout:
         given = edges.persist()
         by_id = self.keyed.select(F.col("id").alias("_key"), F.col("_key").alias("_number"))
         encoded = lookup_join(given, by_id, "src", "inner").withColumnRenamed("_number", "_src")
-        encoded = lookup_join(encoded, by_id, "dst", "left").withColumnRenamed("_number", "_dst")
+        encoded = lookup_join(encoded, by_id, "dst", "left", counted=given).withColumnRenamed("_number", "_dst")
         encoded = encoded.drop("src", "dst").persist()
         counted = encoded.agg(
             F.count(F.lit(1)).alias("all"), F.count_if(F.col("_dst").isNull()).alias("lost")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions.html import page_hrefs, page_text, page_title
-from webloom.functions.urls import is_web_url, normalise_url, resolve_url, uuid_of
+from webloom.functions.text import let
+from webloom.functions.urls import base_parts, is_web_url, normalise_url, resolve_from, uuid_of
 from webloom.schemas import NEVER
 
 
@@ -18,8 +19,11 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """
     url = normalise_url(F.col("url"))
     rest = [c for c in pages.columns if c not in ("url", "html")]
-    found = F.filter(
-        F.transform(page_hrefs(F.col("html")), lambda h: resolve_url(h, F.col("url"))), is_web_url
+    found = let(
+        base_parts(F.col("url")),
+        lambda base: F.filter(
+            F.transform(page_hrefs(F.col("html")), lambda h: resolve_from(h, base)), is_web_url
+        ),
     )
     return pages.where(is_web_url(F.col("url"))).select(
         uuid_of(url).alias("link_id"),
