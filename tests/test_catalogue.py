@@ -19,4 +19,4 @@ def test_query_equals_its_sql(spark, duck, name):
 def test_entry(spark):
     hits = entry.entry(spark)
     assert hits.columns == ["link_id", "url", "title", "summary_html", "rank_pos"]
-    hits.collect()
+    assert hits.count() == 10

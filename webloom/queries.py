@@ -296,6 +296,11 @@ def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.search_results(docs, _postings(spark, sf_dir), PHRASE_TEXT).hits
 
 
+def match_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = D.search_documents(spark, sf_dir)
+    return results.search_results(docs, _postings(spark, sf_dir), MATCH_TEXT).hits
+
+
 # -- summaries ----------------------------------------------------------------
 
 
