@@ -6,13 +6,15 @@ may carry any name.  A null text counts as an empty one unless said otherwise.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_schema
 
 #: ASCII lower case only, as the text rules ask for; other letters stay.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -75,3 +77,41 @@ def range_column(id_col: Column, splits: Sequence[int]) -> Column:
         return pd.Series(out)
 
     return place(id_col)
+
+
+def append(
+    docs: DataFrame,
+    text_col: str,
+    fields: pa.Schema,
+    start: Callable[[], Callable[[list[str]], Sequence[pa.Array]]],
+    keep: Sequence[str] | None = None,
+) -> DataFrame:
+    """``docs`` with columns computed from each text, row by row, where it lies.
+
+    ``start`` runs once a task and returns the function that turns a batch of
+    texts (null as empty) into one array per field.  ``keep`` names the input
+    columns to return, all by default.
+    """
+    keep = list(docs.columns) if keep is None else list(keep)
+    given = docs.select(*[docs[c] for c in keep], docs[text_col].alias("__text")) if text_col not in keep else docs.select(*keep)
+    source = text_col if text_col in keep else "__text"
+    names = [*keep, *fields.names]
+    if len(set(names)) < len(names):
+        raise ValueError(f"the input already has one of {fields.names}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = start()
+        for batch in batches:
+            made = compute(strings(batch.column(source)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], names=names)
+
+    schema = T.StructType(docs.select(*keep).schema.fields + from_arrow_schema(fields).fields)
+    return given.mapInArrow(run, schema)
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, or with underscores before it, so that no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -5,15 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from webloom.llm import dac, packing
+from webloom.llm import dac, decontaminate, linededup, packing, quality, simhash
 from webloom.llm.common import table
 from webloom.session import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _sha256(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     manifest = dac.write_tokens(table(spark, sf_dir, "documents"), fresh_path(spark, "tokens"), tokenizer, end_id=2)
@@ -24,9 +29,98 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit_on_rest(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model, keep=["doc_id"])
+    return scored.select(
+        "doc_id",
+        quality.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    found = decontaminate.find_passages(docs, items, keep=["doc_id"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        decontaminate.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
+    )
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = linededup.drop_repeated(docs, linededup.build(docs))
+    return kept.select("doc_id", "n_lines", "n_dropped", _sha256(F.col("text")).alias("kept_sha256"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, distance=4)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_token_files, op4_packing)}
+    known = (op2_token_files, op4_packing, op5_quality, op7_decontamination, op8_line_dedup, op9_simhash)
+    return {f.__name__: f for f in known}
+
+
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP7_SQL = r"""
+with words as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+    from documents
+), item_words as (
+    select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+    from benchmark
+), windows as (
+    select distinct item_id, n, array_to_string(w[i:i + n - 1], ' ') as gram
+    from (select item_id, w, least(13, len(w)) as n, unnest(range(1, len(w) - least(13, len(w)) + 2)) as i
+          from item_words where len(w) > 0)
+), grams as (
+    select doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') as gram
+    from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i
+          from words, (select distinct n from windows) where len(w) >= n)
+), hits as (
+    select doc_id, i, grams.n, item_id from grams join windows on grams.gram = windows.gram and grams.n = windows.n
+), covered as (
+    select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from hits) group by doc_id
+), items as (
+    select doc_id, count(distinct item_id) as n_items,
+           array_to_string(list_sort(list(distinct item_id::varchar)), ',') as ids
+    from hits group by doc_id
+)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(ids, '')) as items_sha256,
+       coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from words left join covered using (doc_id) left join items using (doc_id)
+"""
+
+OP8_SQL = r"""
+with lines as (
+    select doc_id, line, i,
+           translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k
+    from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+                 generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i
+          from documents)
+), repeated as (
+    select k, min(doc_id) as first_doc from lines where length(k) >= 10 group by k having count(distinct doc_id) >= 2
+), marked as (
+    select doc_id, line, i, first_doc is not null and first_doc <> doc_id as dropped from lines left join repeated using (k)
+)
+select doc_id, count(*)::bigint as n_lines, count(*) filter (where dropped)::bigint as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not dropped), '')) as kept_sha256
+from marked group by doc_id
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_decontamination": OP7_SQL, "op8_line_dedup": OP8_SQL}
