@@ -7,7 +7,7 @@ labelled text that is in neither dictionary, turns it into a probability.
 
 What is compressed is the shape of a text and not its words: runs of letters of
 one case are one letter, runs of digits one digit, and a word that repeats the
-one before it is marked.  Labels speak of how a text is written, and the shape
+one before it is its place in the run.  Labels speak of how a text is written, and the shape
 says that in a tenth of the bytes and in any language.
 """
 
@@ -43,8 +43,14 @@ _RUN = re.compile(rb"a{2,}|A{2,}|9{2,}")
 
 def shape(text: str) -> bytes:
     words = text.encode("utf-8", "surrogatepass").split(b" ")
-    marked = [b"=" if word == before else word for word, before in zip(words, [None, *words])]
-    return _RUN.sub(lambda run: run[0][:1], b" ".join(marked).translate(_SHAPE))
+    forms = _RUN.sub(lambda run: run[0][:1], b" ".join(words).translate(_SHAPE)).split(b" ")
+    repeats = 0
+    for k in range(1, len(words)):
+        repeats = repeats + 1 if words[k] == words[k - 1] else 0
+        if repeats:
+            # Counted, or a long run would be one short match in any dictionary.
+            forms[k] = b"=%d" % (repeats % 1000)
+    return b" ".join(forms)
 
 
 @dataclass(frozen=True)
