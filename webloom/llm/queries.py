@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import dac, decontaminate, linededup, packing, quality, simhash
+from webloom.llm import dac, decontaminate, htmltext, linededup, packing, quality, simhash
 from webloom.llm.common import table
 from webloom.session import fresh_path
 
@@ -64,8 +64,13 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, distance=4)
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = htmltext.extract_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def queries() -> dict[str, Query]:
-    known = (op2_token_files, op4_packing, op5_quality, op7_decontamination, op8_line_dedup, op9_simhash)
+    known = (op2_token_files, op4_packing, op5_quality, op7_decontamination, op8_line_dedup, op9_simhash, op10_html_text)
     return {f.__name__: f for f in known}
 
 
