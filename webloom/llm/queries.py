@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import dac, decontaminate, htmltext, linededup, packing, quality, simhash
+from webloom.llm import dac, decontaminate, htmltext, imatch, linededup, packing, quality, simhash
 from webloom.llm.common import table
 from webloom.session import fresh_path
 
@@ -41,6 +41,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprint_with_next(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     found = decontaminate.find_passages(docs, items, keep=["doc_id"])
@@ -70,7 +74,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    known = (op2_token_files, op4_packing, op5_quality, op7_decontamination, op8_line_dedup, op9_simhash, op10_html_text)
+    known = (op2_token_files, op4_packing, op5_quality, op6_fingerprints, op7_decontamination, op8_line_dedup, op9_simhash, op10_html_text)
     return {f.__name__: f for f in known}
 
 
