@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import dac, decontaminate, htmltext, imatch, linededup, packing, quality, simhash
+from webloom.llm import dac, decontaminate, htmltext, imatch, linededup, packing, quality, secrets, simhash
 from webloom.llm.common import table
 from webloom.session import fresh_path
 
@@ -25,6 +25,18 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read_tokens(manifest)
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    spans, kinds = F.col("spans"), [r.kind for r in secrets.BASE_RULES]
+    base = F.filter(spans, lambda s: s["ord"] < len(kinds))
+    return found.select(
+        "doc_id",
+        *[secrets.count_of(spans, kind).alias(f"n_{kind}") for kind in kinds],
+        F.sha2(secrets.listed(base), 256).alias("base_sha256"),
+        secrets.listed(spans).alias("spans"),
+    )
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
 
@@ -74,7 +86,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    known = (op2_token_files, op4_packing, op5_quality, op6_fingerprints, op7_decontamination, op8_line_dedup, op9_simhash, op10_html_text)
+    known = (op2_token_files, op3_secrets, op4_packing, op5_quality, op6_fingerprints, op7_decontamination, op8_line_dedup, op9_simhash, op10_html_text)
     return {f.__name__: f for f in known}
 
 
@@ -131,5 +143,17 @@ from marked group by doc_id
 """
 
 
+def _op3_sql() -> str:
+    each = [secrets.duckdb_spans(rule, order) for order, rule in enumerate(secrets.RULES)]
+    found = "list_sort(list_concat(list_concat(list_concat({}, {}), list_concat({}, {})), list_concat(list_concat({}, {}), list_concat({}, {}))))".format(*each)
+    listed = "array_to_string(list_transform({}, lambda x: x.k || ':' || x.s || ':' || x.e), ',')"
+    base = listed.format("list_filter(f, lambda x: x.o < 3)")
+    counts = ", ".join(f"len(list_filter(f, lambda x: x.k = '{r.kind}'))::bigint as n_{r.kind}" for r in secrets.BASE_RULES)
+    return f"""
+with texts as (select doc_id, coalesce(text, '') as t from documents), found as (select doc_id, {found} as f from texts)
+select doc_id, {counts}, sha256(coalesce({base}, '')) as base_sha256, coalesce({listed.format('f')}, '') as spans from found
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontamination": OP7_SQL, "op8_line_dedup": OP8_SQL}
+    return {"op3_secrets": _op3_sql(), "op7_decontamination": OP7_SQL, "op8_line_dedup": OP8_SQL}
