@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import dac, decontaminate, htmltext, imatch, linededup, packing, quality, secrets, simhash
+from webloom.llm import dac, decontaminate, htmltext, imatch, licenses, linededup, packing, quality, secrets, simhash
 from webloom.llm.common import table
+from webloom.llm.license_templates import templates
 from webloom.session import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +20,20 @@ def _sha256(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    names = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"])))
+    placed = F.array_sort(F.transform("matches", lambda m: F.struct(m["start"], m["end"], m["license"])))
+    spans = F.transform(placed, lambda m: F.concat_ws(":", m["license"], m["start"], m["end"]))
+    return found.select(
+        "doc_id",
+        F.size("matches").cast("long").alias("n_matches"),
+        F.array_join(names, ",").alias("licenses"),
+        F.coalesce(F.array_max(F.transform("matches", lambda m: m["dice"])), F.lit(0.0)).alias("best_dice"),
+        F.array_join(spans, ",").alias("spans"),
+    )
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     manifest = dac.write_tokens(table(spark, sf_dir, "documents"), fresh_path(spark, "tokens"), tokenizer, end_id=2)
@@ -86,7 +101,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    known = (op2_token_files, op3_secrets, op4_packing, op5_quality, op6_fingerprints, op7_decontamination, op8_line_dedup, op9_simhash, op10_html_text)
+    known = (op1_licenses, op2_token_files, op3_secrets, op4_packing, op5_quality, op6_fingerprints, op7_decontamination, op8_line_dedup, op9_simhash, op10_html_text)
     return {f.__name__: f for f in known}
 
 
@@ -155,5 +170,38 @@ select doc_id, {counts}, sha256(coalesce({base}, '')) as base_sha256, coalesce({
 """
 
 
+def _op1_sql() -> str:
+    given = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in templates())
+    words = r"regexp_extract_all(replace(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'licence', 'license'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    grams = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+    starts = "length(array_to_string(p[1:i - 1], {m})) + case when i > 1 then {n} else 0 end"
+    return f"""
+with given(name, body) as (values {given}),
+templates as (select distinct name, g from (select name, {grams} as g from (select name, {words.format('body')} as w from given)) where len(g) > 0),
+texts as (select doc_id, coalesce(text, '') as t from documents),
+parts as (
+    select doc_id, [t] as p, 1 as i, 0 as a, t as u from texts
+    union all select doc_id, p, i, {starts.format(m="chr(10) || chr(10)", n=2)}, p[i]
+        from (select doc_id, p, unnest(range(1, len(p) + 1)) as i from (select doc_id, string_split(t, chr(10) || chr(10)) as p from texts))
+    union all select doc_id, p, i, {starts.format(m="chr(10)", n=1)}, p[i]
+        from (select doc_id, p, unnest(range(1, len(p) + 1)) as i from (select doc_id, string_split(t, chr(10)) as p from texts))
+), units as (select distinct doc_id, a, a + length(u) as e, u from parts where u <> ''),
+sets as (select doc_id, a, e, g from (select doc_id, a, e, {grams} as g from (select doc_id, a, e, {words.format('u')} as w from units)) where len(g) > 0),
+scored as (
+    select doc_id, a, e, name, 2 * len(list_intersect(sets.g, templates.g)) / (len(sets.g) + len(templates.g))::double as d
+    from sets join templates on len(sets.g) between 0.66 * len(templates.g) and 1.51 * len(templates.g)
+), best as (
+    select doc_id, a, e, max(d) as d, min(name) filter (where d = m) as name
+    from (select *, max(d) over (partition by doc_id, a, e) as m from scored) group by doc_id, a, e having max(d) >= 0.8
+), found as (
+    select doc_id, count(*) as n, array_to_string(list_sort(list(distinct name)), ',') as names, max(d) as d,
+           string_agg(name || ':' || a || ':' || e, ',' order by a, e, name) as spans
+    from best group by doc_id
+)
+select doc_id, coalesce(n, 0)::bigint as n_matches, coalesce(names, '') as licenses, coalesce(d, 0.0)::double as best_dice, coalesce(spans, '') as spans
+from texts left join found using (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_secrets": _op3_sql(), "op7_decontamination": OP7_SQL, "op8_line_dedup": OP8_SQL}
+    return {"op1_licenses": _op1_sql(), "op3_secrets": _op3_sql(), "op7_decontamination": OP7_SQL, "op8_line_dedup": OP8_SQL}
