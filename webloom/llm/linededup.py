@@ -252,12 +252,13 @@ def _merged(rows: DataFrame, shards: int) -> DataFrame:
             shard, kind = (batch.column(c).to_numpy() for c in ("shard", "kind"))
             for f in np.flatnonzero(kind == FILTER):
                 blobs[int(shard[f])] = batch.column("filter")[int(f)].as_py()
-            values = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("hi", "lo", "n", "min_doc", "max_doc")]
+            # Filter rows have nulls here; filled, the digests stay integers.
+            values = [batch.column(c).fill_null(0).to_numpy(zero_copy_only=False) for c in ("hi", "lo", "n", "min_doc", "max_doc")]
             for s in np.unique(shard):
                 for k in np.unique(kind[shard == s]):
                     if k != FILTER:
                         own = (shard == s) & (kind == k)
-                        parts.setdefault(int(s), {}).setdefault(int(k), []).append([v[own].astype(np.int64) for v in values])
+                        parts.setdefault(int(s), {}).setdefault(int(k), []).append([v[own] for v in values])
         for s in sorted({*parts, *blobs}):
             yield from _merge_shard(s, parts.get(s, {}), blobs.get(s))
 

@@ -244,6 +244,8 @@ def links(nodes: DataFrame, distance: int = 4, segments: int | None = None, most
     of at most ``distance`` bits.  No link is lost, and a group is never paired out."""
     spark = nodes.sparkSession
     segments = segments or (3 if nodes.count() <= THREE_SEGMENTS else 2)
+    if not 2 <= segments <= 4:
+        raise ValueError("two to four segments have room for the code's 15 bits")
     parts = shuffle_partitions(spark)
     dealt = _replicated(nodes, distance, segments).repartition(parts, "anchor").sortWithinPartitions("anchor")
     found = _kept(_compare(dealt, distance, most), "anchors")
