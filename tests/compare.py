@@ -72,7 +72,7 @@ def main() -> int:
     spark.sparkContext.setLogLevel("OFF")
     con, sqls, failed = connect(sf_dir), entry.oracle_sql(), 0
     for name, query in entry.queries().items():
-        if names and name not in names:
+        if name not in sqls or names and name not in names:
             continue
         start = time.time()
         try:
