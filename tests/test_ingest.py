@@ -11,6 +11,8 @@ from webloom.operators.upserts import upsert_links
 from webloom.plans.crawl import Snapshot, apply_crawl, crawl_delta, fold_delta, pass_report
 from webloom.plans.rank import rank_pass
 from webloom.schemas import CRAWLED, DOCUMENT, EDGE, LINK, NEVER
+from webloom.sources.pages import extract_pages
+from webloom.sources.tables import load_version
 from webloom.streaming import ingest
 
 T0 = datetime(2024, 1, 1)
@@ -70,6 +72,50 @@ def test_deltas_fold_together_as_one_by_one(spark):
     assert replayed == want
 
 
+def test_a_pass_keeps_the_ids_of_the_store(spark):
+    store = Snapshot(
+        spark.createDataFrame([("1111", "http://h.x/a", NEVER), ("2222", "http://h.x/right", NEVER)], LINK),
+        spark.createDataFrame([("e", "1111", "2222", T0), ("f", "1111", "1111", T0)], EDGE),
+        spark.createDataFrame([("1111", "http://h.x/a", "old", "old", T0, 0.5)], DOCUMENT),
+    )
+    page = spark.createDataFrame([(1, "http://h.x/a", '<title>t</title><a href="/right">r</a><a href="/new">n</a>')], "page_id long, url string, html string")
+    after = apply_crawl(store, extract_pages(page).drop("page_id"), T0 + DAY)
+    links, edges, docs = view(after)
+    assert {r.url: r.id for r in after.links.collect()}["http://h.x/a"] == "1111"
+    assert edges == {("http://h.x/a", "http://h.x/right"): T0 + DAY, ("http://h.x/a", "http://h.x/new"): T0 + DAY}
+    assert {r.id for r in after.edges.collect()} >= {"e"}
+    assert docs == {"http://h.x/a": ("t", T0 + DAY, 0.5)} and after.docs.first().link_id == "1111"
+    done = rank_pass(after.links, after.edges, after.docs, T0 + 2 * DAY)
+    assert done.rejects.count() == 0 and done.docs.first().pagerank not in (0.0, 0.5)
+
+
+def test_half_written_batches_are_invisible_and_compaction_goes_on(spark, tmp_path):
+    store, root = str(tmp_path / "store"), str(tmp_path / "deltas")
+    assert ingest.compact_store(spark, store, root) == -1
+    ingest.write_delta(crawl_delta(crawled(spark, FIRST), T0), root, 0)
+    assert ingest.compact_store(spark, store, root) == 0
+    half = crawl_delta(crawled(spark, SECOND), T0 + DAY)
+    half.cutoffs.write.parquet(f"{root}/cutoffs/batch_id=1")
+    assert ingest.committed(spark, root) == [0] and ingest.compact_store(spark, store, root) == 0
+    ingest.write_delta(half, root, 1)
+    delta, last = ingest.read_deltas(spark, root, after=0)
+    assert last == 1 and {r.cutoff for r in delta.cutoffs.collect()} == {T0 + DAY}
+    ingest.forget(spark, root, 0)
+    assert ingest.compact_store(spark, store, root) == 1 and ingest.compact_store(spark, store, root) == 1
+    stored = Snapshot(*[load_version(spark, store, n, s, 2) for n, s in ingest.TABLES.items()])
+    assert view(stored) == view(apply_crawl(apply_crawl(empty(spark), crawled(spark, FIRST), T0), crawled(spark, SECOND), T0 + DAY))
+
+
+def test_submissions_and_rejects(spark, tmp_path):
+    folder, root = tmp_path / "inbox", str(tmp_path / "out")
+    folder.mkdir()
+    (folder / "one.json").write_text('{"url": "HTTP://h/a#x"}\n{"url": "ftp://h"}\n{"url": "http://h:abc/"}\n{"other": 1}\n{"url": "http://h/a"}\n')
+    stream = ingest.submission_stream(spark, str(folder))
+    ingest.submission_sink(stream, root, str(tmp_path / "cp"), None).start().awaitTermination()
+    assert [r.url for r in ingest.read_link_deltas(spark, root).collect()] == ["http://h/a"]
+    assert sorted(str(r.url) for r in ingest.read_rejects(spark, root).collect()) == ["None", "ftp://h", "http://h:abc/"]
+
+
 def test_report(spark):
     assert tuple(pass_report(crawled(spark, FIRST)).first()) == (2, 6)
 

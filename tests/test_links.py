@@ -226,3 +226,52 @@ def test_a_hub_is_split_and_nothing_is_lost(spark):
     assert sizes < 60000 / 3
     limited = lookup_join(rows, table, "src", "left_semi", F.col("dst") == F.col("best"), 1000)
     assert limited.count() == table.count()
+
+
+@pytest.mark.parametrize(
+    "url,ok",
+    [
+        ("http://h/", True),
+        ("https://user:pw@h:8080/a", True),
+        ("http://h:/a", True),
+        ("http://[::1]:80/a", True),
+        ("http:opaque", True),
+        ("http://h:abc/", False),
+        ("http://[::1/", False),
+        ("http://::1]/", False),
+        ("http://h h/", False),
+        ("mailto:a@h", False),
+    ],
+)
+def test_ports_and_brackets_of_urls(spark, url, ok):
+    assert spark.sql("select 1").select(is_web_url(F.lit(url))).first()[0] is ok
+
+
+@pytest.mark.parametrize(
+    "href,url",
+    [
+        ("../up", "http://h.x/up"),
+        ("./same", "http://h.x/d/same"),
+        ("../../../far", "http://h.x/far"),
+        ("a/./b/../c", "http://h.x/d/a/c"),
+        ("..", "http://h.x/"),
+        ("x/.", "http://h.x/d/x/"),
+        (".hidden/..twice", "http://h.x/d/.hidden/..twice"),
+        ("q?x=/../y", "http://h.x/d/q?x=/../y"),
+        ("/a//b", "http://h.x/a//b"),
+    ],
+)
+def test_dot_segments(spark, href, url):
+    assert spark.sql("select 1").select(resolve_url(F.lit(href), F.lit("http://h.x/d/page"))).first()[0] == url
+
+
+def test_hrefs_and_entities_of_pages(spark):
+    html = (
+        '<a data-href="/wrong" href="/right">x</a><!-- <a href="/c">c</a> --><script>"<a href=\'/s\'>"</script>'
+        "<a title='href=\"/t\"' href=/plain>y</a><A\nclass=x HREF = '/up?a=1&amp;b=2'>z</A><abbr href='/no'></abbr>"
+        "<p>it&#8217;s caf&eacute; &#x1F600; &amp;lt; &unknown; &#0; &hearts;</p>"
+    )
+    page = spark.createDataFrame([("http://h.x/", html)], "url string, html string")
+    row = extract_pages(page).first()
+    assert row.found_urls == [f"http://h.x/{p}" for p in ("right", "plain", "up?a=1&b=2")]
+    assert row.content == "x y z it\u2019s caf\u00e9 \U0001f600 &lt; &unknown; &#0; \u2665"

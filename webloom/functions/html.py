@@ -2,45 +2,50 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from webloom.functions.text import let
 
-# -- fixed values: character entities, in the order they are decoded ---------
-ENTITIES = (
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#34;", '"'),
-    ("&apos;", "'"),
-    ("&#39;", "'"),
-    ("&nbsp;", " "),
-    ("&#160;", " "),
-    ("&copy;", "©"),
-    ("&reg;", "®"),
-    ("&middot;", "·"),
-    ("&hellip;", "…"),
-    ("&ndash;", "–"),
-    ("&mdash;", "—"),
-    ("&laquo;", "«"),
-    ("&raquo;", "»"),
-    ("&amp;", "&"),  # last, so that an escaped entity stays escaped
-)
-# ---------------------------------------------------------------------------
-
 TITLE = r"(?is)<title[^>]*>(.*?)</title>"
-HREF = r"""(?is)<a\s[^>]*?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+# Attributes before the href, each with its value, so that none is taken from inside another.
+HREF = r"""(?is)<a(?:\s+(?!href[\s=])[^\s=>"']+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?)*\s+href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 INVISIBLE = r"(?is)<!--.*?-->|<script.*?</script>|<style.*?</style>"
 TAG = r"(?s)<[^>]*>"
 
 
+#: All named references that end in a semicolon, from the standard library, as one literal.
+NAMED = json.dumps({name: char for name, char in html5.items() if name.endswith(";")})
+
+
 def decode_entities(text: Column) -> Column:
+    """Named and numeric character references decoded, once and from left to right.
+
+    Pieces of the text between references are put together with what each
+    reference stands for; an unknown name or number stays as written.
+    """
+    pattern = r"&(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+    names = F.from_json(F.lit(NAMED), "map<string,string>")
+
+    def char_of(reference: Column) -> Column:
+        digits = F.regexp_extract(reference, "^#([0-9]+)$", 1)
+        hexed = F.regexp_extract(reference, "^#[xX]([0-9A-Fa-f]+)$", 1)
+        number = F.when(digits != "", digits.cast("int")).when(hexed != "", F.conv(hexed, 16, 10).cast("int"))
+        valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        utf32 = F.unhex(F.lpad(F.hex(number), 8, "0"))
+        written = F.concat(F.lit("&"), reference, F.lit(";"))
+        numeric = F.when(valid, F.decode(utf32, "UTF-32")).otherwise(written)
+        named = F.coalesce(names[F.concat(reference, F.lit(";"))], written)
+        return let(F.when(reference.startswith("#"), numeric).otherwise(named), lambda c: F.when(c == "\u00a0", " ").otherwise(c))
+
     def decode(raw: Column) -> Column:
-        plain = raw
-        for entity, char in ENTITIES:
-            plain = F.replace(plain, F.lit(entity), F.lit(char))
-        return F.when(raw.contains("&"), plain).otherwise(raw)
+        pieces = F.split(raw, pattern, -1)
+        chars = F.transform(F.regexp_extract_all(raw, F.lit(pattern), F.lit(1)), char_of)
+        whole = F.zip_with(pieces, chars, lambda p, c: F.concat(p, F.coalesce(c, F.lit(""))))
+        return F.when(raw.contains("&"), F.array_join(whole, "")).otherwise(raw)
 
     return let(text, decode)
 
@@ -60,6 +65,6 @@ def page_text(html: Column) -> Column:
 
 
 def page_hrefs(html: Column) -> Column:
-    """Targets of all anchors in page order, quotes removed."""
-    found = F.regexp_extract_all(html, F.lit(HREF), 1)
+    """Targets of all anchors in page order, quotes removed; not of those in comments or scripts."""
+    found = F.regexp_extract_all(F.regexp_replace(html, INVISIBLE, " "), F.lit(HREF), 1)
     return F.transform(found, lambda h: decode_entities(F.regexp_replace(h, """^["']|["']$""", "")))

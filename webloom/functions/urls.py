@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from webloom.functions.text import let
 
 UUID_PATTERN = "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+#: Optional user, then a name or an address in brackets, then an optional port.
+AUTHORITY = r"([^/?#@]*@)?([^/?#@:\[\]]*|\[[0-9A-Fa-f:.]+(%25[^\]/?#]+)?\])(:[0-9]*)?"
 SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:"
 
 
@@ -28,11 +30,13 @@ def parse_uuid(text: Column) -> Column:
 def is_web_url(url: Column) -> Column:
     """The scheme is http or https and the text parses as a URL.
 
-    Control characters, a broken percent escape before the query and white
-    space in the host make a URL unparsable.  NULL counts as not accepted.
+    Control characters, a broken percent escape before the query, white space
+    in the host, a port that is no number and brackets that do not enclose an
+    address make a URL unparsable.  NULL counts as not accepted.
     """
     return F.coalesce(
         url.rlike("^[Hh][Tt][Tt][Pp][Ss]?:")
+        & (~url.rlike("^[^:]*://") | url.rlike(f"^[^:]*://{AUTHORITY}([/?#]|$)"))
         & ~url.rlike("[\\x00-\\x1f\\x7f]")
         & ~url.rlike("^[^?#]*%([^0-9A-Fa-f]|.[^0-9A-Fa-f]|.?$)")
         & ~url.rlike("^[^:]*://[^/?#]* "),
@@ -69,6 +73,27 @@ def base_parts(base: Column) -> Column:
     return let(F.regexp_replace(base, "(?s)[?#].*$", ""), parts)
 
 
+def remove_dots(url: Column) -> Column:
+    """``.`` and ``..`` segments of the path worked off (RFC 3986 5.2.4); a ``..`` at
+    the root is dropped.  Scheme, host and query stay."""
+
+    def step(kept: Column, segment: Column) -> Column:
+        popped = F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))
+        return F.when(segment == "..", popped).when(segment == ".", kept).otherwise(F.array_append(kept, segment))
+
+    def worked(u: Column) -> Column:
+        origin = F.regexp_extract(u, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", 0)
+        path = F.regexp_extract(F.substr(u, F.length(origin) + 1), "^[^?#]*", 0)
+        rest = F.substr(u, F.length(origin) + F.length(path) + 1)
+        segments = F.split(F.substr(path, F.lit(2)), "/")
+        kept = F.aggregate(segments, F.array().cast("array<string>"), step)
+        # A path that ends in a dot segment names a folder.
+        folder = F.when(path.rlike("/[.]{1,2}$") & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit(""))
+        return F.concat(origin, F.lit("/"), F.array_join(kept, "/"), folder, rest)
+
+    return let(url, lambda u: F.when(u.rlike("^[^?#]*/[.]{1,2}([/?#]|$)"), worked(u)).otherwise(u))
+
+
 def resolve_from(href: Column, base: Column) -> Column:
     """F23 for a page given by its ``base_parts``."""
 
@@ -82,7 +107,7 @@ def resolve_from(href: Column, base: Column) -> Column:
             .otherwise(F.concat(base["origin"], base["folder"], h))
         )
 
-    return normalise_url(let(F.trim(href), absolute))
+    return remove_dots(normalise_url(let(F.trim(href), absolute)))
 
 
 def resolve_url(href: Column, base: Column) -> Column:

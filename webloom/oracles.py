@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from webloom import queries as Q
 from webloom.functions import stem as S
-from webloom.functions.html import ENTITIES, HREF, INVISIBLE, TAG, TITLE
 from webloom.functions.text import STOP_WORDS
-from webloom.operators.partitioning import range_bounds
 from webloom.schemas import MAX_ID, NIL_ID
 from webloom.sources import derived as D
 
@@ -19,6 +17,21 @@ def ts(moment) -> str:
     return f"timestamp '{moment}'"
 
 
+# Patterns of the checks, apart from those of the library.  The tables hold these four references only.
+ENTITIES = (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+TITLE = "(?is)<title[^>]*>(.*?)</title>"
+HREF = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+INVISIBLE = "(?is)<!--.*?-->|<script.*?</script>|<style.*?</style>"
+TAG = "<[^>]*>"
+
+
+def range_bounds(first: str, last: str, parts: int) -> list[tuple[str, str]]:
+    """Cuts of the id space at multiples of its whole part; ``last`` is the end of the last one."""
+    cuts = [f"{(1 << 128) // parts * k:032x}" for k in range(1, parts)]
+    ids = [first, *(f"{c[:8]}-{c[8:12]}-{c[12:16]}-{c[16:20]}-{c[20:]}" for c in cuts), last]
+    return list(zip(ids[:-1], ids[1:]))
+
+
 NEVER = "timestamp '1970-01-01 00:00:00'"
 START = "timestamp '2024-01-01 00:00:00'"
 AS_OF = ts(D.AS_OF)
@@ -86,7 +99,7 @@ def em(text: str, terms: list[str]) -> str:
 
 # -- pages -----------------------------------------------------------------------
 
-HREFS = f"regexp_extract_all(html,{lit(HREF)},1)"
+HREFS = f"regexp_extract_all(regexp_replace(html,{lit(INVISIBLE)},' ','g'),{lit(HREF)},1)"
 UNQUOTED = f"list_transform({HREFS}, lambda h: {entities(chr(40) + 'regexp_replace(h,' + lit(chr(94) + chr(91) + chr(34) + chr(39) + chr(93) + '|[' + chr(34) + chr(39) + ']$') + ',' + lit('') + ',' + lit('g') + '))')})"
 
 # page: one row a fetched page; found: its links in page order; link, edge: the
@@ -309,6 +322,7 @@ r(step, id, score, sad) as (
 """
 
 
+# The bound on steps only keeps a wrong oracle from running for ever.
 CONVERGED = "p.sad >= 0.001 and p.step < 200"
 
 
@@ -325,16 +339,20 @@ def oracle_sql() -> dict[str, str]:
  now_edge as (select src, dst, {AS_OF} t from found_edge group by src, dst),
  folded as (select {uuid("src || '>' || dst")} id, src, dst, greatest(e.update_at, n.t) update_at
    from edge e full join now_edge n using (src, dst))"""
-    steps = 5
+    # m: the id that each url has, in the store or by being new.
+    foreign = f"""{GRAPH}, m as (select url, id made, case when id >= '5' then {uuid("'store' || id")} else id end id from link)"""
+    # More steps than the graph has links in a row: the last ones change nothing.
+    steps = 12
     spread = ", ".join(
         f"m{i} as (select v.id, greatest(v.value, max(p.value)) as value from m{i - 1} v"
         f" left join edge e on e.dst = v.id left join m{i - 1} p on p.id = e.src group by v.id, v.value)"
         for i in range(1, steps + 1)
     )
     history = f"""with recursive {TRADE}, {rank_ctes('vertex', 'edge', CONVERGED)},
- step as (select step, max(sad) sad from r group by step),
- metric as (select 0 superstep, 'active' as name, n as value from n union all select 0, 'sad', 0.0 union all
-   select step, 'active', n from step, n union all select step, 'sad', sad from step)
+ step as (select step, max(sad) sad, coalesce(sum(score) filter (id not in (select src from o)), 0.0) / max(n.n) residual
+   from r, n group by step union all select 0, 0.0, 0.0),
+ metric as (select step superstep, 'active' as name, n as value from step, n union all select step, 'page_count', n from step, n
+   union all select step, 'sad', sad from step union all select step, 'residual', residual from step)
  select superstep::int superstep, name, round(value,8) as value,
    round(value - lag(value,1,0.0::double) over (partition by name order by superstep),8) delta from metric"""
     return {
@@ -369,6 +387,20 @@ def oracle_sql() -> dict[str, str]:
  row_number() over (partition by link_id order by title desc, content desc) k from page)
  select n.link_id, n.url, n.title, n.content, {AS_OF} indexed_at, o.pagerank
  from newest n join old_doc o using (link_id) where k = 1""",
+        "apply_crawl_foreign_ids_links": f"""with {foreign}, seen as (select url, retrieved_at t from link where id >= '5'
+ union all select url, {AS_OF} from page union all select url, {NEVER} from flat)
+ select m.id, url, max(t) retrieved_at from seen join m using (url) group by m.id, url""",
+        "apply_crawl_foreign_ids_edges": f"""with {foreign},
+ old_edge as (select e.id, a.id src, b.id dst, update_at from edge e join m a on a.made = e.src join m b on b.made = e.dst
+   where e.src >= '5' and e.dst >= '5'),
+ now_edge as (select distinct a.id src, b.id dst, {AS_OF} t from found_edge f join m a on a.made = f.src join m b on b.made = f.dst),
+ folded as (select coalesce(e.id, {uuid("src || '>' || dst")}) id, src, dst, greatest(e.update_at, n.t) update_at
+   from old_edge e full join now_edge n using (src, dst))
+ select * from folded f where not exists (select 1 from page p join m on m.url = p.url where m.id = f.src and f.update_at < {AS_OF})""",
+        "apply_crawl_foreign_ids_documents": f"""with {foreign}, newest as (select link_id, url, title, content,
+ row_number() over (partition by link_id order by title desc, content desc) k from page)
+ select m.id link_id, n.url, n.title, n.content, {AS_OF} indexed_at, case when n.link_id >= '5' then o.pagerank else 0.0 end pagerank
+ from newest n join old_doc o using (link_id) join m on m.made = n.link_id where k = 1""",
         "crawl_report": f"with {PAGE} select count(*) fetched, (select count(*) * 2 from flat)::bigint dispatched from page",
         "upsert_documents": f"""with {DOC} select link_id, url || '?v=2' url, case when length(title) >= 20 then 'v2 ' || title end title,
  null::varchar content, {AS_OF} indexed_at, pagerank from doc
@@ -435,5 +467,13 @@ def oracle_sql() -> dict[str, str]:
         "stream_links": f"""with {PAGE}, seen as (select url, fetched_at t from page union all
  select {norm("(url || '~')")}, {NEVER} from pages where {web("(url || '~')")})
  select {uuid('url')} id, url, max(t) retrieved_at from seen group by url""",
+        "stream_crawl_links": f"""with {GRAPH}, seen as (select url, {AS_OF} t from page union all select url, {NEVER} from flat)
+ select {uuid('url')} id, url, max(t) retrieved_at from seen group by url""",
+        "stream_crawl_documents": f"""with {GRAPH}, newest as (select link_id, url, title, content,
+ row_number() over (partition by link_id order by title desc, content desc) k from page)
+ select link_id, url, title, content, {AS_OF} indexed_at, 0.0::double pagerank from newest where k = 1""",
+        "stream_submissions": f"""with {submitted}
+ select distinct {norm('url')} url, true accepted, 1::bigint n from sub where {web('url')}
+ union all select url, false, count(*) from sub where not {web('url')} group by url""",
         "stream_crawl": f"""with {GRAPH} select distinct {uuid("src || '>' || dst")} id, src, dst, {AS_OF} update_at from found_edge""",
     }

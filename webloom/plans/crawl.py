@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from webloom.functions.urls import uuid_of
 from webloom.operators.scans import ntz
+from webloom.operators.skew import lookup_join
 from webloom.operators.upserts import delete_stale_edges, upsert_documents, upsert_links
-from webloom.schemas import NEVER
+from webloom.schemas import DOCUMENT_COLUMNS, NEVER
+from webloom.session import shared_dir
 
 
 @dataclass
@@ -32,12 +34,12 @@ class Snapshot:
 
 @dataclass
 class CrawlDelta:
-    """What one or more passes observed."""
+    """What one or more passes observed, by url: ids are the store's to give."""
 
     links: DataFrame  # url, retrieved_at
-    edges: DataFrame  # src, dst, update_at
-    cutoffs: DataFrame  # src, cutoff
-    docs: DataFrame  # the document columns; indexed_at is the time of the pass
+    edges: DataFrame  # src_url, dst_url, update_at
+    cutoffs: DataFrame  # url, cutoff
+    docs: DataFrame  # url, title, content, indexed_at (the time of the pass), pagerank
 
 
 def crawl_delta(crawled: DataFrame, as_of: datetime) -> CrawlDelta:
@@ -47,36 +49,45 @@ def crawl_delta(crawled: DataFrame, as_of: datetime) -> CrawlDelta:
     that pages are parsed once.
     """
     now = ntz(as_of)
-    found = crawled.select(F.col("link_id").alias("src"), F.explode("found_urls").alias("url"))
+    found = crawled.select(F.col("url").alias("src_url"), F.explode("found_urls").alias("dst_url"))
     links = crawled.select("url", now.alias("retrieved_at")).unionByName(
-        found.select("url", ntz(NEVER).alias("retrieved_at"))
+        found.select(F.col("dst_url").alias("url"), ntz(NEVER).alias("retrieved_at"))
     )
     return CrawlDelta(
         links=links.groupBy("url").agg(F.max("retrieved_at").alias("retrieved_at")),
-        edges=found.select("src", uuid_of(F.col("url")).alias("dst"), now.alias("update_at")).distinct(),
-        cutoffs=crawled.select(F.col("link_id").alias("src"), now.alias("cutoff")).distinct(),
-        docs=crawled.select(
-            "link_id", "url", "title", "content", now.alias("indexed_at"), F.lit(0.0).alias("pagerank")
-        ),
+        edges=found.select("src_url", "dst_url", now.alias("update_at")).distinct(),
+        cutoffs=crawled.select("url", now.alias("cutoff")).distinct(),
+        docs=crawled.select("url", "title", "content", now.alias("indexed_at"), F.lit(0.0).alias("pagerank")),
     )
 
 
 def fold_delta(snapshot: Snapshot, delta: CrawlDelta) -> Snapshot:
-    """K1 to K4 for one delta or the union of several.
+    """K1 to K4, J1 for one delta or the union of several.
+
+    Links are folded first and written, as everything else looks its ids up in
+    them: a url that the store knows keeps the id it has there, whatever made
+    it.  Edges, cutoffs and documents whose url is no link are not written.
 
     Edges of a fetched page that the page no longer holds are older than the
     start of its latest pass and expire; that includes pages without links.
     """
-    links = upsert_links(snapshot.links, delta.links)
-    seen = delta.edges.groupBy("src", "dst").agg(F.max("update_at").alias("_seen"))
+    shared_dir(snapshot.links.sparkSession)
+    links = upsert_links(snapshot.links, delta.links).checkpoint()
+    ids = links.select(F.col("url").alias("_key"), "id")
+    known = lookup_join(delta.edges, ids.withColumnRenamed("id", "src"), "src_url", "inner")
+    known = lookup_join(known, ids.withColumnRenamed("id", "dst"), "dst_url", "inner", counted=delta.edges)
+    seen = known.groupBy("src", "dst").agg(F.max("update_at").alias("_seen"))
     edges = snapshot.edges.join(seen, ["src", "dst"], "full_outer").select(
         F.coalesce("id", uuid_of(F.concat_ws(">", "src", "dst"))).alias("id"),
         "src",
         "dst",
         F.greatest("update_at", "_seen").alias("update_at"),
     )
-    edges = delete_stale_edges(edges, delta.cutoffs)
-    docs, _ = upsert_documents(snapshot.docs, delta.docs, F.col("indexed_at"))
+    by_url = links.select("url", "id")
+    cutoffs = delta.cutoffs.join(by_url, "url").select(F.col("id").alias("src"), "cutoff")
+    edges = delete_stale_edges(edges, cutoffs)
+    batch = delta.docs.join(by_url, "url").withColumnRenamed("id", "link_id").select(*DOCUMENT_COLUMNS)
+    docs, _ = upsert_documents(snapshot.docs, batch, F.col("indexed_at"))
     return Snapshot(links, edges, docs)
 
 

@@ -186,6 +186,36 @@ def apply_crawl_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _crawl(spark, sf_dir).docs
 
 
+def _foreign_id(column: Column) -> Column:
+    """The id that a store of other making has given a link."""
+    return uuid_of(F.concat(F.lit("store"), column))
+
+
+def _crawl_foreign(spark: SparkSession, sf_dir: str) -> Snapshot:
+    """A pass over a store whose ids are not made from urls and which lacks some links."""
+    crawled = _parsed(spark, sf_dir)
+    links, edges = D.page_links(spark, crawled).where("id >= '5'"), D.page_edges(crawled).where("src >= '5' and dst >= '5'")
+    docs = D.page_documents(crawled).where("link_id >= '5'")
+    before = Snapshot(
+        links.withColumn("id", _foreign_id(F.col("id"))),
+        edges.withColumn("src", _foreign_id(F.col("src"))).withColumn("dst", _foreign_id(F.col("dst"))),
+        docs.withColumn("link_id", _foreign_id(F.col("link_id"))),
+    )
+    return apply_crawl(before, crawled.drop("page_id", "fetched_at"), D.AS_OF)
+
+
+def apply_crawl_foreign_ids_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _crawl_foreign(spark, sf_dir).links
+
+
+def apply_crawl_foreign_ids_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _crawl_foreign(spark, sf_dir).edges
+
+
+def apply_crawl_foreign_ids_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _crawl_foreign(spark, sf_dir).docs
+
+
 def crawl_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pass_report(D.crawled_pages(spark, sf_dir))
 
@@ -376,17 +406,17 @@ def pagerank_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pagerank_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     history = pagerank(*D.trade_graph(spark, sf_dir)).history_frame()
     return (
-        metric_delta(history.where(F.col("name").isin("active", "sad")))
+        metric_delta(history)
         .withColumn("value", F.round("value", 8))
         .withColumn("delta", F.round("delta", 8))
     )
 
 
 def pregel_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The greatest vertex number within five links, by a program that sleeps.
+    """The greatest vertex number from which links lead here, by a program that sleeps.
 
     A vertex halts after each superstep, is woken by a message and passes on
-    its value only when that has grown.
+    its value only when that has grown; the run ends when all of them sleep.
     """
     vertices, edges = D.trade_graph(spark, sf_dir)
     start = vertices.select(
@@ -409,7 +439,6 @@ def pregel_max(spark: SparkSession, sf_dir: str) -> DataFrame:
         message=F.when(F.col("grew"), F.col("value")),
         combine=F.max,
         halt=lambda step, g: F.lit(True),
-        max_steps=6,
     )
     return result.vertices.select("id", "value")
 
@@ -452,19 +481,44 @@ def stream_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     fetched = pages.where(is_web_url(F.col("url"))).select(
         normalise_url(F.col("url")).alias("url"), D.hours_after_start(F.col("page_id")).alias("retrieved_at")
     )
-    submitted = ingest.submission_stream(pages.select(F.concat("url", F.lit("~")).alias("url")))
+    submitted = submitted_links(pages.select(F.concat("url", F.lit("~")).alias("url")))
     latest = ingest.latest_links(fetched.unionByName(submitted))
     ingest.link_sink(latest, root, f"{root}/checkpoint", None).start().awaitTermination()
     return upserts.upsert_links(spark.createDataFrame([], LINK), ingest.read_link_deltas(spark, root))
 
 
-def stream_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as a stream of crawl passes, then folded; the edges of the result."""
+def _stream_crawl(spark: SparkSession, sf_dir: str) -> Snapshot:
+    """Pages as a stream of crawl passes, then folded."""
     root = fresh_path(spark, "stream-crawl")
     pages = ingest.page_stream(spark, sf_dir, "pages.parquet")
     ingest.crawl_sink(pages, root, f"{root}/checkpoint", lambda: D.AS_OF, None).start().awaitTermination()
     none = Snapshot(*[spark.createDataFrame([], schema) for schema in (LINK, EDGE, DOCUMENT)])
-    return ingest.compact(none, root).edges
+    return ingest.compact(none, root)
+
+
+def stream_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stream_crawl(spark, sf_dir).edges
+
+
+def stream_crawl_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stream_crawl(spark, sf_dir).links
+
+
+def stream_crawl_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stream_crawl(spark, sf_dir).docs
+
+
+def stream_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The submissions of the pages as a stream of JSON files; accepted urls and rejects."""
+    root = fresh_path(spark, "stream-submissions")
+    _submissions(spark, sf_dir).write.option("ignoreNullFields", "false").json(f"{root}/inbox")
+    stream = ingest.submission_stream(spark, f"{root}/inbox")
+    ingest.submission_sink(stream, root, f"{root}/checkpoint", None).start().awaitTermination()
+    accepted = upserts.upsert_links(spark.createDataFrame([], LINK), ingest.read_link_deltas(spark, root))
+    rejects = ingest.read_rejects(spark, root).groupBy("url").agg(F.count(F.lit(1)).alias("n"))
+    return accepted.select("url", F.lit(True).alias("accepted"), F.lit(1).cast("long").alias("n")).unionByName(
+        rejects.select("url", F.lit(False).alias("accepted"), "n")
+    )
 
 
 def queries() -> dict[str, Query]:
@@ -484,6 +538,9 @@ def queries() -> dict[str, Query]:
         "apply_crawl_links": apply_crawl_links,
         "apply_crawl_edges": apply_crawl_edges,
         "apply_crawl_documents": apply_crawl_documents,
+        "apply_crawl_foreign_ids_links": apply_crawl_foreign_ids_links,
+        "apply_crawl_foreign_ids_edges": apply_crawl_foreign_ids_edges,
+        "apply_crawl_foreign_ids_documents": apply_crawl_foreign_ids_documents,
         "crawl_report": crawl_report,
         "upsert_documents": upsert_documents_query,
         "find_document": find_document,
@@ -519,4 +576,7 @@ def queries() -> dict[str, Query]:
         "assign_partition": assign_partition,
         "stream_links": stream_links,
         "stream_crawl": stream_crawl,
+        "stream_crawl_links": stream_crawl_links,
+        "stream_crawl_documents": stream_crawl_documents,
+        "stream_submissions": stream_submissions,
     }

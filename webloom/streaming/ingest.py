@@ -4,6 +4,10 @@ A micro-batch is stored as a delta under its batch number, so writing it again
 after a failure replaces it and nothing is counted twice.  Its cost depends on
 the batch alone; ``compact`` folds the stored deltas into the snapshots as
 rarely as one likes, with the same result (see ``plans.crawl``).
+
+The tables of a batch count once its marker below ``commits`` is there, which is
+written last: a reader sees all of a batch or none of it.  A compaction names the
+batches it folds, and the version of a stored snapshot says which was the last.
 """
 
 from __future__ import annotations
@@ -16,15 +20,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from webloom.plans.crawl import CrawlDelta, Snapshot, crawl_delta, fold_delta
-from webloom.schemas import CRAWL_INTERVAL, DOCUMENT, FETCHED
-from webloom.sources.pages import extract_pages, submitted_links
+from webloom.schemas import CRAWL_INTERVAL, DOCUMENT, EDGE, FETCHED, LINK
+from webloom.sources.pages import extract_pages, rejected_submissions, submitted_links
+from webloom.sources.tables import load_version, save_version, versions
 
 DELTA_SCHEMAS = {
     "links": "url string, retrieved_at timestamp_ntz",
-    "edges": "src string, dst string, update_at timestamp_ntz",
-    "cutoffs": "src string, cutoff timestamp_ntz",
-    "docs": DOCUMENT,
+    "edges": "src_url string, dst_url string, update_at timestamp_ntz",
+    "cutoffs": "url string, cutoff timestamp_ntz",
+    "docs": "url string, title string, content string, indexed_at timestamp_ntz, pagerank double",
 }
+SUBMITTED = "url string"
+TABLES = {"links": LINK, "edges": EDGE, "docs": DOCUMENT}
 
 
 def page_stream(spark: SparkSession, folder: str, files: str = "*.parquet", **options: object) -> DataFrame:
@@ -44,14 +51,58 @@ def latest_links(links: DataFrame) -> DataFrame:
     return links.groupBy("url").agg(F.max("retrieved_at").alias("retrieved_at"))
 
 
-def submission_stream(submissions: DataFrame) -> DataFrame:
-    """Submitted URLs, accepted and normalised, as link times."""
-    return submitted_links(submissions)
+def submission_stream(spark: SparkSession, folder: str, files: str = "*.json") -> DataFrame:
+    """Submitted URLs from JSON lines ``{"url": ...}`` that arrive in a folder.
+
+    A line that is no such object is a submission without a url, and is rejected.
+    """
+    return spark.readStream.schema(SUBMITTED).option("pathGlobFilter", files).json(folder)
+
+
+def submission_sink(
+    submissions: DataFrame, root: str, checkpoint: str, interval: str | None = CRAWL_INTERVAL
+) -> DataStreamWriter:
+    """Accepted submissions as link deltas below ``root``, the others below
+    ``root/rejects`` as they came."""
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        submitted_links(batch).distinct().write.mode("overwrite").parquet(f"{root}/links/batch_id={batch_id}")
+        rejected_submissions(batch).write.mode("overwrite").parquet(f"{root}/rejects/batch_id={batch_id}")
+        _commit(batch.sparkSession, root, batch_id)
+
+    return _sink(submissions.writeStream.foreachBatch(store), checkpoint, interval)
+
+
+def _commit(spark: SparkSession, root: str, batch_id: int) -> None:
+    spark.range(1).select(F.lit(batch_id).cast("long").alias("batch")).write.mode("overwrite").parquet(
+        f"{root}/commits/batch_id={batch_id}"
+    )
+
+
+def _folder(spark: SparkSession, path: str) -> tuple:
+    """The file system of ``path`` and the path, by Spark's own configuration."""
+    given = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return given.getFileSystem(spark._jsc.hadoopConfiguration()), given
+
+
+def committed(spark: SparkSession, root: str) -> list[int]:
+    """Batches whose marker is written, oldest first."""
+    store, path = _folder(spark, f"{root}/commits")
+    if not store.exists(path):
+        return []
+    found = []
+    for status in store.listStatus(path):
+        name = status.getPath().getName()
+        done = spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
+        if name.startswith("batch_id=") and store.exists(done):
+            found.append(int(name.removeprefix("batch_id=")))
+    return sorted(found)
 
 
 def write_delta(delta: CrawlDelta, root: str, batch_id: int) -> None:
     for name in DELTA_SCHEMAS:
         getattr(delta, name).write.mode("overwrite").parquet(f"{root}/{name}/batch_id={batch_id}")
+    _commit(delta.links.sparkSession, root, batch_id)
 
 
 def crawl_sink(
@@ -74,6 +125,8 @@ def crawl_sink(
         parsed.write.mode("overwrite").parquet(path)
         crawled = batch.sparkSession.read.schema(parsed.schema).parquet(path)
         write_delta(crawl_delta(crawled, clock()), root, batch_id)
+        files, parsed_pages = _folder(batch.sparkSession, path)
+        files.delete(parsed_pages, True)
 
     return _sink(pages.writeStream.foreachBatch(store), checkpoint, interval)
 
@@ -85,6 +138,7 @@ def link_sink(
 
     def store(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/links/batch_id={batch_id}")
+        _commit(batch.sparkSession, root, batch_id)
 
     return _sink(latest.writeStream.outputMode("update").foreachBatch(store), checkpoint, interval)
 
@@ -94,21 +148,60 @@ def _sink(writer: DataStreamWriter, checkpoint: str, interval: str | None) -> Da
     return writer.option("checkpointLocation", checkpoint).trigger(**trigger)
 
 
+def _read(spark: SparkSession, root: str, name: str, batches: list[int]) -> DataFrame:
+    schema = DELTA_SCHEMAS[name]
+    if not batches:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{root}/{name}/batch_id={b}" for b in batches])
+
+
 def read_link_deltas(spark: SparkSession, root: str) -> DataFrame:
-    """Stored link deltas, ready for ``upsert_links``."""
-    return spark.read.schema(DELTA_SCHEMAS["links"]).parquet(f"{root}/links")
+    """Committed link deltas, ready for ``upsert_links``."""
+    return _read(spark, root, "links", committed(spark, root))
 
 
-def read_deltas(spark: SparkSession, root: str) -> CrawlDelta:
-    """All stored deltas as one."""
-    return CrawlDelta(
-        **{
-            name: spark.read.schema(schema).parquet(f"{root}/{name}")
-            for name, schema in DELTA_SCHEMAS.items()
-        }
-    )
+def read_rejects(spark: SparkSession, root: str) -> DataFrame:
+    """Rejected submissions of the committed batches."""
+    batches = committed(spark, root)
+    if not batches:
+        return spark.createDataFrame([], SUBMITTED)
+    return spark.read.schema(SUBMITTED).parquet(*[f"{root}/rejects/batch_id={b}" for b in batches])
 
 
-def compact(snapshot: Snapshot, root: str) -> Snapshot:
-    """The snapshots with all deltas below ``root`` folded in."""
-    return fold_delta(snapshot, read_deltas(snapshot.links.sparkSession, root))
+def read_deltas(spark: SparkSession, root: str, after: int = -1) -> tuple[CrawlDelta, int]:
+    """The committed deltas after batch ``after`` as one, and the last batch read."""
+    batches = [b for b in committed(spark, root) if b > after]
+    return CrawlDelta(**{name: _read(spark, root, name, batches) for name in DELTA_SCHEMAS}), max(batches, default=after)
+
+
+def compact(snapshot: Snapshot, root: str, after: int = -1) -> Snapshot:
+    """The snapshots with the committed deltas after batch ``after`` folded in."""
+    delta, _ = read_deltas(snapshot.links.sparkSession, root, after)
+    return fold_delta(snapshot, delta)
+
+
+def compact_store(spark: SparkSession, store: str, root: str) -> int:
+    """Fold the batches since the last compaction into the stored snapshot.
+
+    A snapshot that holds all batches up to ``n`` is version ``n + 1`` of its tables
+    below ``store``, and counts once all of them are there.  Returns the last batch
+    that the store now holds, -1 for none; batches up to it can be deleted.
+    """
+    held = set.intersection(*(set(versions(spark, store, name)) for name in TABLES))
+    version = max(held, default=0)
+    delta, last = read_deltas(spark, root, version - 1)
+    if last + 1 > version:
+        old = {n: load_version(spark, store, n, s, version) if version else spark.createDataFrame([], s) for n, s in TABLES.items()}
+        folded = fold_delta(Snapshot(**old), delta)
+        for name in TABLES:
+            save_version(getattr(folded, name), store, name, last + 1)
+    return last
+
+
+def forget(spark: SparkSession, root: str, upto: int) -> None:
+    """Delete the deltas of batches up to ``upto``, which a stored snapshot holds; markers first."""
+    done = [b for b in committed(spark, root) if b <= upto]
+    for name in ("commits", *DELTA_SCHEMAS):
+        for batch in done:
+            files, path = _folder(spark, f"{root}/{name}/batch_id={batch}")
+            files.delete(path, True)
