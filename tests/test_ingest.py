@@ -72,19 +72,22 @@ def test_deltas_fold_together_as_one_by_one(spark):
     assert replayed == want
 
 
+ONE, TWO = "11111111-1111-1111-1111-111111111111", "22222222-2222-2222-2222-222222222222"
+
+
 def test_a_pass_keeps_the_ids_of_the_store(spark):
     store = Snapshot(
-        spark.createDataFrame([("1111", "http://h.x/a", NEVER), ("2222", "http://h.x/right", NEVER)], LINK),
-        spark.createDataFrame([("e", "1111", "2222", T0), ("f", "1111", "1111", T0)], EDGE),
-        spark.createDataFrame([("1111", "http://h.x/a", "old", "old", T0, 0.5)], DOCUMENT),
+        spark.createDataFrame([(ONE, "http://h.x/a", NEVER), (TWO, "http://h.x/right", NEVER)], LINK),
+        spark.createDataFrame([("e", ONE, TWO, T0), ("f", ONE, ONE, T0)], EDGE),
+        spark.createDataFrame([(ONE, "http://h.x/a", "old", "old", T0, 0.5)], DOCUMENT),
     )
     page = spark.createDataFrame([(1, "http://h.x/a", '<title>t</title><a href="/right">r</a><a href="/new">n</a>')], "page_id long, url string, html string")
     after = apply_crawl(store, extract_pages(page).drop("page_id"), T0 + DAY)
     links, edges, docs = view(after)
-    assert {r.url: r.id for r in after.links.collect()}["http://h.x/a"] == "1111"
+    assert {r.url: r.id for r in after.links.collect()}["http://h.x/a"] == ONE
     assert edges == {("http://h.x/a", "http://h.x/right"): T0 + DAY, ("http://h.x/a", "http://h.x/new"): T0 + DAY}
     assert {r.id for r in after.edges.collect()} >= {"e"}
-    assert docs == {"http://h.x/a": ("t", T0 + DAY, 0.5)} and after.docs.first().link_id == "1111"
+    assert docs == {"http://h.x/a": ("t", T0 + DAY, 0.5)} and after.docs.first().link_id == ONE
     done = rank_pass(after.links, after.edges, after.docs, T0 + 2 * DAY)
     assert done.rejects.count() == 0 and done.docs.first().pagerank not in (0.0, 0.5)
 

@@ -54,13 +54,30 @@ def build_postings(
     )
 
 
+def update_postings(
+    postings: DataFrame, changed: DataFrame, removed: DataFrame | None = None, english: bool = True
+) -> DataFrame:
+    """Postings after some documents changed, are new or went; the others are not analysed.
+
+    ``changed`` are documents as they are now, ``removed`` has the ``link_id`` of
+    those that are gone.  The result is that of a rebuild; store it as the next
+    version, as searches may still read this one.
+    """
+    gone = changed.select("link_id")
+    if removed is not None:
+        gone = gone.unionByName(removed.select("link_id"))
+    kept = postings.join(gone.distinct(), "link_id", "left_anti")
+    return kept.select("link_id", "term", "tf", "positions").unionByName(build_postings(changed, english))
+
+
 def write_postings(postings: DataFrame, path: str, partitions: int | None = None) -> DataFrame:
     """Store postings clustered by term, so a search reads only its row groups.
 
     The range is over term and document: a term that is in every document is
     spread over as many files as it needs.  Finding range bounds reads the
     input once more, so the postings are written as they come first; the bounds
-    then come from two columns of that table and texts are analysed once.
+    then come from two columns of that table and texts are analysed once.  Give
+    each version of an index a path of its own.
     """
     spark = postings.sparkSession
     keys = ("term", "link_id")
@@ -69,4 +86,6 @@ def write_postings(postings: DataFrame, path: str, partitions: int | None = None
     found = spark.read.schema(postings.schema).parquet(staged)
     ranged = found.repartitionByRange(partitions, *keys) if partitions else found.repartitionByRange(*keys)
     ranged.sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(staged)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
     return spark.read.schema(postings.schema).parquet(path)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,12 +14,15 @@ from webloom.operators.search import search
 from webloom.schemas import MAX_SUMMARY_LENGTH, PAGE_SIZE, RESULTS_PER_PAGE, SEARCH_ENDPOINT
 
 
-@dataclass
 class ResultPage:
-    """Hits in order and the one-row page details."""
+    """Hits in order and the one-row page details; the hits are found when asked for."""
 
-    hits: DataFrame
-    details: DataFrame
+    def __init__(self, details: DataFrame, fetch: Callable[[], DataFrame]):
+        self.details, self._fetch = details, fetch
+
+    @cached_property
+    def hits(self) -> DataFrame:
+        return self._fetch()
 
 
 def hit_columns(page: DataFrame, text: str, max_summary_length: int = MAX_SUMMARY_LENGTH) -> DataFrame:
@@ -83,7 +87,10 @@ def search_results(
     found = search(
         docs, postings, text, is_phrase(text), offset, limit, relevance_order=relevance_order, english=english
     )
-    hits = hit_columns(found.page, text, max_summary_length).select(
-        "link_id", "url", F.col("_title").alias("title"), "summary_html", "rank_pos"
-    )
-    return ResultPage(hits, page_details(found.total, text, offset, limit, results_per_page, endpoint))
+
+    def fetch() -> DataFrame:
+        return hit_columns(found.page, text, max_summary_length).select(
+            "link_id", "url", F.col("_title").alias("title"), "summary_html", "rank_pos"
+        )
+
+    return ResultPage(page_details(found.total, text, offset, limit, results_per_page, endpoint), fetch)

@@ -9,16 +9,22 @@ a single shuffle by document brings the few remaining rows together.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.functions.stem import stem
 from webloom.functions.text import STOP_WORDS, tokens
 from webloom.schemas import DOCUMENT_COLUMNS, PAGE_SIZE
+from webloom.session import shared_dir
 
-MAX_PAGE = 1000
+#: Rows of a page that are fetched as literals; a larger page is joined.
+LITERAL_ROWS = 1000
+#: Offset and page up to which rows are skipped by one task; beyond it they are counted by range.
+HEAP_ROWS = 10_000
 
 
 @dataclass(frozen=True)
@@ -29,12 +35,19 @@ class Operand:
     negated: bool = False
 
 
-@dataclass
 class SearchResult:
-    """One page of documents in search order and the one-row total."""
+    """One page of documents in search order and the one-row total.
 
-    page: DataFrame
-    total: DataFrame
+    The page is found when it is first asked for, so a caller that needs the
+    total alone runs no job for the page.
+    """
+
+    def __init__(self, total: DataFrame, fetch: Callable[[], DataFrame]):
+        self.total, self._fetch = total, fetch
+
+    @cached_property
+    def page(self) -> DataFrame:
+        return self._fetch()
 
 
 def _analyse(docs: DataFrame, chunks: list[str], english: bool) -> list[tuple[tuple[str, int], ...]]:
@@ -119,11 +132,21 @@ def matches(docs: DataFrame, postings: DataFrame, query: list[list[Operand]]) ->
         return F.when(F.col("term") == term, F.col(column))
 
     hits = postings.where(F.col("term").isin(terms))
-    # A document has one posting per term, so first() and max() see one value.
-    per_doc = hits.groupBy("link_id").agg(
-        *[F.max(only(t, "tf")).alias(f"tf_{i}") for t, i in index.items()],
-        *[F.first(only(t, "positions"), True).alias(f"pos_{index[t]}") for t in terms if t in in_phrase],
-    )
+    # A document has one posting per term, so max() sees one value.
+    tfs = [F.max(only(t, "tf")).alias(f"tf_{i}") for t, i in index.items()]
+    if in_phrase:
+        # Positions are gathered as a list, which is hashed; the maximum of an array would be sorted.
+        held = F.collect_list(F.when(F.col("term").isin(*sorted(in_phrase)), F.struct("term", "positions")))
+        gathered = hits.groupBy("link_id").agg(*tfs, held.alias("_held"))
+
+        def of_term(t: str) -> Column:
+            return F.element_at(F.filter("_held", lambda h: h["term"] == t), 1)["positions"]
+
+        per_doc = gathered.select(
+            "link_id", *[f"tf_{i}" for i in index.values()], *[F.when(F.col(f"tf_{index[t]}").isNotNull(), of_term(t)).alias(f"pos_{index[t]}") for t in sorted(in_phrase)]
+        )
+    else:
+        per_doc = hits.groupBy("link_id").agg(*tfs)
     if any(all(op.negated for op in group) for group in query):
         # An alternative without a wanted term can hold where no posting is.
         per_doc = docs.select("link_id").join(per_doc, "link_id", "left")
@@ -148,6 +171,8 @@ def search(
     limit: int = PAGE_SIZE,
     relevance_order: str = "asc",
     english: bool = True,
+    ranks: DataFrame | None = None,
+    after: tuple[float, float | None, str] | str | None = None,
 ) -> SearchResult:
     """All documents for an empty text, else a phrase or a web-style match.
 
@@ -155,18 +180,31 @@ def search(
     ``relevance_order="desc"``), then by falling rank with unranked documents
     first, then by id (T1).  The page has the document columns and ``rank_pos``,
     a match also ``relevance``.
+
+    ``ranks(link_id, pagerank)`` are the current ranks where they are kept apart
+    from the documents; bucketed by ``link_id`` they are joined without being
+    shuffled.  ``after`` is the key of the last row of the page before (relevance,
+    rank and id, or the id alone for an empty text): rows up to it are filtered
+    out, and ``offset`` only numbers the page.
     """
     if relevance_order not in ("asc", "desc"):
         raise ValueError("relevance_order must be 'asc' or 'desc'")
     if text == "":
-        return SearchResult(match_all(docs, offset, limit), docs.agg(F.count(F.lit(1)).alias("total")))
+        total = docs.agg(F.count(F.lit(1)).alias("total"))
+        return SearchResult(total, lambda: match_all(docs, offset, limit, after))
     query = read_phrase(docs, text, english) if phrase else read_query(docs, text, english)
     found = matches(docs, postings, query)
-    # Ordering needs the rank only, so no text is read or sorted for it.
-    ranked = found.join(docs.select("link_id", "pagerank"), "link_id")
-    top = ranked.orderBy(*search_order(relevance_order)).select("link_id", "relevance")
-    page = fetch_page(docs, top, offset, limit, {"relevance": "double"})
-    return SearchResult(page, found.agg(F.count(F.lit(1)).alias("total")))
+
+    def fetch() -> DataFrame:
+        # Ordering needs the rank only, so no text is read or sorted for it.
+        current = (docs if ranks is None else ranks).select("link_id", "pagerank")
+        ranked = found.join(current, "link_id")
+        if after is not None:
+            ranked = ranked.where(_follows(after, relevance_order))
+        extra = {"relevance": "double", "pagerank": "double"}
+        return fetch_page(docs, ranked, search_order(relevance_order), offset, limit, extra, skip=after is None)
+
+    return SearchResult(found.agg(F.count(F.lit(1)).alias("total")), fetch)
 
 
 def search_order(relevance_order: str = "asc") -> list[Column]:
@@ -179,32 +217,84 @@ def search_order(relevance_order: str = "asc") -> list[Column]:
     ]
 
 
-def match_all(docs: DataFrame, offset: int = 0, limit: int = PAGE_SIZE) -> DataFrame:
-    """A page of all documents by id."""
-    return fetch_page(docs, docs.select("link_id").orderBy("link_id"), offset, limit)
+def _follows(key: tuple[float, float | None, str], relevance_order: str) -> Column:
+    """Rows that come after ``key`` in search order."""
+    relevance, rank, link_id = key
+    found, held = F.col("relevance"), F.col("pagerank")
+    lower = held.isNotNull() if rank is None else held < rank
+    later = lower | (held.eqNullSafe(F.lit(rank)) & (F.col("link_id") > link_id))
+    return (found > relevance if relevance_order == "asc" else found < relevance) | ((found == relevance) & later)
+
+
+def match_all(docs: DataFrame, offset: int = 0, limit: int = PAGE_SIZE, after: str | None = None) -> DataFrame:
+    """A page of all documents by id; those after the id ``after`` if it is given."""
+    ids = docs.select("link_id")
+    if after is not None:
+        ids = ids.where(F.col("link_id") > after)
+    return fetch_page(docs, ids, [F.col("link_id").asc()], offset, limit, skip=after is None)
+
+
+def rows_of_page(rows: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
+    """The rows ``offset`` to ``offset + limit`` in order.
+
+    A small page is the heap of a single task.  For a deep one the rows are cut
+    into ranges of the order and written; the sizes of the ranges tell which of
+    them hold the page, and only those are read.
+    """
+    if offset + limit <= HEAP_ROWS:
+        return rows.orderBy(*order).offset(offset).limit(limit)
+    shared_dir(rows.sparkSession)
+    part = F.spark_partition_id()
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", part).checkpoint()
+    sizes = {r["_part"]: r["count"] for r in ranged.groupBy("_part").count().collect()}
+    at, wanted, skipped = 0, [], 0
+    for number in sorted(sizes):
+        if at + sizes[number] <= offset:
+            skipped = at + sizes[number]
+        elif at < offset + limit:
+            wanted.append(number)
+        at += sizes[number]
+    held = ranged.where(F.col("_part").isin(wanted)).drop("_part")
+    return held.orderBy(*order).offset(offset - skipped).limit(limit)
 
 
 def fetch_page(
-    docs: DataFrame, ordered: DataFrame, offset: int, limit: int, extra: dict[str, str] | None = None
+    docs: DataFrame,
+    rows: DataFrame,
+    order: list[Column],
+    offset: int,
+    limit: int,
+    extra: dict[str, str] | None = None,
+    skip: bool = True,
 ) -> DataFrame:
-    """The documents of one page of ``ordered``, with ``rank_pos``.
+    """The documents of one page of ``rows`` in ``order``, with ``rank_pos``.
 
-    The ids of the page, ``limit`` at most, are fetched first: as literals they
-    are pushed into the scan of the documents, which then reads the row groups
-    that may hold them in place of the text of every document.  ``extra`` names
-    the columns of ``ordered`` to keep, with their types.
+    The ids of a page are fetched first: as literals they are pushed into the
+    scan of the documents, which then reads the row groups that may hold them in
+    place of the text of every document.  A page of more than ``LITERAL_ROWS``
+    is joined.  ``extra`` names the columns of ``rows`` to keep, with their
+    types.  Without ``skip`` the page starts with the first row.
     """
-    if not 0 < limit <= MAX_PAGE:
-        raise ValueError(f"a page has 1 to {MAX_PAGE} rows")
+    if limit <= 0:
+        raise ValueError("a page has one row at least")
     if offset < 0:
         raise ValueError("the offset must not be negative")
-    rows = ordered.offset(offset).limit(limit).collect()
+    extra = extra or {}
+    rows = rows.select("link_id", *extra)
+    page = rows_of_page(rows, order, offset if skip else 0, limit)
+    given = docs.select(*DOCUMENT_COLUMNS)
+    columns = [*DOCUMENT_COLUMNS, *[c for c in extra if c not in DOCUMENT_COLUMNS], "rank_pos"]
+    if limit > LITERAL_ROWS:
+        # The window sorts the rows of one page.
+        numbered = page.withColumn("rank_pos", (F.row_number().over(Window.orderBy(*order)) + offset).cast("int"))
+        return given.drop(*extra).join(numbered, "link_id").select(*columns).orderBy("rank_pos")
+    found = page.collect()
 
     def of_row(values: list, kind: str) -> Column:
-        pairs = [F.lit(x).cast(t) for r, v in zip(rows, values) for x, t in ((r["link_id"], "string"), (v, kind))]
+        pairs = [F.lit(x).cast(t) for r, v in zip(found, values) for x, t in ((r["link_id"], "string"), (v, kind))]
         return F.create_map(*pairs)[F.col("link_id")] if pairs else F.lit(None).cast(kind)
 
-    columns = {name: of_row([r[name] for r in rows], kind) for name, kind in (extra or {}).items()}
-    columns["rank_pos"] = of_row([offset + n + 1 for n in range(len(rows))], "int")
-    page = docs.select(*DOCUMENT_COLUMNS).where(F.col("link_id").isin([r["link_id"] for r in rows]))
-    return page.withColumns(columns).orderBy("rank_pos")
+    added = {name: of_row([r[name] for r in found], kind) for name, kind in extra.items()}
+    added["rank_pos"] = of_row([offset + n + 1 for n in range(len(found))], "int")
+    given = given.where(F.col("link_id").isin([r["link_id"] for r in found]))
+    return given.withColumns(added).select(*columns).orderBy("rank_pos")

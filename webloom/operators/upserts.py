@@ -23,6 +23,7 @@ from webloom.functions.urls import parse_uuid, uuid_of
 from webloom.operators.scans import ntz
 from webloom.operators.skew import lookup_join
 from webloom.schemas import DOCUMENT_COLUMNS, NIL_ID
+from webloom.session import shared_dir
 
 
 def upsert_links(links: DataFrame, batch: DataFrame) -> DataFrame:
@@ -44,6 +45,15 @@ def upsert_links(links: DataFrame, batch: DataFrame) -> DataFrame:
     )
 
 
+def mark_ends(edges: DataFrame, links: DataFrame) -> DataFrame:
+    """``edges`` with ``_known``, whether both ends exist."""
+    ids = links.select(F.col("id").alias("_key"))
+    marked = lookup_join(edges, ids.withColumn("_src_known", F.lit(True)), "src", "left")
+    marked = lookup_join(marked, ids.withColumn("_dst_known", F.lit(True)), "dst", "left", counted=edges)
+    known = F.col("_src_known").isNotNull() & F.col("_dst_known").isNotNull()
+    return marked.withColumn("_known", known).drop("_src_known", "_dst_known")
+
+
 def known_ends(edges: DataFrame, links: DataFrame) -> DataFrame:
     """Edges whose two ends exist.  Also the cascade after a link is gone."""
     ids = links.select(F.col("id").alias("_key"))
@@ -54,11 +64,7 @@ def known_ends(edges: DataFrame, links: DataFrame) -> DataFrame:
 
 def unknown_ends(edges: DataFrame, links: DataFrame) -> DataFrame:
     """The rejects, edges with at least one end that does not exist."""
-    ids = links.select(F.col("id").alias("_key"))
-    known = ids.withColumn("_known", F.lit(True))
-    marked = lookup_join(edges, known, "src", "left").withColumnRenamed("_known", "_src_known")
-    marked = lookup_join(marked, known, "dst", "left", counted=edges)
-    return marked.where(F.col("_src_known").isNull() | F.col("_known").isNull()).drop("_src_known", "_known")
+    return mark_ends(edges, links).where(~F.col("_known")).drop("_known")
 
 
 def distinct_edges(batch: DataFrame) -> DataFrame:
@@ -82,10 +88,13 @@ def upsert_edges(
 ) -> tuple[DataFrame, DataFrame]:
     """New edge snapshot and the rejected edges.
 
-    The time of the caller is ignored, as every edge written gets ``as_of``.
+    The time of the caller is ignored, as every edge written gets ``as_of``.  The
+    ends are looked up once, for both results.
     """
-    wanted = distinct_edges(batch)
-    return touch_edges(edges, known_ends(wanted, links), as_of), unknown_ends(wanted, links)
+    shared_dir(edges.sparkSession)
+    marked = mark_ends(distinct_edges(batch).checkpoint(), links).checkpoint()
+    known, rejects = (marked.where(c).drop("_known") for c in (F.col("_known"), ~F.col("_known")))
+    return touch_edges(edges, known, as_of), rejects
 
 
 def delete_stale_edges(edges: DataFrame, cutoffs: DataFrame) -> DataFrame:
@@ -151,6 +160,34 @@ def update_rank(docs: DataFrame, scores: DataFrame) -> DataFrame:
     )
 
 
+def update_ranks(ranks: DataFrame, scores: DataFrame) -> DataFrame:
+    """K5, J5 for ranks kept apart, ``(link_id, pagerank)``: no text is read or written.
+
+    Store the result bucketed by ``link_id`` beside the documents; searches and
+    ``with_ranks`` join it where a page needs it.
+    """
+    new = scores.select("link_id", F.col("score").alias("_score"), F.lit(True).alias("_set"))
+    return ranks.join(new, "link_id", "left").select(
+        "link_id", F.when(F.col("_set"), F.col("_score")).otherwise(F.col("pagerank")).alias("pagerank")
+    )
+
+
+def with_ranks(docs: DataFrame, ranks: DataFrame) -> DataFrame:
+    """The documents with ranks that are kept apart; those without a rank keep their own."""
+    new = ranks.select("link_id", F.col("pagerank").alias("_rank"), F.lit(True).alias("_ranked"))
+    rank = F.when(F.col("_ranked"), F.col("_rank")).otherwise(F.col("pagerank")).alias("pagerank")
+    return docs.join(new, "link_id", "left").select(*[c for c in DOCUMENT_COLUMNS if c != "pagerank"], rank)
+
+
+def persist_ranks(ranks: DataFrame, scores: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """K8, F17 for ranks kept apart: new ranks and the vertex scores whose id is no link id."""
+    parsed = scores.select("id", "score", parse_uuid(F.col("id")).alias("link_id"))
+    return (
+        update_ranks(ranks, parsed.where(F.col("link_id").isNotNull())),
+        parsed.where(F.col("link_id").isNull()).select("id", "score"),
+    )
+
+
 def persist_scores(docs: DataFrame, ranks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Write vertex scores ``(id, score)`` back; bad ids are rejects."""
     parsed = ranks.select("id", "score", parse_uuid(F.col("id")).alias("link_id"))

@@ -75,9 +75,11 @@ def metric_delta(history: DataFrame) -> DataFrame:
 def unknown_destinations(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges of known sources whose destination is no vertex.
 
-    Distinct destinations are compared first, so a hub is looked up once.
+    Distinct destinations are compared first, so a hub is looked up once.  Both
+    tables are read several times and written for that first.
     """
-    ids = vertices.select("id")
+    shared_dir(edges.sparkSession)
+    ids, edges = vertices.select("id").checkpoint(), edges.checkpoint()
     missing = edges.select("dst").distinct().join(ids.withColumnRenamed("id", "dst"), "dst", "left_anti")
     lost = lookup_join(edges, missing.withColumnRenamed("dst", "_key"), "dst", "left_semi")
     return lookup_join(lost, ids.withColumnRenamed("id", "_key"), "src", "left_semi", counted=edges)

@@ -339,6 +339,10 @@ def oracle_sql() -> dict[str, str]:
  now_edge as (select src, dst, {AS_OF} t from found_edge group by src, dst),
  folded as (select {uuid("src || '>' || dst")} id, src, dst, greatest(e.update_at, n.t) update_at
    from edge e full join now_edge n using (src, dst))"""
+    changed = POSTINGS.replace(DOC, DOC.replace("doc as (", "doc0 as (", 1).rstrip() + """,
+doc as (select link_id, url, title, case when right(url,1) = '3' then 'changed things ' || content else content end as content,
+  indexed_at, pagerank from doc0 where right(url,1) <> '7')
+""")
     # m: the id that each url has, in the store or by being new.
     foreign = f"""{GRAPH}, m as (select url, id made, case when id >= '5' then {uuid("'store' || id")} else id end id from link)"""
     # More steps than the graph has links in a row: the last ones change nothing.
@@ -406,8 +410,8 @@ def oracle_sql() -> dict[str, str]:
  null::varchar content, {AS_OF} indexed_at, pagerank from doc
  union all select {uuid("'new' || url")}, url, title, md5(content), indexed_at, pagerank from doc""",
         "find_document": f"with {DOC} select * from doc where link_id = {uuid(lit(f'doc{Q.LOOKUP_DOC}'))}",
-        "update_rank": f"""with {DOC} select link_id, url, case when (length(url) + length(content)) % 3 = 0 then pagerank
- else length(content) / 1000.0::double end pagerank from doc""",
+        "update_rank": f"""with {DOC} select link_id, url, case when regexp_extract(url,'[0-9]+$')::bigint % 3 = 0 then pagerank
+ else regexp_extract(url,'[0-9]+$')::bigint / 1000.0::double end pagerank from doc""",
         "index_json": f"""with {DOC} select link_id, '{{"ID":"' || link_id || '","URL":"' || url || '","PageScore":' ||
  case when pagerank > 0.5 then '0.5' when pagerank > 0 then '0.25' else 'null' end || '}}' as json
  from doc order by link_id limit 10 offset 5""",
@@ -417,6 +421,9 @@ def oracle_sql() -> dict[str, str]:
         "build_postings": f"with {POSTINGS} select link_id, term, tf, array_to_string(positions,' ') positions from posting",
         "build_postings_plain": f"""with {WORDS} select link_id, word term, count(*)::int tf,
  array_to_string(list(pos order by pos),' ') positions from tok group by link_id, word""",
+        "update_postings": f"with {changed} select link_id, term, tf, array_to_string(positions,' ') positions from posting",
+        "search_all_pages": search_sql(*OR_NOT, page_sql().replace("limit 10", "")),
+        "search_after": search_sql(*MATCH, page_sql(10)),
         "search_match": search_sql(*MATCH, page_sql()),
         "search_match_desc": search_sql(*MATCH, page_sql(order="desc")),
         "search_or_not": search_sql(*OR_NOT, page_sql()),

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions.urls import uuid_of
+from webloom.operators.postings import update_postings
 from webloom.operators.scans import ntz
 from webloom.operators.skew import lookup_join
 from webloom.operators.upserts import delete_stale_edges, upsert_documents, upsert_links
@@ -102,3 +103,9 @@ def pass_report(crawled: DataFrame) -> DataFrame:
 def apply_crawl(snapshot: Snapshot, crawled: DataFrame, as_of: datetime) -> Snapshot:
     """K6: the snapshots after one pass."""
     return fold_delta(snapshot, crawl_delta(crawled, as_of))
+
+
+def crawl_postings(postings: DataFrame, after: Snapshot, crawled: DataFrame, english: bool = True) -> DataFrame:
+    """The index after a pass: the pages of the pass are analysed anew, others are not read."""
+    changed = after.docs.join(crawled.select("url").distinct(), "url", "left_semi")
+    return update_postings(postings, changed, english=english)

@@ -9,14 +9,18 @@ from pyspark.sql import DataFrame
 
 from webloom.operators.pagerank import pagerank
 from webloom.operators.scans import rank_input
-from webloom.operators.upserts import persist_scores
+from webloom.operators.upserts import persist_ranks, with_ranks
 from webloom.operators.vertexprogram import VertexResult
 
 
 @dataclass
 class RankPass:
-    """Documents with new ranks, scores whose id is no link id, and the run."""
+    """New ranks alone, documents with them, scores whose id is no link id, and the run.
 
+    Write ``ranks``, which hold no text; ``docs`` is for those who keep both together.
+    """
+
+    ranks: DataFrame
     docs: DataFrame
     rejects: DataFrame
     result: VertexResult
@@ -31,5 +35,5 @@ def rank_pass(
     """
     vertices, older = rank_input(links, edges, as_of)
     result = pagerank(vertices.select("id"), older.select("src", "dst"), **options)
-    ranked, rejects = persist_scores(docs, result.vertices)
-    return RankPass(ranked, rejects, result)
+    ranks, rejects = persist_ranks(docs.select("link_id", "pagerank"), result.vertices)
+    return RankPass(ranks, with_ranks(docs, ranks), rejects, result)

@@ -15,7 +15,7 @@ from webloom.functions.stem import stem
 from webloom.functions.urls import is_web_url, normalise_url, uuid_of
 from webloom.operators import partitioning, results, scans, search, upserts
 from webloom.operators.pagerank import pagerank, without_self_links
-from webloom.operators.postings import build_postings, write_postings
+from webloom.operators.postings import build_postings, update_postings, write_postings
 from webloom.operators.vertexprogram import (
     metric_delta,
     out_degrees,
@@ -28,7 +28,7 @@ from webloom.schemas import DOCUMENT, EDGE, LINK
 from webloom.session import fresh_path, shared_dir
 from webloom.sources import derived as D
 from webloom.sources.pages import extract_pages, rejected_submissions, submitted_links
-from webloom.sources.tables import index_json
+from webloom.sources.tables import index_json, load_version, save_version
 from webloom.streaming import ingest
 
 MATCH_TEXT = "the tion of thing"
@@ -39,6 +39,7 @@ LOOKUP_DOC = 7
 
 Query = Callable[[SparkSession, str], DataFrame]
 _indexes: dict[tuple[str, str], DataFrame] = {}
+_corpora: dict[tuple[str, str], DataFrame] = {}
 
 
 def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +55,17 @@ def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _indexes[key]
 
 
+def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search corpus, stored once per application and clustered by id, so that a
+    page of ids reads the row groups that hold them."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _corpora:
+        root = fresh_path(spark, "corpus")
+        save_version(D.search_documents(spark, sf_dir), root, "docs", 1, cluster_by="link_id")
+        _corpora[key] = load_version(spark, root, "docs", DOCUMENT)
+    return _corpora[key]
+
+
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parsed pages, once, for plans that read them several times."""
     shared_dir(spark)
@@ -241,19 +253,18 @@ def upsert_documents_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def find_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     link_id = spark.range(1).select(uuid_of(F.lit(f"doc{LOOKUP_DOC}"))).first()[0]
-    return scans.lookup_document(D.search_documents(spark, sf_dir), link_id)
+    return scans.lookup_document(_corpus(spark, sf_dir), link_id)
 
 
 def update_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = D.search_documents(spark, sf_dir)
+    number = F.regexp_extract("url", "[0-9]+$", 0).cast("long")
     # Two of three ids are those of documents, in upper case; one is no id.
-    third = F.pmod(F.length("url") + F.length("content"), F.lit(3))
     scores = docs.select(
-        F.when(third == 0, F.col("url")).otherwise(F.upper("link_id")).alias("id"),
-        (F.length("content") / 1000.0).alias("score"),
+        F.when(number % 3 == 0, F.col("url")).otherwise(F.upper("link_id")).alias("id"), (number / 1000.0).alias("score")
     )
-    ranked, _ = upserts.persist_scores(docs, scores)
-    return ranked.select("link_id", "url", "pagerank")
+    ranks, _ = upserts.persist_ranks(docs.select("link_id", "pagerank"), scores)
+    return upserts.with_ranks(docs, ranks).select("link_id", "url", "pagerank")
 
 
 def index_json_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,7 +275,7 @@ def index_json_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.match_all(D.search_documents(spark, sf_dir), offset=20)
+    return search.match_all(_corpus(spark, sf_dir), offset=20)
 
 
 # -- search -------------------------------------------------------------------
@@ -278,6 +289,29 @@ def build_postings_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat_positions(build_postings(D.search_documents(spark, sf_dir), english=False))
 
 
+def update_postings_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index after every tenth document changed and every seventh of ten went."""
+    docs, digit = D.search_documents(spark, sf_dir), F.col("url").substr(-1, 1)
+    changed = docs.where(digit == "3").withColumn("content", F.concat(F.lit("changed things "), "content"))
+    removed = docs.where(digit == "7").select("link_id")
+    return _flat_positions(update_postings(_postings(spark, sf_dir), changed, removed))
+
+
+def search_all_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All matches as one page, which is larger than what is fetched by literals."""
+    found = search.search(_corpus(spark, sf_dir), _postings(spark, sf_dir), OR_NOT_TEXT, limit=1_000_000)
+    return found.page.select("rank_pos", "link_id", "url", "title", "relevance", "pagerank")
+
+
+def search_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page, by the key of the last row of the first."""
+    docs, postings = _corpus(spark, sf_dir), _postings(spark, sf_dir)
+    last = search.search(docs, postings, MATCH_TEXT).page.collect()[-1]
+    key = (last.relevance, last.pagerank, last.link_id)
+    found = search.search(docs, postings, MATCH_TEXT, offset=10, after=key)
+    return found.page.select("rank_pos", "link_id", "url", "title", "relevance", "pagerank")
+
+
 def _flat_positions(postings: DataFrame) -> DataFrame:
     return postings.select(
         "link_id", "term", "tf", F.array_join("positions", " ").alias("positions")
@@ -293,7 +327,7 @@ def stem_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _search(text: str, phrase: bool = False, offset: int = 0, order: str = "asc") -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = D.search_documents(spark, sf_dir)
+        docs = _corpus(spark, sf_dir)
         found = search.search(docs, _postings(spark, sf_dir), text, phrase, offset, relevance_order=order)
         return found.page.select("rank_pos", "link_id", "url", "title", "relevance", "pagerank")
 
@@ -304,7 +338,7 @@ def _matches(text: str, phrase: bool = False) -> Query:
     """All matching documents, not one page of them."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = D.search_documents(spark, sf_dir)
+        docs = _corpus(spark, sf_dir)
         query = search.read_phrase(docs, text) if phrase else search.read_query(docs, text)
         return search.matches(docs, _postings(spark, sf_dir), query)
 
@@ -312,22 +346,22 @@ def _matches(text: str, phrase: bool = False) -> Query:
 
 
 def search_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = D.search_documents(spark, sf_dir)
+    docs = _corpus(spark, sf_dir)
     return search.search(docs, _postings(spark, sf_dir), OR_NOT_TEXT).total
 
 
 def page_details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = D.search_documents(spark, sf_dir)
+    docs = _corpus(spark, sf_dir)
     return results.search_results(docs, _postings(spark, sf_dir), MATCH_TEXT, offset=20).details
 
 
 def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = D.search_documents(spark, sf_dir)
+    docs = _corpus(spark, sf_dir)
     return results.search_results(docs, _postings(spark, sf_dir), PHRASE_TEXT).hits
 
 
 def match_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = D.search_documents(spark, sf_dir)
+    docs = _corpus(spark, sf_dir)
     return results.search_results(docs, _postings(spark, sf_dir), MATCH_TEXT).hits
 
 
@@ -550,6 +584,9 @@ def queries() -> dict[str, Query]:
         "stem_terms": stem_terms,
         "build_postings": build_postings_query,
         "build_postings_plain": build_postings_plain,
+        "update_postings": update_postings_query,
+        "search_all_pages": search_all_pages,
+        "search_after": search_after,
         "search_match": _search(MATCH_TEXT),
         "search_match_desc": _search(MATCH_TEXT, order="desc"),
         "search_or_not": _search(OR_NOT_TEXT),

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from webloom.operators.search import rows_of_page
 from webloom.schemas import PAGE_SIZE
 
 
@@ -70,12 +71,16 @@ def save_bucketed(df: DataFrame, name: str, path: str, key: str, buckets: int) -
     return df.sparkSession.table(name)
 
 
-def index_json(docs: DataFrame, offset: int = 0, limit: int = PAGE_SIZE) -> DataFrame:
-    """A page of all documents as JSON objects ``ID, URL, PageScore``."""
+def index_json(docs: DataFrame, offset: int = 0, limit: int = PAGE_SIZE, after: str | None = None) -> DataFrame:
+    """A page of all documents as JSON objects ``ID, URL, PageScore``; of those
+    after the id ``after`` if it is given, without an offset."""
     row = F.struct(
         F.col("link_id").alias("ID"), F.col("url").alias("URL"), F.col("pagerank").alias("PageScore")
     )
-    page = docs.select("link_id", "url", "pagerank").orderBy("link_id").offset(offset).limit(limit)
+    rows = docs.select("link_id", "url", "pagerank")
+    if after is not None:
+        rows = rows.where(F.col("link_id") > after)
+    page = rows_of_page(rows, [F.col("link_id").asc()], 0 if after is not None else offset, limit)
     return page.select("link_id", F.to_json(row, {"ignoreNullFields": "false"}).alias("json"))
 
 
