@@ -147,11 +147,13 @@ def test_settings_are_restored_after_an_error(spark):
     assert before == (spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled"))
 
 
-def test_edges_are_not_shuffled_in_a_superstep(spark):
+@pytest.mark.parametrize("edges_per_block", [1_000_000, 1])
+def test_edges_are_not_shuffled_in_a_superstep(spark, edges_per_block):
     from webloom.operators import vertexprogram as VP
 
     v, e = graph(spark, "ABCD", "AB BC CA CD")
-    layout = VP._Layout(spark, v.withColumn("x", F.lit(1.0)), e, "error", 4, 1_000_000)
+    layout = VP._Layout(spark, v.withColumn("x", F.lit(1.0)), e, "error", 4, edges_per_block)
+    assert layout.blocked == (edges_per_block == 1)
     from webloom.session import planning
 
     with planning(spark, {**layout.settings(), "spark.sql.autoBroadcastJoinThreshold": -1}):
@@ -163,3 +165,20 @@ def test_edges_are_not_shuffled_in_a_superstep(spark):
     # One of them is the sum of the messages, the other brings the senders to
     # the edges, which are placed by the same hash and need none.
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_checkpoints_of_old_supersteps_are_deleted(spark):
+    import os
+
+    from webloom.session import shared_dir
+
+    root = shared_dir(spark).removeprefix("file:")
+
+    def held():
+        return sum(len(dirs) for path, dirs, _ in os.walk(root) if os.path.dirname(path) == root)
+
+    v, e = graph(spark, "ABCD", "AB BC CA CD")
+    before = held()
+    result = pagerank(v, e)
+    assert result.superstep > 10 and held() - before <= 6
+    assert result.vertices.count() == 4

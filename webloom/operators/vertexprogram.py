@@ -14,10 +14,10 @@ Physical design, per superstep one job of two stages:
 * Vertices stay partitioned by number.  Messages are summed per task before they
   are shuffled, so a hub that receives a third of all messages costs one row
   per task.
-* A source with more out-edges than ``edges_per_block`` is split into blocks,
-  each a partition key of its own; only that source's value is repeated, once
-  per block.  The blocked sources are broadcast, and there are at most 100,000
-  of them by the choice of the block size.
+* The out-edges of a source with more than ``edges_per_block`` of them lie apart,
+  spread over all partitions.  In a superstep the rows of these sources, at most
+  100,000 by the choice of the bound, are broadcast to them; the other vertices
+  and edges stay where they are.
 * The new vertices are checkpointed by the same job that computes them.  That
   ends the lineage of the superstep, so a lost executor costs one superstep at
   most, and it keeps the plan of the next one small.  The partitioning
@@ -40,7 +40,9 @@ from webloom.session import planning, shared_dir
 
 Globals = Mapping[str, float]
 MAX_BLOCKED_SOURCES = 100_000
-EDGES_PER_PARTITION = 4_000_000
+#: An edge is two numbers, so a partition of 40 million is some 640 MB before it is packed.
+EDGES_PER_PARTITION = 40_000_000
+VERTICES_PER_PARTITION = 5_000_000
 
 
 class UnknownDestination(ValueError):
@@ -138,38 +140,31 @@ class _Layout:
         )
         size = base.agg(F.count(F.lit(1)).alias("v"), F.max("out_degree").alias("hub")).first()
         self.vertex_count, edge_count, hub = size["v"], counted["all"], size["hub"] or 0
-        rows = max(self.vertex_count, edge_count)
         self.partitions = partitions or max(
-            spark.sparkContext.defaultParallelism, math.ceil(rows / EDGES_PER_PARTITION)
+            spark.sparkContext.defaultParallelism,
+            math.ceil(edge_count / EDGES_PER_PARTITION),
+            math.ceil(self.vertex_count / VERTICES_PER_PARTITION),
         )
         self.block = max(edges_per_block, math.ceil(edge_count / MAX_BLOCKED_SOURCES))
         self.blocked = hub > self.block
-        keys = ["_src"]
+        hub_edges = None
         if self.blocked:
-            hubs = base.where(F.col("out_degree") > self.block).select(
-                F.col("_key").alias("_src"), self.blocks().alias("_blocks")
-            )
-            columns = [c for c in valid.columns if c != "_src"]
-            valid = (
-                valid.join(F.broadcast(hubs), "_src", "left")
-                .withColumn("_block", F.coalesce(F.pmod(F.xxhash64(*columns), "_blocks"), F.lit(0)))
-                .drop("_blocks")
-            )
-            keys.append("_block")
+            hubs = base.where(F.col("out_degree") > self.block).select(F.col("_key").alias("_src"), F.lit(True).alias("_hub"))
+            marked = valid.join(F.broadcast(hubs), "_src", "left")
+            hub_edges, valid = marked.where("_hub").drop("_hub"), marked.where("_hub is null").drop("_hub")
         with planning(spark, self.settings()):
             self.edges = (
-                valid.repartition(self.partitions, *keys).sortWithinPartitions(*keys).checkpoint().persist()
+                valid.repartition(self.partitions, "_src").sortWithinPartitions("_src").checkpoint().persist()
             )
+            self.hub_edges = hub_edges and hub_edges.repartition(self.partitions, *hub_edges.columns).checkpoint().persist()
             self.vertices = base.repartition(self.partitions, "_key").checkpoint()
         for frame in (base, encoded, given):
             frame.unpersist()
 
     def release(self) -> None:
         self.edges.unpersist()
-
-    def blocks(self) -> Column:
-        """Number of blocks the out-edges of a vertex are split into."""
-        return F.greatest(F.lit(1), F.ceil(F.col("out_degree") / self.block)).cast("bigint")
+        if self.blocked:
+            self.hub_edges.unpersist()
 
     def settings(self) -> dict[str, object]:
         # The partitioning is known and has to stay as it is from step to
@@ -179,10 +174,11 @@ class _Layout:
     def messages(self, senders: DataFrame, message: Column) -> DataFrame:
         """The messages the out-edges carry, as ``(_dst, msg)``."""
         same = F.col("_key") == F.col("_src")
+        sent = senders.join(self.edges, same).select("_dst", message.alias("msg"))
         if self.blocked:
-            senders = senders.withColumn("_part", F.explode(F.sequence(F.lit(0), self.blocks() - 1)))
-            same = same & (F.col("_part") == F.col("_block"))
-        return senders.join(self.edges, same).select("_dst", message.alias("msg"))
+            hubs = F.broadcast(senders.where(F.col("out_degree") > self.block))
+            sent = sent.unionByName(self.hub_edges.join(hubs, same).select("_dst", message.alias("msg")))
+        return sent
 
     def addressed(self, sent: DataFrame, on_unknown_dst: str) -> DataFrame:
         """V6: messages ``(dst, msg)`` to given ids, as ``(_dst, msg)``."""
@@ -247,7 +243,9 @@ def run_vertex_program(
                 if pre_step:
                     pre_step(step, globals_)
                 inbox = _inbox(layout, state, message, combine, send, step, on_unknown_dst) if history else None
+                before = state
                 state, metrics = _superstep(state, inbox, values, update, aggregates, halt, step, globals_)
+                _forget(before)
                 for name in running:
                     if name in metrics or name in globals_:
                         metrics[name] = (globals_.get(name) or 0) + (metrics.get(name) or 0)
@@ -266,6 +264,20 @@ def run_vertex_program(
     return VertexResult(state.select("id", "out_degree", *values), step - 1, history)
 
 
+def _forget(state: DataFrame) -> None:
+    """Delete the checkpoint of a superstep whose successor is written.
+
+    The cleaner does that only where the session is set up for it, and late.
+    """
+    plan = state._jdf.queryExecution().logical()
+    if plan.nodeName().startswith("LogicalRDD") or "LogicalRDD" in plan.getClass().getName():
+        file = plan.rdd().getCheckpointFile()
+        if file.isDefined():
+            spark = state.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _inbox(
     layout: _Layout,
     state: DataFrame,
