@@ -257,19 +257,23 @@ def links(nodes: DataFrame, distance: int = 4, segments: int | None = None, most
 
 
 # -- components ---------------------------------------------------------------
+#
+# A node may have a third of all links.  The smallest neighbours are written before
+# they are joined: then both sides of the join are plain exchanges, and adaptive
+# execution splits the partition of such a node.
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link the larger neighbours of a node with the smallest one."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    low = _kept(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "smallest")
     return both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link a node and its smaller neighbours with the smallest one."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    low = down.groupBy("a").agg(F.min("b").alias("m"))
+    low = _kept(down.groupBy("a").agg(F.min("b").alias("m")), "smallest")
     moved = down.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
 
@@ -306,7 +310,7 @@ def near_duplicates(
     roots = components(links(nodes, distance, segments, most))
     own = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
     own = _kept(own, "roots")
-    smallest = own.groupBy("root").agg(F.min("first_doc").alias("component_id"))
+    smallest = _kept(own.groupBy("root").agg(F.min("first_doc").alias("component_id")), "smallest")
     of_print = own.join(smallest, "root").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return marked.join(of_print, "fp").select("doc_id", hexed, "component_id")
