@@ -468,6 +468,12 @@ doc as (select link_id, url, title, case when right(url,1) = '3' then 'changed t
         "rank_pass": f"""with recursive {GRAPH}, {rank_ctes('link', 'edge', CONVERGED)}
  select o.link_id, o.url, round(coalesce(f.score, o.pagerank),9) pagerank from old_doc o
  left join (select * from r where step = (select max(step) from r)) f on f.id = o.link_id""",
+        "search_total_all": f"with {DOC} select count(*) total from doc",
+        "sent_messages": f"""with {TRADE}, sent as (select 's' || (c_custkey % 50) dst, max(c_custkey)::bigint msg from customer group by 1)
+ select id, coalesce(msg, 0)::bigint as value from vertex left join sent on dst = id""",
+        "duplicate_vertices": f"""with {TRADE}, d as (select src, count(*) k from edge group by src)
+ select id, greatest(substr(id,2)::bigint, 100 - substr(id,2)::bigint) as value, coalesce(k, 0) out_degree from vertex left join d on src = id""",
+        "id_extents": f"with {GRAPH}, {bounds_sql(7)} select link.* from link join bound on part = 3 and id >= lo and id < hi where retrieved_at < {before}",
         "uuid_partitions": f"""with {GRAPH}, {bounds_sql(7)} select part, lo, hi, count(id) n from bound
  left join link on id >= lo and id < hi group by part, lo, hi""",
         "assign_partition": f"with {GRAPH}, {bounds_sql(5)} select id, part from link left join bound on id >= lo and id < hi",

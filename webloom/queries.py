@@ -350,6 +350,11 @@ def search_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(docs, _postings(spark, sf_dir), OR_NOT_TEXT).total
 
 
+def search_total_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The total of an empty text is that of all documents."""
+    return search.search(_corpus(spark, sf_dir), _postings(spark, sf_dir), "").total
+
+
 def page_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _corpus(spark, sf_dir)
     return results.search_results(docs, _postings(spark, sf_dir), MATCH_TEXT, offset=20).details
@@ -477,6 +482,39 @@ def pregel_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result.vertices.select("id", "value")
 
 
+def sent_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers send their number to suppliers by name, not along an edge; the greatest counts."""
+    vertices, edges = D.trade_graph(spark, sf_dir)
+    number = F.substr("id", F.lit(2)).cast("bigint")
+
+    def send(step: int, senders: DataFrame) -> DataFrame:
+        customers = senders.where(F.col("id").startswith("c"))
+        return customers.select(F.concat(F.lit("s"), F.pmod(number, F.lit(50))).alias("dst"), number.alias("msg"))
+
+    result = run_vertex_program(
+        vertices.select("id", F.lit(0).cast("bigint").alias("value")),
+        edges,
+        update=lambda step, g: {"value": F.greatest("value", F.col("msg").cast("bigint"))} if step else {},
+        message=F.lit(None).cast("bigint"),
+        combine=F.max,
+        send=send,
+        on_unknown_dst="drop",
+        max_steps=2,
+    )
+    return result.vertices.select("id", "value")
+
+
+def duplicate_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vertices given twice: the greatest value counts, and edges count once."""
+    vertices, edges = D.trade_graph(spark, sf_dir)
+    number = F.substr("id", F.lit(2)).cast("bigint")
+    twice = vertices.select("id", number.alias("value")).unionByName(vertices.select("id", (100 - number).alias("value")))
+    result = run_vertex_program(
+        twice, edges, update=lambda step, g: {}, message=F.lit(None).cast("bigint"), combine=F.max, max_steps=1
+    )
+    return result.vertices.select("id", "value", "out_degree")
+
+
 def rank_pass_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranks of the page graph written into the page documents."""
     crawled = _parsed(spark, sf_dir)
@@ -489,6 +527,12 @@ def rank_pass_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- id ranges ----------------------------------------------------------------
 
 
+def id_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links of the fourth of seven id ranges."""
+    low, high = partitioning.extents(partitioning.range_bounds(partitioning.NIL_ID, partitioning.MAX_ID, 7), 3)
+    return scans.scan_links(D.page_links(spark, D.crawled_pages(spark, sf_dir)), D.SCAN_BEFORE, low, high)
+
+
 def uuid_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links per id range."""
     links = D.page_links(spark, D.crawled_pages(spark, sf_dir))
@@ -595,6 +639,7 @@ def queries() -> dict[str, Query]:
         "search_phrase_all": _matches(PHRASE_TEXT, phrase=True),
         "search_page2": _search(MATCH_TEXT, offset=10),
         "search_count": search_count,
+        "search_total_all": search_total_all,
         "page_details": page_details,
         "search_results": search_results,
         "sentences": sentences,
@@ -608,7 +653,10 @@ def queries() -> dict[str, Query]:
         "pagerank": pagerank_query,
         "pagerank_history": pagerank_history,
         "pregel_max": pregel_max,
+        "sent_messages": sent_messages,
+        "duplicate_vertices": duplicate_vertices,
         "rank_pass": rank_pass_query,
+        "id_extents": id_extents,
         "uuid_partitions": uuid_partitions,
         "assign_partition": assign_partition,
         "stream_links": stream_links,
