@@ -134,19 +134,23 @@ class CuckooFilter:
 
 def references(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_CODE_POINTS) -> DataFrame:
     """(doc_id, hi, lo): the distinct line keys of each row; rows of null id or text have none."""
+    return _with_text(docs, id_col, text_col).mapInArrow(lambda batches: _keys(batches, least), "doc_id long, hi long, lo long")
+
+
+def _with_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     given = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    return given.where("doc_id is not null and text is not null")
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, keys = [], []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), strings(batch.column("text"))):
-                found = {digest_of(line, least) for line in text.split("\n")} - {None}
-                keys += found
-                ids += [doc] * len(found)
-            raw = np.frombuffer(b"".join(keys), dtype="<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(raw[:, 0]), pa.array(raw[:, 1])], ["doc_id", "hi", "lo"])
 
-    return given.where("doc_id is not null and text is not null").mapInArrow(rows, "doc_id long, hi long, lo long")
+def _keys(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, keys = [], []
+        for doc, text in zip(batch.column("doc_id").to_pylist(), strings(batch.column("text"))):
+            found = {digest_of(line, least) for line in text.split("\n")} - {None}
+            keys += found
+            ids += [doc] * len(found)
+        raw = np.frombuffer(b"".join(keys), dtype="<i8").reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(raw[:, 0]), pa.array(raw[:, 1])], ["doc_id", "hi", "lo"])
 
 
 def _reduced(hi: np.ndarray, lo: np.ndarray, n: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -168,27 +172,32 @@ def _rows(shard: np.ndarray | int, kind: int, hi, lo, n, low, high) -> pa.Record
     )
 
 
-def _combined(refs: DataFrame, shards: int, kind: int) -> DataFrame:
+def _combine(refs: Iterator[pa.RecordBatch], shards: int, kind: int) -> Iterator[pa.RecordBatch]:
     """References as one row per key and task."""
+    held, size = [], 0
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def flush() -> pa.RecordBatch:
-            doc, hi, lo = (np.concatenate(c) for c in zip(*held))
-            hi, lo, n, low, high = _reduced(hi, lo, np.ones(len(hi), dtype=np.int64), doc, doc)
-            return _rows((hi % shards).astype(np.int32), kind, hi, lo, n, low, high)
+    def flush() -> pa.RecordBatch:
+        doc, hi, lo = (np.concatenate(c) for c in zip(*held))
+        hi, lo, n, low, high = _reduced(hi, lo, np.ones(len(hi), dtype=np.int64), doc, doc)
+        return _rows((hi % shards).astype(np.int32), kind, hi, lo, n, low, high)
 
-        for batch in batches:
-            held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
-            size += batch.num_rows
-            if size >= COMBINE_ROWS:
-                yield flush()
-                held, size = [], 0
-        if size:
+    for batch in refs:
+        held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
+        size += batch.num_rows
+        if size >= COMBINE_ROWS:
             yield flush()
+            held, size = [], 0
+    if size:
+        yield flush()
+
+
+def _added(docs: DataFrame, shards: int, id_col: str, text_col: str, least: int = MIN_CODE_POINTS) -> DataFrame:
+    """The combined references of documents, in one pass of one Python worker a task."""
+    return _with_text(docs, id_col, text_col).mapInArrow(lambda batches: _combine(_keys(batches, least), shards, ADD), PARTIAL)
+
 
-    return refs.select("doc_id", "hi", "lo").mapInArrow(rows, PARTIAL)
+def _removed(refs: DataFrame, shards: int) -> DataFrame:
+    return refs.select("doc_id", "hi", "lo").mapInArrow(lambda batches: _combine(batches, shards, REMOVE), PARTIAL)
 
 
 def _find(hi: np.ndarray, lo: np.ndarray, table_hi: np.ndarray, table_lo: np.ndarray) -> np.ndarray:
@@ -292,13 +301,13 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     empty table gives an empty index."""
     shards = shards or shuffle_partitions(docs.sparkSession)
     refs = references(docs, id_col, text_col, least)
-    return LineIndex(_merged(_combined(refs, shards, ADD), shards), refs, shards)
+    return LineIndex(_merged(_added(docs, shards, id_col, text_col, least), shards), refs, shards)
 
 
 def insert(index: LineIndex, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
     """Add documents that the index does not hold."""
     refs = references(docs, id_col, text_col)
-    added = _combined(refs, index.shards, ADD)
+    added = _added(docs, index.shards, id_col, text_col)
     return LineIndex(_merged(index.state.unionByName(added), index.shards), index.refs.unionByName(refs), index.shards)
 
 
@@ -314,7 +323,7 @@ def delete(index: LineIndex, doc_ids: DataFrame, id_col: str = "doc_id") -> Line
     shard = F.pmod("hi", F.lit(index.shards)).cast("int").alias("shard")
     renewed = rest.join(ends, ["hi", "lo"], "left_semi").groupBy("hi", "lo").agg(F.min("doc_id").alias("min_doc"), F.max("doc_id").alias("max_doc"))
     renewed = renewed.select(shard, "hi", "lo", F.lit(0).cast("long").alias("n"), "min_doc", "max_doc", F.lit(RENEW).alias("kind"), F.lit(None).cast("binary").alias("filter"))
-    rows = index.state.unionByName(_combined(removed, index.shards, REMOVE)).unionByName(renewed)
+    rows = index.state.unionByName(_removed(removed, index.shards)).unionByName(renewed)
     return LineIndex(_merged(rows, index.shards), rest, index.shards)
 
 

@@ -50,7 +50,7 @@ class CachedEncoder:
     is emptied, which costs time and changes no id.
     """
 
-    def __init__(self, path: str, max_entries: int = 600_000):
+    def __init__(self, path: str, max_entries: int = 300_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as file:
