@@ -291,6 +291,13 @@ def test_stages_take_effect(spark, corpus):
     assert pieces.columns == [f.split()[0] for f in packing.PIECES.split(", ")]
 
 
+def test_rows_without_an_id_stay(spark, corpus):
+    docs = spark.createDataFrame([(None, "the same text in all of these rows", "en", "s", 1), (5, "the same text in all of these rows", None, None, None)] , "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("line dedup", "SimHash near-dedup", "benchmark decontamination"):
+        assert sorted_rows(stages[name](spark, docs, corpus), "doc_id") == [(5,), (None,)]
+
+
 def test_stages_of_no_documents(spark, corpus):
     none = spark.read.parquet(f"{corpus}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
