@@ -233,6 +233,21 @@ def test_document_frequencies_cover_all_rows(spark):
     assert one.near_next == 1.0
 
 
+def test_copies_do_not_make_terms_common(spark):
+    rows = [(k, f"common mid{k % 10} rare{k}") for k in range(100)]
+    once = imatch.lexicon(documents(spark, rows), rarest=0.05, commonest=0.2)
+    again = imatch.lexicon(documents(spark, rows + [(200 + k, rows[3][1]) for k in range(60)]), rarest=0.05, commonest=0.2)
+    assert np.array_equal(once.terms, again.terms)
+
+
+def test_an_edited_text_stays_near_whatever_the_lexicon_holds(spark):
+    draw = random.Random(8)
+    shared = " ".join(f"shared{k}" for k in range(200))
+    rows = [(k, f"{shared} own{k}" if k % 3 == 0 else " ".join(f"term{draw.randint(0, 3000)}" for _ in range(150))) for k in range(300)]
+    found = imatch.fingerprint_with_next(documents(spark, rows), parts=4).collect()
+    assert np.mean([r.near_edited for r in found if r.doc_id % 3 == 0]) > 0.3
+
+
 # -- pipeline -----------------------------------------------------------------
 
 

@@ -9,19 +9,25 @@ Documents have from a few to many thousands of terms, and a subset tells them ap
 best if it holds one or two of a document's terms.  Subsets are therefore drawn at
 falling rates, ``PER_RATE`` of each, and a document keeps the hashes of the lowest
 rates that give it ``ENOUGH`` non-empty ones.
+
+Document frequencies count distinct texts, so copies do not make a text's terms
+common.  Where the lexicon holds too little of a text it does not stand for it (a
+rare language, text that many others share), so every document also keeps the same
+hashes of all its terms, and these decide if the lexicon stands for one side only.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,11 +37,13 @@ from webloom.llm.decontaminate import words_of
 #: The band, in document frequency by the number of documents.  From the lower end
 #: follows the bound of the lexicon: terms by document / RAREST.
 RAREST, COMMONEST = 1 / 2000, 1 / 20
-#: Documents with fewer terms in the band keep all their terms.
-FEWEST_TERMS = 4
+#: The band stands for documents with so many terms in it and such a share of all.
+FEWEST_TERMS, LEAST_SHARE = 4, 1 / 4
 RATES, PER_RATE, ENOUGH = 6, 32, 12
 #: Distinct terms a task counts before it hands them on.
 COUNTED_TERMS = 400_000
+#: Bits of a text's hash that mark it as perhaps repeated: a bitmap of 8 MB.
+MARK_BITS = 26
 
 _ODD = np.array([int.from_bytes(hashlib.sha256(b"lexicon %d" % k).digest()[:8], "little") | 1 for k in range(PER_RATE)], dtype=np.uint64)
 
@@ -58,38 +66,46 @@ class Lexicon:
         return self.terms[at] == hashes
 
     def fingerprint(self, text: str) -> str:
-        """``rate:hash,hash,...`` by rate, ``-`` for an empty subset; empty without words."""
-        terms = term_hashes(words_of(text))
-        kept = terms[self.holds(terms)]
-        if len(kept) < FEWEST_TERMS:
-            kept = terms
-        if not len(kept):
+        """Hashes of the terms in the band, ``|``, hashes of all terms; empty without words.
+
+        Either is ``rate:hash,hash,...`` by rate, ``-`` for an empty subset.  The first
+        is empty if the band does not stand for the text.
+        """
+        terms = np.sort(term_hashes(words_of(text)))
+        if not len(terms):
             return ""
-        kept = np.sort(kept)
-        draws = (kept[:, None] * _ODD[None, :]) >> np.uint64(40)
-        levels, full = [], 0
-        for rate in range(RATES - 1, -1, -1):
-            inside = draws < np.uint64((1 << 24) >> (2 * rate))
-            some = inside.any(axis=0)
-            hashes = [xxhash.xxh32_hexdigest(kept[inside[:, k]].tobytes()) if some[k] else "-" for k in range(PER_RATE)]
-            full += int(some.sum())
-            if full:
-                levels.append(f"{rate}:{','.join(hashes)}")
-            if full >= ENOUGH:
-                break
-        return ";".join(levels)
+        kept = terms[self.holds(terms)]
+        stands = len(kept) >= max(FEWEST_TERMS, LEAST_SHARE * len(terms))
+        return f"{_levels(kept) if stands else ''}|{_levels(terms)}"
+
+
+def _levels(kept: np.ndarray) -> str:
+    draws = (kept[:, None] * _ODD[None, :]) >> np.uint64(40)
+    levels, full = [], 0
+    for rate in range(RATES - 1, -1, -1):
+        inside = draws < np.uint64((1 << 24) >> (2 * rate))
+        some = inside.any(axis=0)
+        hashes = [xxhash.xxh32_hexdigest(kept[inside[:, k]].tobytes()) if some[k] else "-" for k in range(PER_RATE)]
+        full += int(some.sum())
+        if full:
+            levels.append(f"{rate}:{','.join(hashes)}")
+        if full >= ENOUGH:
+            break
+    return ";".join(levels)
 
 
 def likeness(one: str, other: str) -> float:
     """Equal hashes by hashes that are not empty on both sides, at the rates both have.
 
-    1 for equal fingerprints, two empty ones included; 0 if only one is empty.
+    Hashes of terms in the band if both sides have them, of all terms otherwise.  1 for equal fingerprints, two empty ones included; 0 if only one is empty.
     """
     if one == other:
         return 1.0
-    mine, yours = (dict(level.split(":") for level in f.split(";")) if f else {} for f in (one, other))
-    if not mine or not yours:
+    if not one or not other:
         return 0.0
+    parts = [f.split("|") for f in (one, other)]
+    at = 0 if all(p[0] for p in parts) else 1
+    mine, yours = (dict(level.split(":") for level in p[at].split(";")) for p in parts)
     least = max(min(map(int, mine)), min(map(int, yours)))
     none = ",".join(["-"] * PER_RATE)
     equal = total = 0
@@ -100,15 +116,54 @@ def likeness(one: str, other: str) -> float:
     return equal / total if total else 0.0
 
 
+def repeated_marks(hashes: DataFrame) -> np.ndarray:
+    """A bit for every value of a hash's first ``MARK_BITS``, set if a hash occurs twice."""
+    slot = F.shiftrightunsigned("hash", 64 - MARK_BITS) + 1
+    repeated = hashes.groupBy("hash").count().where(F.col("count") > 1)
+    marked = repeated.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    bitmap = np.zeros(1 << (MARK_BITS - 3), dtype=np.uint8)
+    for bucket, bits in marked.collect():
+        at = (bucket - 1) * len(bits)
+        bitmap[at : at + len(bits)] = np.frombuffer(bits, dtype=np.uint8)
+    return bitmap
+
+
 def lexicon(docs: DataFrame, text_col: str = "text", rarest: float = RAREST, commonest: float = COMMONEST) -> Lexicon:
-    """Count the documents of every term over the whole table and keep the band.
+    """Count the distinct texts of every term over the whole table and keep the band.
 
+    Hashes tell which texts may be repeated, in a bitmap of fixed size; only those
+    texts are shuffled, compressed, to leave one of each, after copies are dropped
+    in the tasks.
     Counts are combined in the tasks before they are shuffled.  What reaches the
     driver is the band alone: a document has a bounded number of terms and each kept
     term is in ``rarest`` of all documents at least, so its size does not grow with
     the number of documents.
     """
     given = docs.select(F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+    hashed = given.select("text", F.xxhash64("text").alias("hash"))
+    total = hashed.select("hash").distinct().count()
+    marks = docs.sparkSession.sparkContext.broadcast(repeated_marks(hashed.select("hash")))
+
+    def part(repeated: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                slot = batch.column("hash").to_numpy().view(np.uint64) >> np.uint64(64 - MARK_BITS)
+                marked = (marks.value[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+                yield batch.select(["text"]).filter(pa.array(marked == repeated))
+
+        return choose
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = zstandard.ZstdCompressor(level=9)
+        for batch in part(True)(batches):
+            texts = [packed.compress(t.encode("utf-8", "surrogatepass")) for t in strings(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], ["packed"])
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = zstandard.ZstdDecompressor()
+        for batch in batches:
+            texts = [packed.decompress(t).decode("utf-8", "surrogatepass") for t in batch.column("packed").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -127,8 +182,9 @@ def lexicon(docs: DataFrame, text_col: str = "text", rarest: float = RAREST, com
                     yield flush()
         yield flush()
 
-    total = given.count()
-    found = given.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    once = hashed.mapInArrow(lambda batches: count(part(False)(batches)), "term long, n long")
+    copies = hashed.mapInArrow(pack, "packed binary").distinct().mapInArrow(lambda batches: count(unpack(batches)), "term long, n long")
+    found = once.union(copies).groupBy("term").agg(F.sum("n").alias("n"))
     band = found.where((F.col("n") >= rarest * total) & (F.col("n") <= max(commonest * total, 1)))
     terms = band.select("term").toArrow().column("term").to_numpy().view(np.uint64)
     return Lexicon(np.sort(terms))
