@@ -241,6 +241,35 @@ def test_article_of_a_page(wrap):
     assert htmltext.main_text(FURNITURE % (wrap % ARTICLE)) == WANTED
 
 
+@pytest.mark.parametrize(
+    "wrap",
+    [
+        "<div class='content has-sidebar'>%s</div>",
+        "<div class='container no-sidebar'>%s</div>",
+        "<article class='post comments-open'>%s</article>",
+        "<article class='ad-free'>%s</article>",
+        "<div class='social'>%s</div>",
+    ],
+)
+def test_a_name_does_not_drop_the_article(wrap):
+    more = "A last paragraph that is longer than the furniture of the page, so that most of its text is the article. " * 2
+    assert htmltext.main_text(FURNITURE % (wrap % f"{ARTICLE}<p>{more}</p>")) == f"{WANTED}\n{more.strip()}"
+
+
+def test_a_short_article_stays_without_the_parts_beside_it():
+    beside = "<div class='ad'>Buy all of these things now, for they are good and many.</div>"
+    assert htmltext.main_text(f"<body>{beside}<article><p>Short.</p></article></body>") == "Short."
+    inside = "<div class='notice'>All of the text is in here, whatever the name of it says.</div>"
+    assert htmltext.main_text(f"<body><main><h1>Head</h1>{inside}</main></body>").count("\n") == 1
+
+
+def test_sections_headings_and_formulas_stay():
+    inner = "<p>Some words on it.</p><section id='related-work'><h3 id='search-results'>Found</h3><p>Others did so.</p></section><section id='navigation'><p>How to steer <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p></section>"
+    assert htmltext.main_text(FURNITURE % f"<article>{inner}</article>") == "Some words on it.\nFound\nOthers did so.\nHow to steer x=1"
+    page = "<body><h2><a href=/t>T</a></h2><div>" + "<p>many plain words in a paragraph</p>" * 5 + "</div><div class='site-footer'>About us</div></body>"
+    assert htmltext.main_text(page).split("\n")[0] == "T" and "About" not in htmltext.main_text(page)
+
+
 def test_odd_pages(spark):
     cases = {
         "": "",

@@ -15,7 +15,8 @@ threshold at which other parts beside that path belong to the article too.  An
 
 Parts that are never article (menus, headers and footers of the page, sidebars,
 notices, adverts, forms, scripts, comments) are told by tag, role and class before
-densities are counted.
+densities are counted.  A class or id counts as a whole or as a compound of names of
+parts and places, and a name alone never drops what holds most of the page's text.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 
 # Element names of HTML and usual names of page parts.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg math iframe object canvas textarea select title".split())
+RAW = frozenset("script style noscript template svg iframe object canvas textarea select title".split())
 BLOCK = frozenset(
     "address article aside blockquote body dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul center caption".split()
@@ -52,6 +53,15 @@ PARTS = frozenset(
     "consent gdpr notice notices alert newsletter subscribe signup share sharing social related recommended popup modal login "
     "search pagination pager toolbar topbar skip".split()
 )
+#: Beside words of ``PARTS`` in a compound name of a page part ("site-footer"); others,
+#: as in "has-sidebar" or "related-work", say something else.
+PLACES = frozenset("site page main global primary secondary top bottom left right header list box bar wrap wrapper section block area widget links form inner".split())
+COMMENTS = frozenset("comment comments commentlist disqus respond replies".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: A part named so stays if it holds more than this share of the page's unlinked text.
+LARGE_SHARE, LARGE_COMMENTS = 1 / 2, 9 / 10
+#: Why an element is dropped: by tag, role or hiding; by name; by name as comments.
+_STAYS, _NEVER, _NAMED, _COMMENT = range(4)
 #: An open element of the values ends where one of the keys begins.
 ENDS = {
     "li": frozenset(["li"]),
@@ -70,11 +80,12 @@ class Page:
     """The tree of a page in arrays; a child always comes after its parent."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.skipped = ["#root"], [-1], [False]
+        self.tag, self.parent, self.reason = ["#root"], [-1], [_STAYS]
         self.inside_link, self.in_article = [False], [False]
         #: (node, text or None for the edge of a block), in page order.
         self.flow: list[tuple[int, str | None]] = []
         self._read(source)
+        self.skipped = self._skip()
 
     def _read(self, source: str) -> None:
         stack, at, size = [0], 0, len(source)
@@ -120,28 +131,72 @@ class Page:
         node, parent = len(self.tag), stack[-1]
         self.tag.append(name)
         self.parent.append(parent)
-        self.skipped.append(self.skipped[parent] or self._is_boilerplate(name, attributes, self.in_article[parent]))
+        self.reason.append(self._reason(name, attributes, self.in_article[parent]))
         self.in_article.append(self.in_article[parent] or name in ("article", "main"))
         self.inside_link.append(self.inside_link[parent] or name == "a")
         if attributes.rstrip().endswith("/") and name not in BLOCK and name not in RAW:
             return
         stack.append(node)
 
-    def _is_boilerplate(self, name: str, attributes: str, in_article: bool) -> bool:
+    def _reason(self, name: str, attributes: str, in_article: bool) -> int:
         if name in BOILERPLATE:
-            return True
+            return _NEVER
         if name == "header" and not in_article:
-            return True
+            return _NEVER
         if not attributes.strip() or name in ("html", "body", "main"):
-            return False
+            return _STAYS
         given = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
         if "hidden" in given or given.get("aria-hidden", "").lower() == "true" or "display:none" in given.get("style", "").replace(" ", "").lower():
-            return True
+            return _NEVER
         if given.get("role", "").lower() in ROLES:
-            return True
-        parts = set(re.split(r"[^a-z]+", f"{given.get('class', '')} {given.get('id', '')}".lower()))
-        known = parts & PARTS
-        return bool(known) and not (name in ("article", "h1", "h2", "p") and not known & {"comment", "comments", "ad", "ads", "advert"} or name == "header")
+            return _NEVER
+        names = given.get("class", "").lower().split()
+        if name not in HEADINGS and name not in ("article", "section"):  # there an id is an anchor
+            names += given.get("id", "").lower().split()
+        known: set[str] = set()
+        for given_name in names:
+            words = set(re.findall("[a-z]+", given_name))
+            if words & PARTS and words <= PARTS | PLACES:
+                known |= words & PARTS
+        if name in HEADINGS or name in ("article", "p"):
+            known &= {"comment", "comments", "ad", "ads", "advert"}
+        return (_COMMENT if known & COMMENTS else _NAMED) if known else _STAYS
+
+    def _skip(self) -> list[bool]:
+        """The nodes that are dropped with all in them."""
+        size = len(self.tag)
+        never, unlinked = [False] * size, [0] * size
+        for node in range(1, size):
+            never[node] = never[self.parent[node]] or self.reason[node] == _NEVER
+        for node, text in self.flow:
+            if text and not never[node] and not self.inside_link[node]:
+                unlinked[node] += len("".join(text.split()))
+        for node in range(size - 1, 0, -1):
+            unlinked[self.parent[node]] += unlinked[node]
+        skipped = [False] * size
+        named = [False] * size  # itself or around it
+        for node in range(1, size):
+            named[node] = named[self.parent[node]] or self.reason[node] > _NEVER
+        # An article that no name drops is the text of the page, however short, against parts beside it.
+        told = any(unlinked[n] and not named[n] and not never[n] and self.tag[n] in ("article", "main") and not self._all_named(n, unlinked, never) for n in range(1, size))
+        least = {_NAMED: LARGE_SHARE * unlinked[0], _COMMENT: LARGE_COMMENTS * unlinked[0]}
+        for node in range(1, size):
+            reason = self.reason[node]
+            skipped[node] = skipped[self.parent[node]] or never[node] or reason in least and (unlinked[node] <= least[reason] or told and not self.in_article[self.parent[node]])
+        return skipped
+
+    def _all_named(self, top: int, unlinked: list[int], never: list[bool]) -> bool:
+        """No unlinked text of ``top`` is outside parts that a name drops."""
+        rest = unlinked[top]
+        covered = {top: False}
+        for node in range(top + 1, len(self.tag)):
+            up = covered.get(self.parent[node])
+            if up is None:
+                continue
+            covered[node] = up or (self.reason[node] > _NEVER)
+            if covered[node] and not up and not never[node]:
+                rest -= unlinked[node]
+        return rest <= 0
 
     def _close_paragraph(self, stack: list[int]) -> None:
         for k in range(len(stack) - 1, 0, -1):
@@ -232,7 +287,22 @@ class Page:
         threshold = min((density[n] for n in path), default=0.0)
         on_path = set(path)
         beside = [n for n in range(1, len(density)) if not self.skipped[n] and self.parent[n] in on_path and n not in on_path and self.parent[n] != best]
-        return [best] + [n for n in beside if density[n] >= threshold > 0]
+        return self._with_headings([best] + [n for n in beside if density[n] >= threshold > 0])
+
+    def _with_headings(self, chosen: list[int]) -> list[int]:
+        """``chosen`` and the headings directly before each of them."""
+        before, last = {}, {}
+        for node in range(1, len(self.tag)):
+            before[node] = last.get(self.parent[node])
+            if not self.skipped[node]:
+                last[self.parent[node]] = node
+        found = set(chosen)
+        for node in chosen:
+            ahead = before.get(node)
+            while ahead is not None and self.tag[ahead] in HEADINGS:
+                found.add(ahead)
+                ahead = before[ahead]
+        return sorted(found)
 
     def text(self) -> str:
         wanted = [False] * len(self.tag)
