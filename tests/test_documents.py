@@ -171,6 +171,21 @@ def test_a_page_is_fetched_by_pushed_ids(spark, corpus, tmp_path):
             search.match_all(table, **bad)
 
 
+def test_a_page_without_a_limit_holds_all_matches(spark, corpus, monkeypatch):
+    table, postings = corpus
+    want = [(r.link_id, r.rank_pos) for r in search.search(table, postings, "dog").page.collect()]
+    every = search.search(table, postings, "dog", limit=None).page
+    assert "Window" not in every._jdf.queryExecution().executedPlan().toString()
+    assert [(r.link_id, r.rank_pos) for r in every.collect()] == want
+    assert search.search(table, postings, "nowhere", limit=None).page.count() == 0
+    monkeypatch.setattr(search, "HEAP_ROWS", 1)
+    monkeypatch.setattr(search, "LITERAL_ROWS", 1)
+    for offset in range(5):
+        for limit in (2, None):
+            page = search.search(table, postings, "dog", offset=offset, limit=limit).page
+            assert [(r.link_id, r.rank_pos) for r in page.collect()] == want[offset:][:limit]
+
+
 def test_large_pages_deep_offsets_and_seeks(spark, corpus, monkeypatch):
     table, postings = corpus
     want = [(r.link_id, r.rank_pos) for r in search.search(table, postings, "dog").page.collect()]

@@ -168,7 +168,7 @@ def search(
     text: str,
     phrase: bool = False,
     offset: int = 0,
-    limit: int = PAGE_SIZE,
+    limit: int | None = PAGE_SIZE,
     relevance_order: str = "asc",
     english: bool = True,
     ranks: DataFrame | None = None,
@@ -185,7 +185,7 @@ def search(
     from the documents; bucketed by ``link_id`` they are joined without being
     shuffled.  ``after`` is the key of the last row of the page before (relevance,
     rank and id, or the id alone for an empty text): rows up to it are filtered
-    out, and ``offset`` only numbers the page.
+    out, and ``offset`` only numbers the page.  ``limit=None`` takes all rows.
     """
     if relevance_order not in ("asc", "desc"):
         raise ValueError("relevance_order must be 'asc' or 'desc'")
@@ -226,7 +226,7 @@ def _follows(key: tuple[float, float | None, str], relevance_order: str) -> Colu
     return (found > relevance if relevance_order == "asc" else found < relevance) | ((found == relevance) & later)
 
 
-def match_all(docs: DataFrame, offset: int = 0, limit: int = PAGE_SIZE, after: str | None = None) -> DataFrame:
+def match_all(docs: DataFrame, offset: int = 0, limit: int | None = PAGE_SIZE, after: str | None = None) -> DataFrame:
     """A page of all documents by id; those after the id ``after`` if it is given."""
     ids = docs.select("link_id")
     if after is not None:
@@ -258,12 +258,35 @@ def rows_of_page(rows: DataFrame, order: list[Column], offset: int, limit: int)
     return held.orderBy(*order).offset(offset - skipped).limit(limit)
 
 
+def numbered_page(rows: DataFrame, order: list[Column], offset: int, limit: int | None, first: int = 1) -> DataFrame:
+    """The rows ``offset`` to ``offset + limit`` in order, all after ``offset`` without a
+    limit, with their number ``rank_pos`` from ``first``.
+
+    The rows are cut into ranges of the order and written with their place in the
+    range; the sizes of the ranges before tell where each begins.
+    """
+    shared_dir(rows.sparkSession)
+    # The second is partition << 33 | place in it.
+    placed = {"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns(placed).checkpoint()
+    sizes = {r["_part"]: r["count"] for r in ranged.groupBy("_part").count().collect()}
+    starts, at = [], 0
+    for number in range(max(sizes, default=0) + 1):
+        starts.append(at)
+        at += sizes.get(number, 0)
+    place = F.array(*[F.lit(n).cast("long") for n in starts])[F.col("_part")] + F.col("_at")
+    numbered = ranged.withColumn("_place", place).where(F.col("_place") >= offset)
+    if limit is not None:
+        numbered = numbered.where(F.col("_place") < offset + limit)
+    return numbered.withColumn("rank_pos", (F.col("_place") - offset + first).cast("int")).drop("_part", "_at", "_place")
+
+
 def fetch_page(
     docs: DataFrame,
     rows: DataFrame,
     order: list[Column],
     offset: int,
-    limit: int,
+    limit: int | None,
     extra: dict[str, str] | None = None,
     skip: bool = True,
 ) -> DataFrame:
@@ -272,18 +295,23 @@ def fetch_page(
     The ids of a page are fetched first: as literals they are pushed into the
     scan of the documents, which then reads the row groups that may hold them in
     place of the text of every document.  A page of more than ``LITERAL_ROWS``
-    is joined.  ``extra`` names the columns of ``rows`` to keep, with their
+    is joined, and one without a limit or beyond ``HEAP_ROWS`` is numbered by
+    ranges of the order.  ``extra`` names the columns of ``rows`` to keep, with their
     types.  Without ``skip`` the page starts with the first row.
     """
-    if limit <= 0:
+    if limit is not None and limit <= 0:
         raise ValueError("a page has one row at least")
     if offset < 0:
         raise ValueError("the offset must not be negative")
     extra = extra or {}
     rows = rows.select("link_id", *extra)
-    page = rows_of_page(rows, order, offset if skip else 0, limit)
+    start = offset if skip else 0
     given = docs.select(*DOCUMENT_COLUMNS)
     columns = [*DOCUMENT_COLUMNS, *[c for c in extra if c not in DOCUMENT_COLUMNS], "rank_pos"]
+    if limit is None or limit > LITERAL_ROWS and start + limit > HEAP_ROWS:
+        numbered = numbered_page(rows, order, start, limit, offset + 1)
+        return given.drop(*extra).join(numbered, "link_id").select(*columns).orderBy("rank_pos")
+    page = rows_of_page(rows, order, start, limit)
     if limit > LITERAL_ROWS:
         # The window sorts the rows of one page.
         numbered = page.withColumn("rank_pos", (F.row_number().over(Window.orderBy(*order)) + offset).cast("int"))

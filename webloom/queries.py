@@ -299,7 +299,7 @@ def update_postings_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_all_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All matches as one page, which is larger than what is fetched by literals."""
-    found = search.search(_corpus(spark, sf_dir), _postings(spark, sf_dir), OR_NOT_TEXT, limit=1_000_000)
+    found = search.search(_corpus(spark, sf_dir), _postings(spark, sf_dir), OR_NOT_TEXT, limit=None)
     return found.page.select("rank_pos", "link_id", "url", "title", "relevance", "pagerank")
 
 
