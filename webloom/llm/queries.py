@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import dac, decontaminate, htmltext, imatch, licenses, linededup, packing, quality, secrets, simhash
+from webloom.llm import dac, decontaminate, htmltext, imatch, licenses, linededup, packing, quality, secrets, simhash, warc
 from webloom.llm.common import table
 from webloom.llm.license_templates import templates
 from webloom.session import fresh_path
@@ -100,8 +100,20 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    records = warc.round_trip(pages, fresh_path(spark, "archives"))
+    return records.select(
+        warc.page_of("record_id").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        warc.page_of("refers_to").alias("refers_to"),
+    )
+
+
 def queries() -> dict[str, Query]:
-    known = (op1_licenses, op2_token_files, op3_secrets, op4_packing, op5_quality, op6_fingerprints, op7_decontamination, op8_line_dedup, op9_simhash, op10_html_text)
+    known = (op1_licenses, op2_token_files, op3_secrets, op4_packing, op5_quality, op6_fingerprints, op7_decontamination, op8_line_dedup, op9_simhash, op10_html_text, op11_warc)
     return {f.__name__: f for f in known}
 
 
@@ -158,6 +170,17 @@ from marked group by doc_id
 """
 
 
+OP11_SQL = """
+with given as (select page_id, coalesce(html, '') as p from pages),
+firsts as (select p, max(page_id) as first_id from given where strlen(p) >= 1000 group by p),
+marked as (select page_id, given.p, coalesce(page_id <> first_id or page_id is null and first_id is not null, false) as again, first_id
+           from given left join firsts on given.p = firsts.p)
+select page_id, strlen(p)::bigint as payload_bytes, sha1(p) as payload_digest,
+       case when again then 'revisit' else 'response' end as record_type, case when again then first_id end as refers_to
+from marked
+"""
+
+
 def _op3_sql() -> str:
     each = [secrets.duckdb_spans(rule, order) for order, rule in enumerate(secrets.RULES)]
     found = "list_sort(list_concat(list_concat(list_concat({}, {}), list_concat({}, {})), list_concat(list_concat({}, {}), list_concat({}, {}))))".format(*each)
@@ -204,4 +227,4 @@ from texts left join found using (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_licenses": _op1_sql(), "op3_secrets": _op3_sql(), "op7_decontamination": OP7_SQL, "op8_line_dedup": OP8_SQL}
+    return {"op1_licenses": _op1_sql(), "op3_secrets": _op3_sql(), "op7_decontamination": OP7_SQL, "op8_line_dedup": OP8_SQL, "op11_warc": OP11_SQL}
