@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import dac, decontaminate, htmltext, imatch, licenses, linededup, packing, quality, secrets, simhash, warc
+from webloom.llm import dac, decontaminate, htmltext, imatch, licenses, linededup, packing, quality, runs, secrets, simhash, warc
 from webloom.llm.common import table
 from webloom.llm.license_templates import templates
 from webloom.session import fresh_path
@@ -112,8 +112,12 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.summarise(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    known = (op1_licenses, op2_token_files, op3_secrets, op4_packing, op5_quality, op6_fingerprints, op7_decontamination, op8_line_dedup, op9_simhash, op10_html_text, op11_warc)
+    known = (op1_licenses, op2_token_files, op3_secrets, op4_packing, op5_quality, op6_fingerprints, op7_decontamination, op8_line_dedup, op9_simhash, op10_html_text, op11_warc, op13_runs)
     return {f.__name__: f for f in known}
 
 
