@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import dac, decontaminate, htmltext, imatch, licenses, linededup, packing, quality, runs, secrets, simhash, warc
+from webloom.llm import collocations, dac, decontaminate, htmltext, imatch, licenses, linededup, packing, quality, runs, secrets, simhash, warc
 from webloom.llm.common import table
 from webloom.llm.license_templates import templates
 from webloom.session import fresh_path
@@ -112,12 +112,16 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.summarise(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    known = (op1_licenses, op2_token_files, op3_secrets, op4_packing, op5_quality, op6_fingerprints, op7_decontamination, op8_line_dedup, op9_simhash, op10_html_text, op11_warc, op13_runs)
+    known = (op1_licenses, op2_token_files, op3_secrets, op4_packing, op5_quality, op6_fingerprints, op7_decontamination, op8_line_dedup, op9_simhash, op10_html_text, op11_warc, op12_collocations, op13_runs)
     return {f.__name__: f for f in known}
 
 
@@ -185,6 +189,38 @@ from marked
 """
 
 
+OP12_SQL = r"""
+with pieces as (
+    select coalesce(lang, 'und') as lang, unnest(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+    from documents
+), worded as (
+    select lang, w from (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces) where len(w) > 0
+), totals as (select lang, sum(len(w))::bigint as n from worded group by lang),
+counts as (
+    select lang, size, array_to_string(w[i:i + size - 1], ' ') as phrase, count(*) as n
+    from (select lang, w, size, unnest(range(1, len(w) - size + 2)) as i from worded, (values (1), (2), (3)) sizes(size) where len(w) >= size)
+    group by all
+), candidates as (select lang, size, phrase, n as a, string_split(phrase, ' ') as w from counts where size > 1 and n >= 10),
+cuts as (
+    select c.lang, c.phrase, c.size, c.a, k, l.n as l, r.n as r, (1000000::hugeint * c.a * c.a) // (l.n::hugeint * r.n) as score
+    from (select *, unnest(range(1, size)) as k from candidates) c
+    join counts l on l.lang = c.lang and l.phrase = array_to_string(c.w[1:k], ' ')
+    join counts r on r.lang = c.lang and r.phrase = array_to_string(c.w[k + 1:], ' ')
+), lowest as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+longer as (
+    select lang, part, max(a) as most
+    from (select lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) as part from candidates where size = 3)
+    group by lang, part
+), kept as (
+    select lowest.* from lowest left join longer on longer.lang = lowest.lang and longer.part = lowest.phrase
+    where most is null or 100 * most < 50 * a
+), ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select lang, rank::bigint as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n, score::bigint as score
+from ranked join totals using (lang) where rank <= 2000
+"""
+
+
 def _op3_sql() -> str:
     each = [secrets.duckdb_spans(rule, order) for order, rule in enumerate(secrets.RULES)]
     found = "list_sort(list_concat(list_concat(list_concat({}, {}), list_concat({}, {})), list_concat(list_concat({}, {}), list_concat({}, {}))))".format(*each)
@@ -231,4 +267,4 @@ from texts left join found using (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_licenses": _op1_sql(), "op3_secrets": _op3_sql(), "op7_decontamination": OP7_SQL, "op8_line_dedup": OP8_SQL, "op11_warc": OP11_SQL}
+    return {"op1_licenses": _op1_sql(), "op3_secrets": _op3_sql(), "op7_decontamination": OP7_SQL, "op8_line_dedup": OP8_SQL, "op11_warc": OP11_SQL, "op12_collocations": OP12_SQL}
