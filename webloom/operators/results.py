@@ -75,6 +75,7 @@ def search_results(
     relevance_order: str = "asc",
     english: bool = True,
     endpoint: str = SEARCH_ENDPOINT,
+    ranking: str = "ts_rank",
 ) -> ResultPage:
     """Search, summarise, highlight and page.
 
@@ -85,7 +86,7 @@ def search_results(
         results_per_page = RESULTS_PER_PAGE
     limit = min(PAGE_SIZE, results_per_page)
     found = search(
-        docs, postings, text, is_phrase(text), offset, limit, relevance_order=relevance_order, english=english
+        docs, postings, text, is_phrase(text), offset, limit, relevance_order=relevance_order, english=english, ranking=ranking
     )
 
     def fetch() -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions.stem import stem
 from webloom.functions.text import STOP_WORDS, tokens
+from webloom.operators.ranking import log_tf, ts_rank
 from webloom.schemas import DOCUMENT_COLUMNS, PAGE_SIZE
 from webloom.session import shared_dir
 
@@ -25,6 +26,7 @@ from webloom.session import shared_dir
 LITERAL_ROWS = 1000
 #: Offset and page up to which rows are skipped by one task; beyond it they are counted by range.
 HEAP_ROWS = 10_000
+RANKINGS = ("ts_rank", "log_tf")
 
 
 @dataclass(frozen=True)
@@ -116,16 +118,20 @@ def _holds(operand: Operand, index: dict[str, int]) -> Column:
     return ~found if operand.negated else found
 
 
-def matches(docs: DataFrame, postings: DataFrame, query: list[list[Operand]]) -> DataFrame:
+def matches(docs: DataFrame, postings: DataFrame, query: list[list[Operand]], ranking: str = "log_tf") -> DataFrame:
     """``(link_id, relevance)`` of the documents a query matches.
 
-    Relevance is the sum of ``1 + ln(tf)`` over the distinct wanted terms.
+    Relevance is the sum of ``1 + ln(tf)`` over the distinct wanted terms, which reads no
+    positions but those of phrases, or that of PostgreSQL's ``ts_rank`` over the positions
+    of all terms.
     """
+    if ranking not in RANKINGS:
+        raise ValueError(f"ranking must be one of {RANKINGS}")
     terms = sorted({t for group in query for op in group for t, _ in op.terms})
     if not terms:
         return docs.select("link_id", F.lit(0.0).alias("relevance")).where(F.lit(False))
     index = {term: i for i, term in enumerate(terms)}
-    in_phrase = {t for group in query for op in group if len(op.terms) > 1 for t, _ in op.terms}
+    in_phrase = {t for group in query for op in group if ranking == "ts_rank" or len(op.terms) > 1 for t, _ in op.terms}
     wanted = {t for group in query for op in group if not op.negated for t, _ in op.terms}
 
     def only(term: str, column: str) -> Column:
@@ -156,10 +162,11 @@ def matches(docs: DataFrame, postings: DataFrame, query: list[list[Operand]]) ->
         for operand in group:
             all_hold = all_hold & _holds(operand, index)
         condition = condition | all_hold
-    relevance = F.lit(0.0)
-    for term in sorted(wanted):
-        relevance = relevance + F.coalesce(1 + F.log(F.col(f"tf_{index[term]}")), F.lit(0.0))
-    return per_doc.where(condition).select("link_id", F.round(relevance, 6).alias("relevance"))
+    if ranking == "ts_rank":
+        relevance = ts_rank(query, {t: F.col(f"pos_{i}") for t, i in index.items()}).cast("double")
+    else:
+        relevance = log_tf([F.col(f"tf_{index[t]}") for t in sorted(wanted)])
+    return per_doc.where(condition).select("link_id", relevance.alias("relevance"))
 
 
 def search(
@@ -173,13 +180,14 @@ def search(
     english: bool = True,
     ranks: DataFrame | None = None,
     after: tuple[float, float | None, str] | str | None = None,
+    ranking: str = "ts_rank",
 ) -> SearchResult:
     """All documents for an empty text, else a phrase or a web-style match.
 
     A match is ordered by relevance (least relevant first unless
     ``relevance_order="desc"``), then by falling rank with unranked documents
     first, then by id (T1).  The page has the document columns and ``rank_pos``,
-    a match also ``relevance``.
+    a match also ``relevance``, which ``ranking`` chooses (``matches``).
 
     ``ranks(link_id, pagerank)`` are the current ranks where they are kept apart
     from the documents; bucketed by ``link_id`` they are joined without being
@@ -193,7 +201,7 @@ def search(
         total = docs.agg(F.count(F.lit(1)).alias("total"))
         return SearchResult(total, lambda: match_all(docs, offset, limit, after))
     query = read_phrase(docs, text, english) if phrase else read_query(docs, text, english)
-    found = matches(docs, postings, query)
+    found = matches(docs, postings, query, ranking)
 
     def fetch() -> DataFrame:
         # Ordering needs the rank only, so no text is read or sorted for it.

@@ -245,6 +245,47 @@ def page_sql(offset: int = 0, order: str = "asc") -> str:
   order by relevance {order}, pagerank desc nulls first, link_id limit 10 offset {offset}"""
 
 
+def _real(x: object) -> str:
+    return f"({x})::real"
+
+
+def ts_rank_sql(terms: list[str], near: bool) -> str:
+    """PostgreSQL's ts_rank over ``pos``, in single precision; positions count from 1."""
+    # Positions rise, so equal ones (the last) are neighbours: keep those that differ from the one before.
+    at = {
+        t: f"list_filter(list_transform(pos[{lit(t)}], lambda p: least(p + 1, 16383)), lambda p, i: i = 1 or p < 16383 or pos[{lit(t)}][i - 1] + 1 < 16383)[1:255]"
+        for t in sorted(terms)
+    }
+    if near:
+        order = sorted(terms)
+        pairs = ", ".join(
+            f"coalesce(flatten(list_transform({at[a]}, lambda x: list_transform({at[b]}, lambda y: abs(x - y)))), [])"
+            for i, a in enumerate(order)
+            for b in order[:i]
+        )
+        near_by = "(1::double / (1.005::double + 0.05::double * exp(d::double / 1.5::double - 2::double)))::real"
+        pair = f"sqrt((0.1::real * 0.1::real * case when d > 100 then 1e-30::real else {near_by} end)::double)::real"
+        scores = f"list_transform(list_filter(flatten([{pairs}]), lambda d: d > 0), lambda d: {pair})"
+        step = "case when s < 0 then w else (1::double - (1::double - s::double) * (1::double - w::double))::real end"
+        total = f"list_reduce({scores}, lambda s, w: {step}, (-1)::real)"
+        return f"(case when {total} < 0 then 1e-20::real else {total} end)::double"
+    total = _real(0)
+    for t in sorted(terms):
+        often = f"list_reduce(range(1, len({at[t]}) + 1), lambda s, j: (s::real + (0.1::real / (j * j)::real)::real)::real, 0::real)"
+        one = f"(((0.1::real + {often})::real - 0.1::real)::real)::double / 1.64493406685::double"
+        total = f"(case when {has(t)} then ({total}::double + {one})::real else {total} end)"
+    return f"(({total})::double / {len(terms)})::real::double"
+
+
+def ranked_sql(condition: str, terms: list[str], near: bool, tail: str) -> str:
+    """As ``search_sql`` with the score of ``ts_rank``."""
+    return f"""with {POSTINGS},
+per_doc as (select link_id, map(list(term), list(tf)) tf, map(list(term), list(positions)) pos
+  from posting where term in ({",".join(lit(t) for t in terms)}) group by link_id),
+hit as (select d.*, {ts_rank_sql(terms, near)} relevance from doc d left join per_doc p using (link_id)
+  where {condition}) {tail}"""
+
+
 MATCH = (f"{has('tion')} and {has('thing')}", ["thing", "tion"])
 OR_NOT = (
     f"({has('tion')} and not ({has('ble')})) or {phrase_sql([('ing', 0), ('thre', 1)])}"
@@ -430,6 +471,13 @@ doc as (select link_id, url, title, case when right(url,1) = '3' then 'changed t
         "search_or_not_all": search_sql(*OR_NOT, "select link_id, relevance from hit"),
         "search_phrase": search_sql(*PHRASE, page_sql()),
         "search_phrase_all": search_sql(*PHRASE, "select link_id, relevance from hit"),
+        "search_rank": ranked_sql(MATCH[0], ["thing", "tion"], True, page_sql()),
+        "search_rank_desc": ranked_sql(MATCH[0], ["thing", "tion"], True, page_sql(order="desc")),
+        "search_rank_phrase": ranked_sql(PHRASE[0], ["er", "tion"], True, page_sql()),
+        "search_rank_all": ranked_sql(MATCH[0], ["thing", "tion"], True, "select link_id, relevance from hit"),
+        "search_rank_or_all": ranked_sql(
+            OR_NOT[0], ["ble", "er", "ing", "thnd", "thre", "tion"], False, "select link_id, relevance from hit"
+        ),
         "search_page2": search_sql(*MATCH, page_sql(10)),
         "search_count": search_sql(*OR_NOT, "select count(*) total from hit"),
         "page_details": search_sql(

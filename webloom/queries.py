@@ -299,16 +299,16 @@ def update_postings_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_all_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All matches as one page, which is larger than what is fetched by literals."""
-    found = search.search(_corpus(spark, sf_dir), _postings(spark, sf_dir), OR_NOT_TEXT, limit=None)
+    found = search.search(_corpus(spark, sf_dir), _postings(spark, sf_dir), OR_NOT_TEXT, limit=None, ranking="log_tf")
     return found.page.select("rank_pos", "link_id", "url", "title", "relevance", "pagerank")
 
 
 def search_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second page, by the key of the last row of the first."""
     docs, postings = _corpus(spark, sf_dir), _postings(spark, sf_dir)
-    last = search.search(docs, postings, MATCH_TEXT).page.collect()[-1]
+    last = search.search(docs, postings, MATCH_TEXT, ranking="log_tf").page.collect()[-1]
     key = (last.relevance, last.pagerank, last.link_id)
-    found = search.search(docs, postings, MATCH_TEXT, offset=10, after=key)
+    found = search.search(docs, postings, MATCH_TEXT, offset=10, after=key, ranking="log_tf")
     return found.page.select("rank_pos", "link_id", "url", "title", "relevance", "pagerank")
 
 
@@ -325,22 +325,22 @@ def stem_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.distinct().select("word", stem(F.col("word")).alias("stem"))
 
 
-def _search(text: str, phrase: bool = False, offset: int = 0, order: str = "asc") -> Query:
+def _search(text: str, phrase: bool = False, offset: int = 0, order: str = "asc", ranking: str = "log_tf") -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = _corpus(spark, sf_dir)
-        found = search.search(docs, _postings(spark, sf_dir), text, phrase, offset, relevance_order=order)
+        found = search.search(docs, _postings(spark, sf_dir), text, phrase, offset, relevance_order=order, ranking=ranking)
         return found.page.select("rank_pos", "link_id", "url", "title", "relevance", "pagerank")
 
     return run
 
 
-def _matches(text: str, phrase: bool = False) -> Query:
+def _matches(text: str, phrase: bool = False, ranking: str = "log_tf") -> Query:
     """All matching documents, not one page of them."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = _corpus(spark, sf_dir)
         query = search.read_phrase(docs, text) if phrase else search.read_query(docs, text)
-        return search.matches(docs, _postings(spark, sf_dir), query)
+        return search.matches(docs, _postings(spark, sf_dir), query, ranking)
 
     return run
 
@@ -362,7 +362,7 @@ def page_details(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _corpus(spark, sf_dir)
-    return results.search_results(docs, _postings(spark, sf_dir), PHRASE_TEXT).hits
+    return results.search_results(docs, _postings(spark, sf_dir), PHRASE_TEXT, ranking="log_tf").hits
 
 
 def match_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -637,6 +637,11 @@ def queries() -> dict[str, Query]:
         "search_or_not_all": _matches(OR_NOT_TEXT),
         "search_phrase": _search(PHRASE_TEXT, phrase=True),
         "search_phrase_all": _matches(PHRASE_TEXT, phrase=True),
+        "search_rank": _search(MATCH_TEXT, ranking="ts_rank"),
+        "search_rank_desc": _search(MATCH_TEXT, order="desc", ranking="ts_rank"),
+        "search_rank_phrase": _search(PHRASE_TEXT, phrase=True, ranking="ts_rank"),
+        "search_rank_all": _matches(MATCH_TEXT, ranking="ts_rank"),
+        "search_rank_or_all": _matches(OR_NOT_TEXT, ranking="ts_rank"),
         "search_page2": _search(MATCH_TEXT, offset=10),
         "search_count": search_count,
         "search_total_all": search_total_all,
