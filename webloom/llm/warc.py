@@ -267,14 +267,17 @@ def read_records(file: BinaryIO, path: str = "") -> Iterator[tuple[int, dict[str
 
 
 def train_dictionary(pages: DataFrame, html_col: str = "html", sample_pages: int = SAMPLE_PAGES, sample_bytes: int = SAMPLE_BYTES, size: int = DICTIONARY_BYTES) -> bytes:
-    """A dictionary from the first bytes of a fixed choice of pages; empty if they are too few.
+    """A dictionary from the first bytes of some pages; empty if they are too few.
 
     The sample is bounded by its parameters.  It decides how small records get and
     nothing else: every page is written whole.
     """
     body = F.encode(F.substring(pages[html_col].cast("string"), 1, sample_bytes), "UTF-8")
-    some = pages.where(F.length(pages[html_col]) > 0).select(body.alias("body")).orderBy(F.xxhash64("body")).limit(sample_pages)
-    samples = [bytes(r["body"])[:sample_bytes] for r in some.collect()]
+    # About twice the rows asked for pass the filter, so no task sends more than a few.
+    share = 2 * sample_pages / max(1, pages.count())
+    drawn = F.pmod(F.xxhash64(*[pages[c] for c, kind in pages.dtypes if kind in ("bigint", "int", "string")]), F.lit(1 << 30)) < int(min(1, share) * (1 << 30))
+    some = pages.where((F.length(pages[html_col]) > 0) & drawn).select(body.alias("body")).limit(sample_pages)
+    samples = [bytes(r["body"])[:sample_bytes] for r in some.collect()]  # bounded by the parameters
     try:
         return zstandard.train_dictionary(min(size, max(256, sum(map(len, samples)) // 10)), samples).as_bytes()
     except (zstandard.ZstdError, ValueError):
