@@ -182,3 +182,79 @@ def test_checkpoints_of_old_supersteps_are_deleted(spark):
     result = pagerank(v, e)
     assert result.superstep > 10 and held() - before <= 6
     assert result.vertices.count() == 4
+
+
+def edge_program(vertices, edges, steps, **options):
+    """A vertex adds what it gets; an edge loses half of its weight and takes on its source's value."""
+    return run_vertex_program(
+        vertices,
+        edges,
+        update=lambda step, g: {"value": F.col("value") + F.coalesce("msg", F.lit(0))} if step else {},
+        edge_update=lambda step, g: {"weight": F.floor(F.col("weight") / 2) + F.col("value") + step},
+        message=F.col("weight"),
+        max_steps=steps,
+        **options,
+    )
+
+
+def plain_edge_program(values, edges, steps):
+    values, edges = dict(values), [list(e) for e in edges]
+    for step in range(steps):
+        if step:
+            for name in values:
+                values[name] += sum(w for _, d, w in edges if d == name)
+        for e in edges:
+            e[2] = e[2] // 2 + values[e[0]] + step
+    return values, sorted(tuple(e) for e in edges)
+
+
+@pytest.mark.parametrize("edges_per_block", [1_000_000, 2])
+def test_steps_set_the_values_of_edges(spark, edges_per_block):
+    rows = [("A", "B", 8), ("A", "C", 5), ("A", "D", 1), ("B", "C", 9), ("C", "A", 2), ("A", "B", 3)]
+    start = {"A": 1, "B": 0, "C": 4, "D": 7}
+    v = spark.createDataFrame(list(start.items()), "id string, value long")
+    e = spark.createDataFrame(rows, "src string, dst string, weight long")
+    for steps in (1, 2, 5):
+        result = edge_program(v, e, steps, edges_per_block=edges_per_block)
+        values, edges = plain_edge_program(start, rows, steps)
+        assert {r.id: r.value for r in result.vertices.collect()} == values
+        assert sorted(tuple(r) for r in result.edges.select("src", "dst", "weight").collect()) == edges
+
+
+def test_edges_of_sleeping_sources_keep_their_values(spark):
+    v, e = graph(spark, "ABC", "AB BC CA")
+    result = run_vertex_program(
+        v.withColumn("value", F.lit(0)),
+        e.withColumn("seen", F.lit(0)),
+        update=lambda step, g: {"value": F.lit(step)},
+        edge_update=lambda step, g: {"seen": F.lit(step + 1)},
+        message=F.when((F.col("id") == "A") & (F.col("value") == 0), F.lit(1)),
+        combine=F.max,
+        halt=lambda step, g: F.lit(True),
+    )
+    # Only B is woken, by the message of A.
+    assert {(r.src, r.dst): r.seen for r in result.edges.collect()} == {("A", "B"): 1, ("B", "C"): 2, ("C", "A"): 1}
+    with pytest.raises(ValueError, match="no edge has"):
+        run_vertex_program(v, e, update=lambda s, g: {}, edge_update=lambda s, g: {"w": F.lit(1)}, message=F.lit(1), max_steps=1)
+    with pytest.raises(ValueError, match="no edge has"):
+        run_vertex_program(v, e, update=lambda s, g: {}, edge_update=lambda s, g: {"src": F.lit("A")}, message=F.lit(1), max_steps=1)
+    assert pagerank(v, e).edges is None
+
+
+def test_one_exchange_a_superstep_with_edge_values(spark):
+    from webloom.operators import vertexprogram as VP
+    from webloom.session import planning
+
+    v, e = graph(spark, "ABCD", "AB BC CA CD")
+    layout = VP._Layout(spark, v.withColumn("x", F.lit(1.0)), e.withColumn("w", F.lit(1.0)), "error", 4, 1_000_000)
+    with planning(spark, {**layout.settings(), "spark.sql.autoBroadcastJoinThreshold": -1}):
+        state = layout.vertices.withColumns({"_active": F.lit(True), "_ran": F.lit(True)})
+        same = F.col("_key") == F.col("_src")
+        changed = layout.edges.join(state, same)
+        assert "Exchange" not in changed._jdf.queryExecution().executedPlan().toString()
+        layout.update_edges(state, {"w": F.col("w") / 2}, F.col("w"))
+        inbox = VP._inbox(layout, state, F.col("w"), F.sum, None, 1, "error", layout.carried())
+        joined = state.join(inbox, F.col("_key") == F.col("_dst"), "left")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    layout.release()
+    assert plan.count("Exchange hashpartitioning") == 1

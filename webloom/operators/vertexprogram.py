@@ -51,11 +51,12 @@ class UnknownDestination(ValueError):
 
 @dataclass
 class VertexResult:
-    """Final vertices, the number of the last superstep and the metrics."""
+    """Final vertices, the number of the last superstep and the metrics; the edges if steps set their values."""
 
     vertices: DataFrame
     superstep: int
     history: list[dict[str, float]] = field(default_factory=list)
+    edges: DataFrame | None = None
 
     def history_frame(self) -> DataFrame:
         """One row per superstep and metric."""
@@ -117,6 +118,7 @@ class _Layout:
         partitions: int | None,
         edges_per_block: int,
     ) -> None:
+        self.edge_values = [c for c in edges.columns if c not in ("src", "dst")]
         # The numbers are not repeatable, so they are written before any use.
         self.keyed = _single_value(vertices).withColumn("_key", F.monotonically_increasing_id()).checkpoint()
         given = edges.persist()
@@ -171,6 +173,49 @@ class _Layout:
         # step, so nothing is left for adaptive execution to decide.
         return {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": self.partitions}
 
+    def update_edges(self, state: DataFrame, new: Mapping[str, Column], message: Column) -> None:
+        """V8: the edges after a superstep, with the message each of them carries.
+
+        Sources that computed set the values of their out-edges.  Edges lie with their
+        sources, and those of hubs get the rows of the hubs, so nothing is shuffled.
+        The edges before are given up once these are written.
+        """
+        unknown = set(new) - set(self.edge_values)
+        if unknown:
+            raise ValueError(f"edge_update sets columns that no edge has: {sorted(unknown)}")
+        ran, same = F.col("_ran"), F.col("_key") == F.col("_src")
+        values = [F.when(ran, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in self.edge_values]
+
+        def step(edges: DataFrame, sources: DataFrame) -> DataFrame:
+            changed = edges.drop("msg").join(sources, same).select("_src", "_dst", "_ran", *values, *self._others(sources))
+            sent = changed.withColumn("msg", F.when(ran, message))
+            after = sent.select("_src", "_dst", *self.edge_values, "msg").checkpoint()
+            edges.unpersist()
+            _forget(edges)
+            return after
+
+        self.edges = step(self.edges, state)
+        if self.blocked:
+            self.hub_edges = step(self.hub_edges, F.broadcast(state.where(F.col("out_degree") > self.block)))
+
+    def _others(self, sources: DataFrame) -> list[str]:
+        return [c for c in sources.columns if c not in ("_key", "_ran", "_active", *self.edge_values)]
+
+    def carried(self) -> DataFrame:
+        """The messages that ``update_edges`` left on the edges, as ``(_dst, msg)``."""
+        sent = self.edges.select("_dst", "msg")
+        return sent.unionByName(self.hub_edges.select("_dst", "msg")) if self.blocked else sent
+
+    def final_edges(self) -> DataFrame:
+        """The edges by the ids of their ends."""
+        every = self.edges.select("_src", "_dst", *self.edge_values)
+        if self.blocked:
+            every = every.unionByName(self.hub_edges.select("_src", "_dst", *self.edge_values))
+        ids = self.keyed.select("_key", "id")
+        found = lookup_join(every, ids.withColumnRenamed("id", "src"), "_src", "inner")
+        found = lookup_join(found, ids.withColumnRenamed("id", "dst"), "_dst", "inner", counted=every)
+        return found.select("src", "dst", *self.edge_values)
+
     def messages(self, senders: DataFrame, message: Column) -> DataFrame:
         """The messages the out-edges carry, as ``(_dst, msg)``."""
         same = F.col("_key") == F.col("_src")
@@ -200,6 +245,7 @@ def run_vertex_program(
     running: frozenset[str] | set[str] = frozenset(),
     halt: Callable[[int, Globals], Column] | None = None,
     send: Callable[[int, DataFrame], DataFrame] | None = None,
+    edge_update: Callable[[int, Globals], Mapping[str, Column]] | None = None,
     pre_step: Callable[[int, Globals], None] | None = None,
     post_step: Callable[[int, Globals], None] | None = None,
     keep_running: Callable[[int, Globals], bool] | None = None,
@@ -218,6 +264,9 @@ def run_vertex_program(
     * ``message`` is an expression over value and edge columns; a NULL is not
       sent.  ``send(superstep, vertices)`` may add ``(dst, msg)`` rows for any
       destination (V6).
+    * ``edge_update(superstep, globals)`` maps edge columns to expressions over the new
+      values of the source and the values of the edge; an edge whose source computed
+      takes them before its message is made (V8).  The result then has the edges.
     * ``aggregates(superstep)`` are aggregates over the vertices, whose column
       ``_ran`` tells those that computed; those named in ``running`` add up
       over the supersteps, others start anew.  ``globals`` holds their latest values, ``vertex_count`` and
@@ -242,10 +291,13 @@ def run_vertex_program(
             while layout.vertex_count and (max_steps is None or len(history) < max_steps):
                 if pre_step:
                     pre_step(step, globals_)
-                inbox = _inbox(layout, state, message, combine, send, step, on_unknown_dst) if history else None
+                carried = layout.carried() if edge_update and history else None
+                inbox = _inbox(layout, state, message, combine, send, step, on_unknown_dst, carried) if history else None
                 before = state
                 state, metrics = _superstep(state, inbox, values, update, aggregates, halt, step, globals_)
                 _forget(before)
+                if edge_update:
+                    layout.update_edges(state, dict(edge_update(step, globals_)), message)
                 for name in running:
                     if name in metrics or name in globals_:
                         metrics[name] = (globals_.get(name) or 0) + (metrics.get(name) or 0)
@@ -261,7 +313,8 @@ def run_vertex_program(
                     break
     finally:
         layout.release()
-    return VertexResult(state.select("id", "out_degree", *values), step - 1, history)
+    final = layout.final_edges() if edge_update else None
+    return VertexResult(state.select("id", "out_degree", *values), step - 1, history, final)
 
 
 def _forget(state: DataFrame) -> None:
@@ -286,10 +339,12 @@ def _inbox(
     send: Callable[[int, DataFrame], DataFrame] | None,
     step: int,
     on_unknown_dst: str,
+    carried: DataFrame | None = None,
 ) -> DataFrame:
     """Combined messages of the superstep before, one row per destination."""
     senders = state.where("_ran")
-    sent = layout.messages(senders, message).where(F.col("msg").isNotNull())
+    sent = layout.messages(senders, message) if carried is None else carried
+    sent = sent.where(F.col("msg").isNotNull())
     if send:
         extra = send(step - 1, senders.drop("_key", "_active", "_ran"))
         sent = sent.unionByName(layout.addressed(extra, on_unknown_dst))
