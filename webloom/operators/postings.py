@@ -3,55 +3,104 @@
 One row per document and term with the number and the positions of its
 occurrences.  Positions count all words, stop words included, so phrases keep
 their distances.
+
+A document is one row, so its words are grouped where it lies and no text is shuffled.
+Some documents at a time become one row: their words as numbers, and the distinct
+words, which are then stemmed once for all of them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions.stem import stem
 from webloom.functions.text import STOP_WORDS, search_text, tokens
 
+#: Words of the documents that are analysed together, if they are more than one.
+CHUNK_WORDS = 400_000
 
-def build_postings(
-    docs: DataFrame, english: bool = True, clustered: bool = False, partitions: int | None = None
-) -> DataFrame:
+
+def build_postings(docs: DataFrame, english: bool = True, partitions: int | None = None) -> DataFrame:
     """Postings ``(link_id, term, tf, positions)`` of ``docs(link_id, title, content)``.
 
     With ``english`` stop words are dropped and terms are stems, otherwise all
     words are kept as they are.
 
-    The documents are shuffled once, as text, by id; both aggregates reuse that
-    partitioning.  Shuffling the exploded words instead would repeat the id for
-    every word.  ``clustered`` tells that ``docs`` is partitioned by id already
-    (a bucketed table), and then nothing is shuffled.  Stemming runs on the
-    distinct words of each document, after the first aggregate.
-
-    ``partitions`` defaults to the session's shuffle partitions.  The number is
-    kept: adaptive execution would join partitions by the size of the texts,
-    while the work on them is many times that.
+    Nothing is shuffled, unless the input has fewer partitions than the session has
+    cores, as a single small file has: its texts are then dealt anew.  ``partitions``
+    deals them into so many in any case.
     """
     texts = docs.select("link_id", search_text(F.col("title"), F.col("content")).alias("_text"))
-    if not clustered:
-        spark = docs.sparkSession
-        texts = texts.repartition(
-            partitions or int(spark.conf.get("spark.sql.shuffle.partitions")), "link_id"
-        )
-    found = texts.select("link_id", F.posexplode(tokens(F.col("_text"))).alias("_pos", "_word"))
-    if english:
-        found = found.where(~F.col("_word").isin(*STOP_WORDS))
-    by_word = found.groupBy("link_id", "_word").agg(F.collect_list("_pos").alias("_positions"))
-    if english:
-        by_word = by_word.groupBy("link_id", stem(F.col("_word")).alias("_word")).agg(
-            F.flatten(F.collect_list("_positions")).alias("_positions")
-        )
-    return by_word.select(
-        "link_id",
-        F.col("_word").alias("term"),
-        F.size("_positions").alias("tf"),
-        F.sort_array("_positions").alias("positions"),
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    if partitions or _is_scan(texts) and texts.rdd.getNumPartitions() < cores:
+        texts = texts.repartition(partitions or cores)
+    coded = texts.select("link_id", tokens(F.col("_text")).alias("words")).mapInArrow(
+        _coded, "ids array<string>, lengths array<int>, codes array<int>, words array<string>"
     )
+    if english:
+        term = F.transform("words", lambda w: F.when(~w.isin(*STOP_WORDS), stem(w)))
+        coded = coded.select("ids", "lengths", "codes", term.alias("terms"))
+    return coded.mapInArrow(_grouped, "link_id string, term string, tf int, positions array<int>")
+
+
+def _is_scan(df: DataFrame) -> bool:
+    """Whether the number of partitions is known without running a job."""
+    return "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def _single(values: pa.Array) -> pa.Array:
+    """One list that holds all values."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of several documents: their ids, numbers of words, words as numbers, and the distinct words."""
+    for batch in batches:
+        ids, words = batch.column(0), batch.column(1)
+        lengths = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        # A chunk begins wherever the running number of words passes a multiple.
+        chunk = (np.cumsum(lengths) - lengths) // CHUNK_WORDS
+        edges = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(lengths)]
+        for low, high in zip(edges[:-1], edges[1:]):
+            if low == high:
+                continue
+            found = words.slice(low, high - low).flatten().dictionary_encode()
+            columns = [ids.slice(low, high - low), pa.array(lengths[low:high], pa.int32()), found.indices.cast(pa.int32()), found.dictionary]
+            yield pa.RecordBatch.from_arrays([_single(c) for c in columns], ["ids", "lengths", "codes", "words"])
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of such rows; a word without a term is left out and keeps its place."""
+    for batch in batches:
+        for k in range(len(batch)):
+            ids, lengths, codes, terms = (batch.column(c)[k].values for c in range(4))
+            lengths, codes = lengths.to_numpy(), codes.to_numpy()
+            term = terms.dictionary_encode()
+            number = pc.fill_null(term.indices.cast(pa.int64()), -1).to_numpy(zero_copy_only=False)[codes]
+            doc = np.repeat(np.arange(len(lengths)), lengths)
+            place = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            kept = number >= 0
+            if not kept.any():
+                continue
+            key, place = (doc * len(term.dictionary) + number)[kept], place[kept]
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            first = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
+            ends = np.concatenate([first, [len(key)]]).astype(np.int32)
+            group = key[first]
+            columns = [
+                ids.take(pa.array(group // len(term.dictionary))),
+                term.dictionary.take(pa.array(group % len(term.dictionary))),
+                pa.array(np.diff(ends), pa.int32()),
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(place[order].astype(np.int32))),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["link_id", "term", "tf", "positions"])
 
 
 def update_postings(
