@@ -393,6 +393,14 @@ doc as (select link_id, url, title, case when right(url,1) = '3' then 'changed t
         f" left join edge e on e.dst = v.id left join m{i - 1} p on p.id = e.src group by v.id, v.value)"
         for i in range(1, steps + 1)
     )
+    changed_postings = f"with {changed} select link_id, term, tf, array_to_string(positions,' ') positions from posting"
+    # Values of vertices and edges by superstep: a step updates a vertex, then its edges.
+    traded = f"""{TRADE}, v0 as (select id, substr(id,2)::bigint as value from vertex),
+ w0 as (select src, dst, (substr(src,2)::bigint * 3 + substr(dst,2)::bigint) % 1000 weight from edge)"""
+    for i in range(4):
+        sums = f"left join (select dst, sum(weight)::bigint s from w{i} group by dst) on dst = id" if i else ""
+        traded += f""", v{i + 1} as (select id, {'(value + coalesce(s, 0)) % 1009' if i else 'value'} as value from v{i} {sums}),
+ w{i + 1} as (select src, dst, weight // 2 + value % 100 + {i} weight from w{i} join v{i + 1} on id = src)"""
     history = f"""with recursive {TRADE}, {rank_ctes('vertex', 'edge', CONVERGED)},
  step as (select step, max(sad) sad, coalesce(sum(score) filter (id not in (select src from o)), 0.0) / max(n.n) residual
    from r, n group by step union all select 0, 0.0, 0.0),
@@ -462,7 +470,10 @@ doc as (select link_id, url, title, case when right(url,1) = '3' then 'changed t
         "build_postings": f"with {POSTINGS} select link_id, term, tf, array_to_string(positions,' ') positions from posting",
         "build_postings_plain": f"""with {WORDS} select link_id, word term, count(*)::int tf,
  array_to_string(list(pos order by pos),' ') positions from tok group by link_id, word""",
-        "update_postings": f"with {changed} select link_id, term, tf, array_to_string(positions,' ') positions from posting",
+        "update_postings": changed_postings,
+        "segment_postings": changed_postings,
+        "merged_postings": changed_postings,
+        "segment_search": ranked_sql(MATCH[0], ["thing", "tion"], True, page_sql()).replace(POSTINGS, changed),
         "search_all_pages": search_sql(*OR_NOT, page_sql().replace("limit 10", "")),
         "search_after": search_sql(*MATCH, page_sql(10)),
         "search_match": search_sql(*MATCH, page_sql()),
@@ -521,6 +532,8 @@ doc as (select link_id, url, title, case when right(url,1) = '3' then 'changed t
  select id, coalesce(msg, 0)::bigint as value from vertex left join sent on dst = id""",
         "duplicate_vertices": f"""with {TRADE}, d as (select src, count(*) k from edge group by src)
  select id, greatest(substr(id,2)::bigint, 100 - substr(id,2)::bigint) as value, coalesce(k, 0) out_degree from vertex left join d on src = id""",
+        "edge_values": f"with {traded} select src, dst, weight from w4",
+        "edge_value_vertices": f"with {traded} select id, value::bigint as value from v4",
         "id_extents": f"with {GRAPH}, {bounds_sql(7)} select link.* from link join bound on part = 3 and id >= lo and id < hi where retrieved_at < {before}",
         "uuid_partitions": f"""with {GRAPH}, {bounds_sql(7)} select part, lo, hi, count(id) n from bound
  left join link on id >= lo and id < hi group by part, lo, hi""",

@@ -17,11 +17,13 @@ from webloom.operators import partitioning, results, scans, search, upserts
 from webloom.operators.pagerank import pagerank, without_self_links
 from webloom.operators.postings import build_postings, update_postings, write_postings
 from webloom.operators.vertexprogram import (
+    VertexResult,
     metric_delta,
     out_degrees,
     run_vertex_program,
     unknown_destinations,
 )
+from webloom.plans import index
 from webloom.plans.crawl import Snapshot, apply_crawl, pass_report
 from webloom.plans.rank import rank_pass
 from webloom.schemas import DOCUMENT, EDGE, LINK
@@ -40,6 +42,7 @@ LOOKUP_DOC = 7
 Query = Callable[[SparkSession, str], DataFrame]
 _indexes: dict[tuple[str, str], DataFrame] = {}
 _corpora: dict[tuple[str, str], DataFrame] = {}
+_segmented: dict[tuple[str, str], str] = {}
 
 
 def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -297,6 +300,43 @@ def update_postings_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat_positions(update_postings(_postings(spark, sf_dir), changed, removed))
 
 
+def _changed_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus after every tenth document changed and every seventh of ten went."""
+    digit = F.col("url").substr(-1, 1)
+    content = F.when(digit == "3", F.concat(F.lit("changed things "), "content")).otherwise(F.col("content"))
+    return D.search_documents(spark, sf_dir).where(digit != "7").withColumn("content", content)
+
+
+def _segments(spark: SparkSession, sf_dir: str) -> str:
+    """An index of three segments, written once per application: all documents, those
+    that changed, and two passes' worth of ids that went."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _segmented:
+        root, docs, digit = fresh_path(spark, "segments"), D.search_documents(spark, sf_dir), F.col("url").substr(-1, 1)
+        index.add_pass(spark, root, docs)
+        index.add_pass(spark, root, _changed_corpus(spark, sf_dir).where(digit == "3"))
+        index.add_pass(spark, root, docs.limit(0), docs.where(digit == "7").select("link_id"))
+        _segmented[key] = root
+    return _segmented[key]
+
+
+def segment_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat_positions(index.load_postings(spark, _segments(spark, sf_dir), 3))
+
+
+def merged_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _segments(spark, sf_dir)
+    index.merge(spark, root, everything=True)
+    return _flat_positions(index.load_postings(spark, root))
+
+
+def segment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first page over three segments, in the order of a rebuilt index."""
+    postings = index.load_postings(spark, _segments(spark, sf_dir), 3)
+    found = search.search(_changed_corpus(spark, sf_dir), postings, MATCH_TEXT)
+    return found.page.select("rank_pos", "link_id", "url", "title", "relevance", "pagerank")
+
+
 def search_all_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All matches as one page, which is larger than what is fetched by literals."""
     found = search.search(_corpus(spark, sf_dir), _postings(spark, sf_dir), OR_NOT_TEXT, limit=None, ranking="log_tf")
@@ -515,6 +555,29 @@ def duplicate_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result.vertices.select("id", "value", "out_degree")
 
 
+def _traded(spark: SparkSession, sf_dir: str) -> VertexResult:
+    """Four supersteps over edges whose weights decay and take on their source's value."""
+    vertices, edges = D.trade_graph(spark, sf_dir)
+    number = F.substr("id", F.lit(2)).cast("bigint")
+    weight = F.pmod(F.substr("src", F.lit(2)).cast("bigint") * 3 + F.substr("dst", F.lit(2)).cast("bigint"), F.lit(1000))
+    return run_vertex_program(
+        vertices.select("id", number.alias("value")),
+        edges.select("src", "dst", weight.alias("weight")),
+        update=lambda step, g: {"value": F.pmod(F.col("value") + F.coalesce("msg", F.lit(0)), F.lit(1009))} if step else {},
+        edge_update=lambda step, g: {"weight": F.floor(F.col("weight") / 2) + F.pmod(F.col("value"), F.lit(100)) + step},
+        message=F.col("weight"),
+        max_steps=4,
+    )
+
+
+def edge_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _traded(spark, sf_dir).edges
+
+
+def edge_value_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _traded(spark, sf_dir).vertices.select("id", "value")
+
+
 def rank_pass_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranks of the page graph written into the page documents."""
     crawled = _parsed(spark, sf_dir)
@@ -629,6 +692,9 @@ def queries() -> dict[str, Query]:
         "build_postings": build_postings_query,
         "build_postings_plain": build_postings_plain,
         "update_postings": update_postings_query,
+        "segment_postings": segment_postings,
+        "merged_postings": merged_postings,
+        "segment_search": segment_search,
         "search_all_pages": search_all_pages,
         "search_after": search_after,
         "search_match": _search(MATCH_TEXT),
@@ -660,6 +726,8 @@ def queries() -> dict[str, Query]:
         "pregel_max": pregel_max,
         "sent_messages": sent_messages,
         "duplicate_vertices": duplicate_vertices,
+        "edge_values": edge_values,
+        "edge_value_vertices": edge_value_vertices,
         "rank_pass": rank_pass_query,
         "id_extents": id_extents,
         "uuid_partitions": uuid_partitions,
