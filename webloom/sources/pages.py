@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.functions.html import page_hrefs, page_text, page_title
+from webloom.functions.html import page_fields
 from webloom.functions.text import let
 from webloom.functions.urls import base_parts, is_web_url, normalise_url, resolve_from, uuid_of
 from webloom.schemas import NEVER
@@ -22,14 +22,15 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     found = let(
         base_parts(F.col("url")),
         lambda base: F.filter(
-            F.transform(page_hrefs(F.col("html")), lambda h: resolve_from(h, base)), is_web_url
+            F.transform(F.col("_page.hrefs"), lambda h: resolve_from(h, base)), is_web_url
         ),
     )
-    return pages.where(is_web_url(F.col("url"))).select(
+    parsed = pages.where(is_web_url(F.col("url"))).withColumn("_page", page_fields(F.col("html")))
+    return parsed.select(
         uuid_of(url).alias("link_id"),
         url.alias("url"),
-        page_title(F.col("html")).alias("title"),
-        page_text(F.col("html")).alias("content"),
+        F.col("_page.title").alias("title"),
+        F.col("_page.content").alias("content"),
         F.array_distinct(found).alias("found_urls"),
         *rest,
     )
