@@ -4,8 +4,8 @@ Documents are dealt to a few shards of equal expected size.  A phrase that occur
 ``least`` times in all occurs at least ``least / shards`` times in one of them, so each
 shard is mined completely at that lower support, the phrases that are frequent in any
 shard are joined into one set of candidates, and a last pass counts every candidate
-over all documents.  Inside a shard phrases are mined by length, from single words on:
-one can be frequent only if both phrases without its first and its last word are.
+over all documents.  Inside a shard phrases are mined by length, from two words on: a
+longer one can be frequent only if both phrases without its first and its last word are.
 
 Until the last pass a phrase is a 64-bit hash.  Candidates become a bitmap, which is all
 that the next pass needs: what it lets through besides candidates is counted as exactly
@@ -32,7 +32,7 @@ from webloom.session import fresh_path
 
 #: Words of a phrase, least frequency, shards, rows a language returns, and the share of
 #: its occurrences inside one longer phrase, in hundredths, at which a phrase is dropped.
-MOST_WORDS, LEAST, SHARDS, TOP, CONTAINED = 3, 10, 4, 2000, 50
+MOST_WORDS, LEAST, SHARDS, TOP, CONTAINED = 3, 10, 3, 2000, 50
 NO_LANG = "und"
 #: Tokens a task works on at once, and the bits of a bitmap: 2 to 32 MB.
 CHUNK_TOKENS = 1_000_000
@@ -174,7 +174,7 @@ def _counted(texts: DataFrame, frequent: dict[int, Bitmap], most_words: int, lea
                     last = codes[size - 1 :]
                     numbers = np.unique(numbers[: len(last)] * len(words) + last, return_inverse=True)[1]
                 hashes, may = chunk.phrases(size, held)
-                at = np.flatnonzero(may & held[size].holds(hashes))
+                at = np.flatnonzero(may & held[size].holds(hashes) if size > 1 else may)
                 _, first, n = np.unique(numbers[at], return_index=True, return_counts=True)
                 places = at[first].tolist()
                 phrases += [b" ".join([words[c] for c in codes[p : p + size].tolist()]) for p in places] if size > 1 else [words[codes[p]] for p in places]
@@ -211,7 +211,7 @@ def phrase_counts(
         F.pmod(F.xxhash64(docs[id_col]), F.lit(shards)).cast("int").alias("shard"),
     )
     frequent: dict[int, Bitmap] = {}
-    for size in range(1, most_words + 1):
+    for size in range(2, most_words + 1):
         frequent[size] = _bitmap(_mined(given, size, frequent, shards, least))
     path = fresh_path(spark, "phrases")
     _counted(given, frequent, most_words, least).write.parquet(path)
