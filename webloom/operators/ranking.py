@@ -85,24 +85,47 @@ def rank_near(positions: list[Column]) -> Column:
     return F.when(score < 0, F.lit(float(LEAST_SCORE)).cast("float")).otherwise(score)
 
 
-def rank_often(positions: list[Column]) -> Column:
+def rank_often(counts: list[Column]) -> Column:
     """Score of alternatives or one word: the mean over all words of the query of how
-    often they occur, each occurrence counting less than the one before."""
+    often they occur, each occurrence counting less than the one before.
+
+    ``counts`` are the numbers of counted positions, null for a missing word.  The score
+    grows with each of them, rounding included.
+    """
     often = F.array(*[F.lit(_often_score(n)) for n in range(1, MOST_POSITIONS + 1)])
     score = F.lit(0.0).cast("float")
-    for here in positions:
-        found = (score.cast("double") + F.get(often, F.size(here) - 1)).cast("float")
-        score = F.when(here.isNotNull(), found).otherwise(score)
-    return (score.cast("double") / len(positions)).cast("float") if positions else score
+    for n in counts:
+        found = (score.cast("double") + F.get(often, n - 1)).cast("float")
+        score = F.when(n.isNotNull(), found).otherwise(score)
+    return (score.cast("double") / len(counts)).cast("float") if counts else score
+
+
+def most_near(counts: list[Column]) -> Column:
+    """No less than ``rank_near`` of words that occur so often: all pairs as near as can be."""
+    pairs = F.lit(0)
+    for i, n in enumerate(counts):
+        for m in counts[:i]:
+            pairs = pairs + F.coalesce(n * m, F.lit(0))
+    return 1 - F.pow(F.lit(1 - float(_pair_score(1))), pairs) + 1e-5
+
+
+def is_near(query: list[list[Operand]]) -> bool:
+    """Whether nearness counts: the whole query is one conjunction or phrase of several words."""
+    terms = {t for group in query for op in group for t, _ in op.terms}
+    (first, *others), *more = query
+    return len(terms) > 1 and not more and (bool(others) or (len(first.terms) > 1 and not first.negated))
+
+
+def terms_in_order(query: list[list[Operand]]) -> list[str]:
+    """All terms of a query in byte order, negated ones included."""
+    return sorted({t for group in query for op in group for t, _ in op.terms}, key=lambda t: t.encode())
 
 
 def ts_rank(query: list[list[Operand]], position_of: dict[str, Column]) -> Column:
     """The score of a document under a whole query, negated words included."""
-    terms = sorted({t for group in query for op in group for t, _ in op.terms}, key=lambda t: t.encode())
+    terms = terms_in_order(query)
     counted = [F.when(position_of[t].isNotNull(), rank_positions(position_of[t])) for t in terms]
-    (first, *others), *more = query
-    joined = not more and (bool(others) or (len(first.terms) > 1 and not first.negated))
-    return rank_near(counted) if joined and len(terms) > 1 else rank_often(counted)
+    return rank_near(counted) if is_near(query) else rank_often([F.when(c.isNotNull(), F.size(c)) for c in counted])
 
 
 def log_tf(wanted: list[Column]) -> Column:

@@ -208,7 +208,7 @@ def search(
         current = (docs if ranks is None else ranks).select("link_id", "pagerank")
         ranked = found.join(current, "link_id")
         if after is not None:
-            ranked = ranked.where(_follows(after, relevance_order))
+            ranked = ranked.where(follows(after, relevance_order))
         extra = {"relevance": "double", "pagerank": "double"}
         return fetch_page(docs, ranked, search_order(relevance_order), offset, limit, extra, skip=after is None)
 
@@ -225,7 +225,7 @@ def search_order(relevance_order: str = "asc") -> list[Column]:
     ]
 
 
-def _follows(key: tuple[float, float | None, str], relevance_order: str) -> Column:
+def follows(key: tuple[float, float | None, str], relevance_order: str) -> Column:
     """Rows that come after ``key`` in search order."""
     relevance, rank, link_id = key
     found, held = F.col("relevance"), F.col("pagerank")
