@@ -11,6 +11,7 @@ from webloom.operators import search
 from webloom.operators.postings import build_postings
 from webloom.plans import index
 from webloom.session import fresh_path
+from webloom.sources import tables
 
 WORDS = "cat dog bird fox running houses quickly the of".split()
 
@@ -141,7 +142,7 @@ def test_two_writers_do_not_overwrite_each_other(spark, monkeypatch):
     corpus.change(["a"])
     seen = index.versions(spark, corpus.root, "manifest")
     corpus.change(["b"])
-    monkeypatch.setattr(index, "versions", lambda *args: seen)
+    monkeypatch.setattr(tables, "versions", lambda *args: seen)
     with pytest.raises(Exception, match="(?i)already exists"):
         corpus.change(["c"])
     monkeypatch.undo()

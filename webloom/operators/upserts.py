@@ -123,6 +123,11 @@ def latest_documents(batch: DataFrame) -> DataFrame:
     )
 
 
+def known_documents(batch: DataFrame) -> DataFrame:
+    """P5: the rows of a batch that name a document."""
+    return batch.where(F.col("link_id").isNotNull() & (F.col("link_id") != NIL_ID))
+
+
 def upsert_documents(docs: DataFrame, batch: DataFrame, as_of: datetime) -> tuple[DataFrame, DataFrame]:
     """K4, P5: new document snapshot and the rejected rows.
 

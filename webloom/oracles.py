@@ -408,18 +408,25 @@ doc as (select link_id, url, title, case when right(url,1) = '3' then 'changed t
    union all select step, 'sad', sad from step union all select step, 'residual', residual from step)
  select superstep::int superstep, name, round(value,8) as value,
    round(value - lag(value,1,0.0::double) over (partition by name order by superstep),8) delta from metric"""
+    upserted_links = f"""with {GRAPH}, again as (select url, {START} + to_hours((page_id * 7 % 300)::int) t from page
+ union all select url || '~', fetched_at from page)
+ select {uuid('url')} id, url, max(t) retrieved_at from
+ (select url, retrieved_at t from link union all select * from again) group by url"""
+    upserted_edges = f"""with {GRAPH}, ok as (select * from batch where src in (select id from link) and dst in (select id from link))
+ select {uuid("src || '>' || dst")} id, src, dst, case when ok.src is null then update_at else {AS_OF} end update_at
+ from edge full join ok using (src, dst)"""
+    upserted_documents = f"""with {DOC} select link_id, url || '?v=2' url, case when length(title) >= 20 then 'v2 ' || title end title,
+ null::varchar content, {AS_OF} indexed_at, pagerank from doc
+ union all select {uuid("'new' || url")}, url, title, md5(content), indexed_at, pagerank from doc"""
     return {
         "extract_pages": f"with {PAGE} select link_id, url, title, content, array_to_string(found_urls,' ') found_urls, page_id from page",
         "submit_urls": f"""with {submitted} select {uuid('u')} id, u url, {NEVER} retrieved_at from
  (select distinct {norm('url')} u from sub where {web('url')})""",
         "submit_rejects": f"with {submitted} select url, count(*) n from sub where not {web('url')} group by url",
-        "upsert_links": f"""with {GRAPH}, again as (select url, {START} + to_hours((page_id * 7 % 300)::int) t from page
- union all select url || '~', fetched_at from page)
- select {uuid('url')} id, url, max(t) retrieved_at from
- (select url, retrieved_at t from link union all select * from again) group by url""",
-        "upsert_edges": f"""with {GRAPH}, ok as (select * from batch where src in (select id from link) and dst in (select id from link))
- select {uuid("src || '>' || dst")} id, src, dst, case when ok.src is null then update_at else {AS_OF} end update_at
- from edge full join ok using (src, dst)""",
+        "upsert_links": upserted_links,
+        "merge_links": upserted_links,
+        "upsert_edges": upserted_edges,
+        "merge_edges": upserted_edges,
         "edge_rejects": f"""with {GRAPH} select src, dst from batch
  where src not in (select id from link) or dst not in (select id from link)""",
         "stale_edges": f"""with {GRAPH} select * from edge e where not exists
@@ -455,9 +462,8 @@ doc as (select link_id, url, title, case when right(url,1) = '3' then 'changed t
  select m.id link_id, n.url, n.title, n.content, {AS_OF} indexed_at, case when n.link_id >= '5' then o.pagerank else 0.0 end pagerank
  from newest n join old_doc o using (link_id) join m on m.made = n.link_id where k = 1""",
         "crawl_report": f"with {PAGE} select count(*) fetched, (select count(*) * 2 from flat)::bigint dispatched from page",
-        "upsert_documents": f"""with {DOC} select link_id, url || '?v=2' url, case when length(title) >= 20 then 'v2 ' || title end title,
- null::varchar content, {AS_OF} indexed_at, pagerank from doc
- union all select {uuid("'new' || url")}, url, title, md5(content), indexed_at, pagerank from doc""",
+        "upsert_documents": upserted_documents,
+        "merge_documents": upserted_documents,
         "find_document": f"with {DOC} select * from doc where link_id = {uuid(lit(f'doc{Q.LOOKUP_DOC}'))}",
         "update_rank": f"""with {DOC} select link_id, url, case when regexp_extract(url,'[0-9]+$')::bigint % 3 = 0 then pagerank
  else regexp_extract(url,'[0-9]+$')::bigint / 1000.0::double end pagerank from doc""",
@@ -485,6 +491,11 @@ doc as (select link_id, url, title, case when right(url,1) = '3' then 'changed t
         "search_rank": ranked_sql(MATCH[0], ["thing", "tion"], True, page_sql()),
         "search_rank_desc": ranked_sql(MATCH[0], ["thing", "tion"], True, page_sql(order="desc")),
         "search_rank_phrase": ranked_sql(PHRASE[0], ["er", "tion"], True, page_sql()),
+        "block_matches_all": search_sql(*OR_NOT, "select link_id, relevance from hit"),
+        "block_phrase_all": search_sql(*PHRASE, "select link_id, relevance from hit"),
+        "search_top": ranked_sql(MATCH[0], ["thing", "tion"], True, page_sql()),
+        "search_top_or_desc": ranked_sql(OR_NOT[0], ["ble", "er", "ing", "thnd", "thre", "tion"], False, page_sql(order="desc")),
+        "search_top_log": search_sql(*MATCH, page_sql()),
         "search_rank_all": ranked_sql(MATCH[0], ["thing", "tion"], True, "select link_id, relevance from hit"),
         "search_rank_or_all": ranked_sql(
             OR_NOT[0], ["ble", "er", "ing", "thnd", "thre", "tion"], False, "select link_id, relevance from hit"

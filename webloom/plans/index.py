@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from webloom.operators.postings import build_postings, write_postings
 from webloom.schemas import POSTING
-from webloom.sources.tables import versions
+from webloom.sources.tables import commit_manifest, versions
 
 #: Neighbours of one size that are merged, and the rows up to which segments count as small.
 FACTOR, SMALL_ROWS = 4, 1_000_000
@@ -60,11 +60,7 @@ def segments(spark: SparkSession, root: str, version: int | None = None) -> list
 
 
 def _commit(spark: SparkSession, root: str, held: list[Segment]) -> int:
-    """Write the next version; fails if somebody else has written it meanwhile."""
-    version = max(versions(spark, root, "manifest"), default=0) + 1
-    rows = spark.createDataFrame([(s.number, s.name, s.rows) for s in held], _MANIFEST).coalesce(1)
-    rows.write.mode("error").parquet(f"{root}/manifest/v={version}")
-    return version
+    return commit_manifest(spark.createDataFrame([(s.number, s.name, s.rows) for s in held], _MANIFEST), root)
 
 
 def _postings(spark: SparkSession, root: str, segment: Segment) -> DataFrame:

@@ -14,6 +14,7 @@ from webloom.functions import text as X
 from webloom.functions.stem import stem
 from webloom.functions.urls import is_web_url, normalise_url, uuid_of
 from webloom.operators import partitioning, results, scans, search, upserts
+from webloom.operators.blocks import Blocks, block_matches, rank_bounds, search_top, write_blocks
 from webloom.operators.pagerank import pagerank, without_self_links
 from webloom.operators.postings import build_postings, update_postings, write_postings
 from webloom.operators.vertexprogram import (
@@ -28,6 +29,7 @@ from webloom.plans.crawl import Snapshot, apply_crawl, pass_report
 from webloom.plans.rank import rank_pass
 from webloom.schemas import DOCUMENT, EDGE, LINK
 from webloom.session import fresh_path, shared_dir
+from webloom.sources import buckets
 from webloom.sources import derived as D
 from webloom.sources.pages import extract_pages, rejected_submissions, submitted_links
 from webloom.sources.tables import index_json, load_version, save_version
@@ -38,11 +40,13 @@ OR_NOT_TEXT = 'tion -ble or "ing thre" or thnd -er'
 PHRASE_TEXT = '"tion the er"'
 SUMMARY_TEXT = "tion thing"
 LOOKUP_DOC = 7
+BUCKETS = 16
 
 Query = Callable[[SparkSession, str], DataFrame]
 _indexes: dict[tuple[str, str], DataFrame] = {}
 _corpora: dict[tuple[str, str], DataFrame] = {}
 _segmented: dict[tuple[str, str], str] = {}
+_blocked: dict[tuple[str, str], Blocks] = {}
 
 
 def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,12 +110,32 @@ def submit_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 def upsert_links_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     crawled = _parsed(spark, sf_dir)
     known = D.page_links(spark, crawled)
-    # Some of these times are later than the known ones, some earlier.
-    again = crawled.select(
-        "url", D.hours_after_start(F.pmod(F.col("page_id") * 7, F.lit(300))).alias("retrieved_at")
-    )
-    new = crawled.select(F.concat("url", F.lit("~")).alias("url"), F.col("fetched_at").alias("retrieved_at"))
-    return upserts.upsert_links(known, again.unionByName(new))
+    return upserts.upsert_links(known, _link_batch(crawled))
+
+
+def _link_batch(crawled: DataFrame) -> DataFrame:
+    """Links fetched again, some later than the known time and some earlier, and new ones."""
+    again = crawled.select("url", D.hours_after_start(F.pmod(F.col("page_id") * 7, F.lit(300))).alias("retrieved_at"))
+    return again.unionByName(crawled.select(F.concat("url", F.lit("~")).alias("url"), F.col("fetched_at").alias("retrieved_at")))
+
+
+def merge_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``upsert_links``, into a table of buckets."""
+    crawled = _parsed(spark, sf_dir)
+    table = buckets.link_table(spark, fresh_path(spark, "links"), BUCKETS)
+    table.replace(D.page_links(spark, crawled))
+    buckets.merge_links(table, _link_batch(crawled))
+    return table.load()
+
+
+def merge_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``upsert_edges``, into a table of buckets."""
+    crawled = _parsed(spark, sf_dir)
+    table = buckets.edge_table(spark, fresh_path(spark, "edges"), BUCKETS)
+    table.replace(D.page_edges(crawled))
+    known = upserts.known_ends(upserts.distinct_edges(_edge_batch(crawled)), D.page_links(spark, crawled)).checkpoint()
+    buckets.merge_edges(table, known, D.AS_OF)
+    return table.load()
 
 
 def _edge_batch(crawled: DataFrame) -> DataFrame:
@@ -238,8 +262,8 @@ def crawl_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- documents ----------------------------------------------------------------
 
 
-def upsert_documents_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = D.search_documents(spark, sf_dir)
+def _document_batch(docs: DataFrame) -> DataFrame:
+    """New versions of all documents, as many new ones, and rows that name none."""
     again = docs.select(
         "link_id",
         F.concat("url", F.lit("?v=2")).alias("url"),
@@ -250,10 +274,24 @@ def upsert_documents_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     new = docs.withColumn("link_id", uuid_of(F.concat(F.lit("new"), F.col("url"))))
     nil = docs.withColumn("link_id", F.lit(upserts.NIL_ID))
-    out, _ = upserts.upsert_documents(docs, again.unionByName(new).unionByName(nil), D.AS_OF)
+    return again.unionByName(new).unionByName(nil)
+
+
+def upsert_documents_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = D.search_documents(spark, sf_dir)
+    out, _ = upserts.upsert_documents(docs, _document_batch(docs), D.AS_OF)
     return out.withColumn("content", F.md5("content"))
 
 
+def merge_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``upsert_documents``, into a table of buckets."""
+    docs = D.search_documents(spark, sf_dir)
+    table = buckets.document_table(spark, fresh_path(spark, "docs"), BUCKETS)
+    table.replace(docs)
+    buckets.merge_documents(table, _document_batch(docs), D.AS_OF)
+    return table.load().withColumn("content", F.md5("content"))
+
+
 def find_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     link_id = spark.range(1).select(uuid_of(F.lit(f"doc{LOOKUP_DOC}"))).first()[0]
     return scans.lookup_document(_corpus(spark, sf_dir), link_id)
@@ -337,6 +375,34 @@ def segment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.page.select("rank_pos", "link_id", "url", "title", "relevance", "pagerank")
 
 
+def _blocks(spark: SparkSession, sf_dir: str) -> Blocks:
+    """The index as blocks, written once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _blocked:
+        documents = _corpus(spark, sf_dir).count()
+        _blocked[key] = write_blocks(_postings(spark, sf_dir), fresh_path(spark, "blocks"), documents)
+    return _blocked[key]
+
+
+def _block_matches(text: str, phrase: bool = False, ranking: str = "log_tf") -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = _corpus(spark, sf_dir)
+        query = search.read_phrase(docs, text) if phrase else search.read_query(docs, text)
+        return block_matches(docs, _blocks(spark, sf_dir), query, ranking)
+
+    return run
+
+
+def _search_top(text: str, phrase: bool = False, order: str = "asc", ranking: str = "ts_rank") -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs, blocks = _corpus(spark, sf_dir), _blocks(spark, sf_dir)
+        best = rank_bounds(blocks, docs.select("link_id", "pagerank"))
+        found = search_top(docs, blocks, text, phrase, relevance_order=order, best_ranks=best, ranking=ranking)
+        return found.page.select("rank_pos", "link_id", "url", "title", "relevance", "pagerank")
+
+    return run
+
+
 def search_all_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All matches as one page, which is larger than what is fetched by literals."""
     found = search.search(_corpus(spark, sf_dir), _postings(spark, sf_dir), OR_NOT_TEXT, limit=None, ranking="log_tf")
@@ -669,6 +735,9 @@ def queries() -> dict[str, Query]:
         "submit_rejects": submit_rejects,
         "upsert_links": upsert_links_query,
         "upsert_edges": upsert_edges_query,
+        "merge_links": merge_links,
+        "merge_edges": merge_edges,
+        "merge_documents": merge_documents,
         "edge_rejects": edge_rejects,
         "stale_edges": stale_edges,
         "cascade_edges": cascade_edges,
@@ -695,6 +764,11 @@ def queries() -> dict[str, Query]:
         "segment_postings": segment_postings,
         "merged_postings": merged_postings,
         "segment_search": segment_search,
+        "block_matches_all": _block_matches(OR_NOT_TEXT),
+        "block_phrase_all": _block_matches(PHRASE_TEXT, phrase=True),
+        "search_top": _search_top(MATCH_TEXT),
+        "search_top_or_desc": _search_top(OR_NOT_TEXT, order="desc"),
+        "search_top_log": _search_top(MATCH_TEXT, ranking="log_tf"),
         "search_all_pages": search_all_pages,
         "search_after": search_after,
         "search_match": _search(MATCH_TEXT),

@@ -31,6 +31,16 @@ def versions(spark: SparkSession, root: str, table: str) -> list[int]:
     return sorted(found)
 
 
+def commit_manifest(rows: DataFrame, root: str) -> int:
+    """Write ``rows`` as the next version of the manifest of a table; returns its number.
+
+    Fails if somebody else has written that version meanwhile.
+    """
+    version = max(versions(rows.sparkSession, root, "manifest"), default=0) + 1
+    rows.coalesce(1).write.mode("error").parquet(f"{root}/manifest/v={version}")
+    return version
+
+
 def save_version(df: DataFrame, root: str, table: str, version: int, cluster_by: str | None = None) -> None:
     """Write one version; writing the same version again replaces it.
 
