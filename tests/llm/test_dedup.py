@@ -313,6 +313,19 @@ def test_rows_without_an_id_stay(spark, corpus):
         assert sorted_rows(stages[name](spark, docs, corpus), "doc_id") == [(5,), (None,)]
 
 
+def test_stages_keep_columns_named_like_their_own(spark, corpus):
+    names = ["n_lines", "n_dropped", "score", "passages_n_hit", "_passages_items", "component_id", "fingerprint", "__text", "__key", "ids"]
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    docs = docs.select("*", *[F.lit(k).alias(c) for k, c in enumerate(names)])
+    for name, stage in corpus_pipeline.STAGES:
+        made, path = stage(spark, docs, corpus), fresh_path(spark, "stage")
+        made.write.parquet(path)
+        if name != "packing":
+            docs, before = spark.read.parquet(path), docs
+            assert docs.columns == before.columns
+            assert docs.select(*names).distinct().collect() == [tuple(range(len(names)))], name
+
+
 def test_stages_of_no_documents(spark, corpus):
     none = spark.read.parquet(f"{corpus}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:

@@ -195,13 +195,14 @@ def plain_passages(text):
     for item, body in ITEMS:
         w = words(body)
         n = min(13, len(w))
-        if item is None or not n:
+        if not n:
             continue
         for k in range(len(w) - n + 1):
             for at in range(len(own) - n + 1):
                 if own[at : at + n] == w[k : k + n]:
                     hit.update(range(at, at + n))
-                    items.add(str(item))
+                    # The contract counts the words of an item without an id, and lists no id.
+                    items.update([] if item is None else [str(item)])
     return len(own), len(hit), sorted(items)
 
 
@@ -217,6 +218,17 @@ def test_passages_equal_a_search_of_every_window(spark, block_bytes):
     assert spans[2] == ["short,item"] and spans[3][0].startswith("X1 é2")
 
 
+def test_items_without_an_id_hit_words_and_are_not_listed(spark):
+    words = " ".join(f"w{k}" for k in range(13))
+    items = spark.createDataFrame([(None, words), (4, words + " more"), (None, None)], "item_id long, text string")
+    docs = documents(spark, [(1, f"x {words}"), (2, "other words")])
+    for block_bytes in (decontaminate.BLOCK_BYTES, 40):
+        found = {r.doc_id: r for r in decontaminate.find_passages(docs, items, block_bytes=block_bytes, keep=["doc_id"]).collect()}
+        assert (found[1].n_hit, found[1]["items"], found[2].n_hit) == (13, ["4"], 0)
+    alone = decontaminate.find_passages(docs, items.where("item_id is null"), keep=["doc_id"])
+    assert {r.doc_id: (r.n_hit, r["items"]) for r in alone.collect()} == {1: (13, []), 2: (0, [])}
+
+
 def test_passages_without_items_or_documents(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert {(r.n_hit, len(r["items"])) for r in decontaminate.find_passages(documents(spark), none).collect()} == {(0, 0)}

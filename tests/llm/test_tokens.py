@@ -18,20 +18,24 @@ WORD, BYTE = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe
 
 def plain_ids(path, text, end_id):
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     return np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, end_id], dtype="<u4")
 
 
 @pytest.mark.parametrize("path", [WORD, BYTE])
 def test_cached_ids_are_the_tokenizers_own(path):
     own, cached = Tokenizer.from_file(path), CachedEncoder(path, max_entries=50)
-    own.encode_special_tokens = True
     draw, letters = random.Random(1), "abXY éÉßñİΣς日²½ªº,.'’s't\n\t 09_\xa0\x85\x1c\xad🙂$#×ǅ́"
     texts = ["".join(draw.choice(letters) for _ in range(draw.randint(0, 40))) for _ in range(2000)]
-    for text in [*texts, "<|endoftext|> It's DON'T we'll", "Ünïcode  ÄÖÜ\n\n x"]:
+    for text in [*texts, "<|endoftext|> It's DON'T we'll", "Ünïcode  ÄÖÜ\n\n x", "hi <|endoftext|> there", "a<|endoftext|><|startoftext|>", "<|ENDOFTEXT|> <|endoftext", "é <|endoftext|>\x1c"]:
         assert cached.ids(text).tolist() == own.encode(text, add_special_tokens=False).ids, text
 
 
+@pytest.mark.parametrize(("path", "ids"), [(WORD, [49407]), (BYTE, [50256])])
+def test_an_added_token_in_a_text_is_one_id(path, ids):
+    found = CachedEncoder(path).ids("hi <|endoftext|> there").tolist()
+    assert set(ids) <= set(found) and len(found) <= 5
+
+
 @given(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 2**32 - 1)), max_size=1500))
 @settings(max_examples=60, deadline=None)
 def test_codes_give_every_token_and_range_back(ids):

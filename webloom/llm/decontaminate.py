@@ -56,12 +56,14 @@ def windows_of(words: list[bytes], size: int) -> Iterator[list[bytes]]:
 class Automaton:
     """Finds item windows in word lists."""
 
-    def __init__(self, items: list[tuple[str, str]], size: int = WINDOW_WORDS):
+    def __init__(self, items: list[tuple[str | None, str]], size: int = WINDOW_WORDS):
         owners: dict[str, tuple[int, set[str]]] = {}
         for item, text in items:
             for window in windows_of(words_of(text), size):
                 key = b" ".join([b"", *window, b""]).decode("latin-1")
-                owners.setdefault(key, (len(window), set()))[1].add(item)
+                held = owners.setdefault(key, (len(window), set()))[1]
+                if item is not None:
+                    held.add(item)
         self.trie = ahocorasick.Automaton()
         for key, (length, found) in owners.items():
             self.trie.add_word(key, (length, frozenset(found)))
@@ -98,10 +100,10 @@ def merge(spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str | None, str]]]:
     """The items in blocks of about ``block_bytes``; one block at a time is on the driver."""
     items = narrow(benchmark, item=id_col, text=text_col).select(F.col("item").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
-    items = items.where("item is not null and text is not null")
+    items = items.where("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // block_bytes) or 1
     for b in range(blocks):
@@ -124,8 +126,10 @@ def find_passages(
 
     A word is hit if any item window that occurs in the text covers it; ``spans``
     are [start, end) characters of the original text.  Null texts have no words.
-    Items with null id or text are ignored, items of one id count once.  An empty
-    benchmark hits nothing.  ``prefix`` goes before the names of the new columns.
+    Items of null text are ignored, those of null id hit words and are no item of the
+    list, items of one id count once.  An empty benchmark hits nothing, an empty table
+    gives an empty one.  ``prefix`` goes before the names of the new columns; if one of
+    them is in ``docs`` already, that is a ValueError.  A very long text is searched whole.
 
     The benchmark is broadcast in blocks of ``block_bytes``.  With more than one
     block, a pass per block adds to the word intervals of the pass before, which

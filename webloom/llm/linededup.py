@@ -338,14 +338,25 @@ def store(index: LineIndex, path: str | None = None) -> LineIndex:
     return LineIndex(state, spark.read.schema("doc_id long, hi long, lo long").parquet(f"{path}/refs"), index.shards)
 
 
-def drop_repeated(docs: DataFrame, index: LineIndex, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_CODE_POINTS) -> DataFrame:
+def drop_repeated(
+    docs: DataFrame,
+    index: LineIndex,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    least: int = MIN_CODE_POINTS,
+    lines_col: str = "n_lines",
+    dropped_col: str = "n_dropped",
+) -> DataFrame:
     """``docs`` without the lines that an earlier document holds.
 
-    Adds n_lines (before) and n_dropped.  A key that two or more documents of the
+    Adds n_lines (before) and n_dropped, under the names given; if ``docs`` has one of
+    them already, that is a ValueError.  A key that two or more documents of the
     index hold stays in the smallest of them only; the other lines stay and are
     joined again by line feeds.  Null texts stay null and count as one empty line;
     rows of null id stay as they are.
     """
+    if {lines_col.lower(), dropped_col.lower()} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"the input already has {lines_col} or {dropped_col}")
     names = {c: unused(docs, c) for c in ("__key", "__drop")}
     key, drop = names["__key"], names["__drop"]
     lost = (
@@ -357,7 +368,7 @@ def drop_repeated(docs: DataFrame, index: LineIndex, id_col: str = "doc_id", tex
     )
     joined = docs.join(lost, docs[id_col].cast("long") == lost[key], "left").select(*[docs[c] for c in docs.columns], lost[drop])
     given_columns = list(docs.columns)
-    schema = T.StructType(list(docs.schema.fields)).add("n_lines", "long").add("n_dropped", "long")
+    schema = T.StructType(list(docs.schema.fields)).add(lines_col, "long").add(dropped_col, "long")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -374,6 +385,6 @@ def drop_repeated(docs: DataFrame, index: LineIndex, id_col: str = "doc_id", tex
                 texts.append(text)
                 lines.append(len(given))
             columns = [pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in given_columns]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], names=[*given_columns, "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], names=[*given_columns, lines_col, dropped_col])
 
     return joined.mapInArrow(rewrite, schema)

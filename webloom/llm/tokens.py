@@ -5,7 +5,8 @@ vocabularies used here split a text at white space before they merge anything,
 so the ids of a text are those of its chunks, and chunks repeat: a chunk is
 looked up first, then its letter, digit and symbol runs, and only an unknown run
 goes through the tokenizer's merges.  Texts and chunks outside the plain range
-below go through the whole tokenizer, so the ids are always the tokenizer's own.
+below go through the whole tokenizer, as do texts that spell an added token, so the ids
+are always the tokenizer's own.
 """
 
 from __future__ import annotations
@@ -52,9 +53,10 @@ class CachedEncoder:
 
     def __init__(self, path: str, max_entries: int = 300_000):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as file:
             rules = json.load(file)
+        added = [token["content"] for token in rules.get("added_tokens", [])]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.kind = "word" if rules["model"].get("end_of_word_suffix") else "byte"
         self.model = self.tokenizer.model
         self.max_entries = max_entries
@@ -87,7 +89,7 @@ class CachedEncoder:
         return self._run(chunk) if len(runs) == 1 else b"".join(map(self._run, runs))
 
     def encode(self, text: str) -> bytes:
-        if _ODD_SPACE.search(text):
+        if _ODD_SPACE.search(text) or (self.added and self.added.search(text)):
             return self.whole(text)
         if self.kind == "word":
             # Lower case of Latin-1 is one to one in Python and in the tokenizer.
