@@ -1,7 +1,7 @@
 """The corpus pipeline: the stages that turn ``documents`` into packed sequences.
 
 Each stage works on all rows that the one before kept, and all but the last
-return the columns of ``documents``.
+return the columns of ``documents``, whatever further columns are called.
 """
 
 from __future__ import annotations
@@ -32,8 +32,9 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     A document of which no line is left goes.
     """
-    kept = linededup.drop_repeated(docs, linededup.build(docs))
-    left = (F.col("n_dropped") == 0) | (F.trim("text") != "")
+    lines, dropped = unused(docs, "n_lines"), unused(docs, "n_dropped")
+    kept = linededup.drop_repeated(docs, linededup.build(docs), lines_col=lines, dropped_col=dropped)
+    left = (F.col(dropped) == 0) | (F.trim("text") != "")
     return kept.where(left).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
@@ -46,7 +47,10 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by a benchmark item."""
+    # No column of the documents may begin like the new ones.
     prefix = "passages_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = f"_{prefix}"
     found = decontaminate.find_passages(docs, table(spark, sf_dir, "benchmark"), prefix=prefix)
     bad = decontaminate.contaminated(F.col(f"{prefix}n_hit"), F.col(f"{prefix}n_words"))
     return found.where(~bad).select(*docs.columns)
