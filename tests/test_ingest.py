@@ -1,3 +1,4 @@
+import os
 from datetime import datetime, timedelta
 
 import pytest
@@ -174,6 +175,23 @@ def test_late_times_never_move_a_link_back(spark, tmp_path):
     assert {r.url: r.retrieved_at for r in links.collect()} == {"u": T0 + DAY, "v": T0}
 
 
+def test_link_times_are_kept_on_disk(spark, tmp_path):
+    folder, root = str(tmp_path / "in"), str(tmp_path / "out")
+    schema, before = "url string, retrieved_at timestamp_ntz", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    for rows in ([("u", T0), ("w", T0)], [("u", T0 - DAY), ("v", T0)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(schema).parquet(folder)
+        query = ingest.start_links(ingest.latest_links(stream), root, str(tmp_path / "cp"), None)
+        query.awaitTermination()
+        metrics = query.recentProgress[0].stateOperators[0].customMetrics
+        assert any(name.startswith("rocksdb") for name in metrics)
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+    changelogs = [f for _, _, names in os.walk(tmp_path / "cp" / "state") for f in names if f.endswith(".changelog")]
+    assert changelogs
+    links = upsert_links(spark.createDataFrame([], LINK), ingest.read_link_deltas(spark, root))
+    assert {r.url: r.retrieved_at for r in links.collect()} == {"u": T0, "v": T0, "w": T0}
+
+
 class Stub:
     """A session that only answers what ``shared_dir`` asks."""
 

@@ -1,3 +1,5 @@
+import bisect
+import uuid
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -146,6 +148,19 @@ def test_range_bounds_beyond_256_and_from_a_start():
     assert partitioning.extents(bounds, 0)[0] == NIL_ID
 
 
+@pytest.mark.parametrize(("start", "end", "parts"), [(0, 2**128 - 1, 3), (0, 2**128 - 1, 4099), (2**100 + 7, 2**127 + 3, 17), (10, 5000, 9), (2**90, 2**90 + 2**84, 7)])
+def test_parts_of_ids_beside_the_bounds(spark, start, end, parts):
+    first, last = (str(uuid.UUID(int=x)) for x in (start, end))
+    bounds = partitioning.range_bounds(first, last, parts)
+    cuts = [uuid.UUID(lo).int for lo, _ in bounds[:: max(1, parts // 60)]] + [start, end - 1]
+    numbers = sorted({min(max(c + d, 0), 2**128 - 1) for c in cuts for d in (-1, 0, 1, 2**70)})
+    ids = spark.createDataFrame([(str(uuid.UUID(int=n)),) for n in numbers], "id string")
+    lows = [lo for lo, _ in bounds]
+    for row in partitioning.assign_partition(ids, "id", parts, first, last).collect():
+        want = bisect.bisect_right(lows, row.id) - 1 if first <= row.id < last else None
+        assert row.part == want, row
+
+
 def test_assign_partition_matches_the_range_table(spark):
     ids = spark.range(500).select(uuid_of(F.col("id").cast("string")).alias("id")).union(
         spark.createDataFrame([(NIL_ID,), (MAX_ID,)], "id string")

@@ -27,6 +27,7 @@ def lookup_join(
     condition: Column | None = None,
     rows_per_task: int = ROWS_PER_TASK,
     counted: DataFrame | None = None,
+    total: int | None = None,
 ) -> DataFrame:
     """``rows`` joined to ``table`` on ``rows[key] = table["_key"]``.
 
@@ -34,8 +35,13 @@ def lookup_join(
     ``condition``s may be given.  The column ``_key`` of ``table`` is not in
     the result.  Keys are counted in ``counted``, which may hold more rows than
     ``rows``: with lookups in a row, give the rows that the first one starts
-    from, so that no lookup is run again to count for the next.
+    from, so that no lookup is run again to count for the next.  If ``total``, the
+    number of ``rows`` at most, is given and one task can hold them all, no key is hot
+    and none is counted.
     """
+    if total is not None and total <= rows_per_task:
+        same = F.col(key) == F.col("_key")
+        return rows.join(table, same if condition is None else same & condition, how).drop("_key")
     counts = (rows if counted is None else counted).groupBy(F.col(key).alias("_hot")).agg(F.count(F.lit(1)).alias("_n"))
     hot = F.broadcast(
         counts.where(F.col("_n") > rows_per_task).select("_hot", F.ceil(F.col("_n") / rows_per_task).alias("_parts"))

@@ -75,8 +75,11 @@ def fold_delta(snapshot: Snapshot, delta: CrawlDelta) -> Snapshot:
     shared_dir(snapshot.links.sparkSession)
     links = upsert_links(snapshot.links, delta.links).checkpoint()
     ids = links.select(F.col("url").alias("_key"), "id")
-    known = lookup_join(delta.edges, ids.withColumnRenamed("id", "src"), "src_url", "inner")
-    known = lookup_join(known, ids.withColumnRenamed("id", "dst"), "dst_url", "inner", counted=delta.edges)
+    # Read for both lookups and the counts of their keys, so written first.
+    observed = delta.edges.checkpoint()
+    total = observed.count()
+    known = lookup_join(observed, ids.withColumnRenamed("id", "src"), "src_url", "inner", total=total)
+    known = lookup_join(known, ids.withColumnRenamed("id", "dst"), "dst_url", "inner", counted=observed, total=total)
     seen = known.groupBy("src", "dst").agg(F.max("update_at").alias("_seen"))
     edges = snapshot.edges.join(seen, ["src", "dst"], "full_outer").select(
         F.coalesce("id", uuid_of(F.concat_ws(">", "src", "dst"))).alias("id"),

@@ -690,7 +690,7 @@ def stream_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     submitted = submitted_links(pages.select(F.concat("url", F.lit("~")).alias("url")))
     latest = ingest.latest_links(fetched.unionByName(submitted))
-    ingest.link_sink(latest, root, f"{root}/checkpoint", None).start().awaitTermination()
+    ingest.start_links(latest, root, f"{root}/checkpoint", None).awaitTermination()
     return upserts.upsert_links(spark.createDataFrame([], LINK), ingest.read_link_deltas(spark, root))
 
 

@@ -28,6 +28,14 @@ RECOMMENDED = {
 }
 
 
+#: Streams that keep every key ever seen hold them on disk, with their changes in the
+#: checkpoint.  A query keeps the store it was begun with.
+DISK_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
 def build_session(app_name: str = "webloom", master: str | None = None, **conf: object) -> SparkSession:
     """A session with the settings the operators are written for."""
     builder = SparkSession.builder.appName(app_name)

@@ -17,10 +17,11 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from webloom.plans.crawl import CrawlDelta, Snapshot, crawl_delta, fold_delta
 from webloom.schemas import CRAWL_INTERVAL, DOCUMENT, EDGE, FETCHED, LINK
+from webloom.session import DISK_STATE, planning
 from webloom.sources.pages import extract_pages, rejected_submissions, submitted_links
 from webloom.sources.tables import load_version, save_version, versions
 
@@ -46,7 +47,8 @@ def latest_links(links: DataFrame) -> DataFrame:
     """The latest time per url, on a batch or a stream.
 
     On a stream the state holds every url ever seen, by design: a late time
-    must never move a link back, however late it comes.
+    must never move a link back, however late it comes.  ``start_links`` keeps it
+    on disk.
     """
     return links.groupBy("url").agg(F.max("retrieved_at").alias("retrieved_at"))
 
@@ -143,6 +145,18 @@ def link_sink(
     return _sink(latest.writeStream.outputMode("update").foreachBatch(store), checkpoint, interval)
 
 
+def start_links(
+    latest: DataFrame, root: str, checkpoint: str, interval: str | None = CRAWL_INTERVAL
+) -> StreamingQuery:
+    """``link_sink`` begun with its state on disk.
+
+    The store that holds the state is a setting of the session and is read as a query
+    starts, so only this query gets it.
+    """
+    with planning(latest.sparkSession, DISK_STATE):
+        return link_sink(latest, root, checkpoint, interval).start()
+
+
 def _sink(writer: DataStreamWriter, checkpoint: str, interval: str | None) -> DataStreamWriter:
     trigger = {"availableNow": True} if interval is None else {"processingTime": interval}
     return writer.option("checkpointLocation", checkpoint).trigger(**trigger)
