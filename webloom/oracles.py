@@ -344,7 +344,7 @@ degree as (select id, coalesce(k,0) out_degree from vertex left join
 """
 
 
-def rank_ctes(vertex: str, edge: str, last: str) -> str:
+def rank_ctes(vertex: str, edge: str, last: str, damping: float = 0.85) -> str:
     """Recursive CTEs that end in ``r(step, id, score, sad)``; ``last`` says when to go on."""
     return f"""
 n as (select count(*)::double n from {vertex}),
@@ -354,7 +354,7 @@ r(step, id, score, sad) as (
   select 1, id, 1.0::double / n, 1.0::double from {vertex}, n
   union all
   select step, id, score, sum(abs(score - old)) over () from (
-    select p.step + 1 step, p.id, 0.15 / n + 0.85 * coalesce(m.s,0) + 0.85 * coalesce(dd.s,0) score, p.score old
+    select p.step + 1 step, p.id, {round(1 - damping, 9)} / n + {damping} * coalesce(m.s,0) + {damping} * coalesce(dd.s,0) score, p.score old
     from r p cross join n
     left join (select e2.dst, sum(r.score / o.k) s from r join e2 on r.id = e2.src
       join o on o.src = r.id group by e2.dst) m on m.dst = p.id
@@ -532,6 +532,8 @@ doc as (select link_id, url, title, case when right(url,1) = '3' then 'changed t
  select id, round(score,9) score from r where step = 4""",
         "pagerank": f"""with recursive {TRADE}, {rank_ctes('vertex', 'edge', CONVERGED)}
  select id, round(score,9) score, step::int superstep from r where step = (select max(step) from r)""",
+        "pagerank_resumed": f"""with recursive {TRADE}, {rank_ctes('vertex', 'edge', 'p.sad >= 1e-12 and p.step < 200', 0.5)}
+ select id, round(score,7) score from r where step = (select max(step) from r)""",
         "pagerank_history": history,
         "pregel_max": f"""with {TRADE}, m0 as (select id, substr(id,2)::bigint as value from vertex), {spread}
  select id, value from m{steps}""",

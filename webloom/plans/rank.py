@@ -6,8 +6,9 @@ from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from webloom.operators.pagerank import pagerank
+from webloom.operators.pagerank import pagerank, resume_pagerank
 from webloom.operators.scans import rank_input
 from webloom.operators.upserts import persist_ranks, with_ranks
 from webloom.operators.vertexprogram import VertexResult
@@ -27,13 +28,20 @@ class RankPass:
 
 
 def rank_pass(
-    links: DataFrame, edges: DataFrame, docs: DataFrame, as_of: datetime, **options: object
+    links: DataFrame,
+    edges: DataFrame,
+    docs: DataFrame,
+    as_of: datetime,
+    last: DataFrame | None = None,
+    **options: object,
 ) -> RankPass:
     """Rank the links and edges older than ``as_of`` and write the scores into the documents.
 
+    ``last(id, score)``, the vertices of the pass before, makes it go on from there.
     Scheduling is the caller's: run it as often as ranks should be renewed.
     """
     vertices, older = rank_input(links, edges, as_of)
-    result = pagerank(vertices.select("id"), older.select("src", "dst"), **options)
+    graph = vertices.select("id"), older.select("src", "dst")
+    result = pagerank(*graph, **options) if last is None else resume_pagerank(*graph, last.select("id", F.col("score")), **options)
     ranks, rejects = persist_ranks(docs.select("link_id", "pagerank"), result.vertices)
     return RankPass(ranks, with_ranks(docs, ranks), rejects, result)
