@@ -256,7 +256,7 @@ def test_one_exchange_a_superstep_with_edge_values(spark):
         changed = layout.edges.join(state, same)
         assert "Exchange" not in changed._jdf.queryExecution().executedPlan().toString()
         layout.update_edges(state, {"w": F.col("w") / 2}, F.col("w"))
-        inbox = VP._inbox(layout, state, F.col("w"), F.sum, None, 1, "error", layout.carried())
+        inbox = VP._inbox(layout, state, F.col("w"), F.sum, None, 1, None, layout.carried())
         joined = state.join(inbox, F.col("_key") == F.col("_dst"), "left")
         plan = joined._jdf.queryExecution().executedPlan().toString()
     layout.release()

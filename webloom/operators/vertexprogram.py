@@ -225,13 +225,15 @@ class _Layout:
             sent = sent.unionByName(self.hub_edges.join(hubs, same).select("_dst", message.alias("msg")))
         return sent
 
-    def addressed(self, sent: DataFrame, on_unknown_dst: str) -> DataFrame:
-        """V6: messages ``(dst, msg)`` to given ids, as ``(_dst, msg)``."""
+    def addressed(self, sent: DataFrame, lost: Observation) -> DataFrame:
+        """V6: messages ``(dst, msg)`` to given ids, as ``(_dst, msg)``.
+
+        Those to unknown ids are counted in ``lost`` by the job that delivers the others.
+        """
         ids = self.keyed.select(F.col("id").alias("dst"), F.col("_key").alias("_dst"))
         found = sent.select("dst", "msg").join(ids, "dst", "left").select("_dst", "msg")
-        if on_unknown_dst == "error" and not found.where(F.col("_dst").isNull()).isEmpty():
-            raise UnknownDestination("a message was sent to an unknown vertex")
-        return found.where(F.col("_dst").isNotNull())
+        counted = found.observe(lost, F.count_if(F.col("_dst").isNull()).alias("lost"))
+        return counted.where(F.col("_dst").isNotNull())
 
 
 def run_vertex_program(
@@ -292,9 +294,12 @@ def run_vertex_program(
                 if pre_step:
                     pre_step(step, globals_)
                 carried = layout.carried() if edge_update and history else None
-                inbox = _inbox(layout, state, message, combine, send, step, on_unknown_dst, carried) if history else None
+                lost = Observation() if send and history else None
+                inbox = _inbox(layout, state, message, combine, send, step, lost, carried) if history else None
                 before = state
                 state, metrics = _superstep(state, inbox, values, update, aggregates, halt, step, globals_)
+                if lost and on_unknown_dst == "error" and lost.get["lost"]:
+                    raise UnknownDestination(f"{lost.get['lost']} messages were sent to unknown vertices")
                 _forget(before)
                 if edge_update:
                     layout.update_edges(state, dict(edge_update(step, globals_)), message)
@@ -338,7 +343,7 @@ def _inbox(
     combine: Callable[[str], Column],
     send: Callable[[int, DataFrame], DataFrame] | None,
     step: int,
-    on_unknown_dst: str,
+    lost: Observation | None,
     carried: DataFrame | None = None,
 ) -> DataFrame:
     """Combined messages of the superstep before, one row per destination."""
@@ -347,7 +352,7 @@ def _inbox(
     sent = sent.where(F.col("msg").isNotNull())
     if send:
         extra = send(step - 1, senders.drop("_key", "_active", "_ran"))
-        sent = sent.unionByName(layout.addressed(extra, on_unknown_dst))
+        sent = sent.unionByName(layout.addressed(extra, lost))
     return sent.groupBy("_dst").agg(combine("msg").alias("msg"))
 
 
