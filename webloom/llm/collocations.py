@@ -18,6 +18,7 @@ shuffled, so a phrase that many documents share is a few rows.
 from __future__ import annotations
 
 import math
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +35,9 @@ from webloom.session import fresh_path
 #: its occurrences inside one longer phrase, in hundredths, at which a phrase is dropped.
 MOST_WORDS, LEAST, SHARDS, TOP, CONTAINED = 3, 10, 3, 2000, 50
 NO_LANG = "und"
-#: Tokens a task works on at once, and the bits of a bitmap: 2 to 32 MB.
-CHUNK_TOKENS = 1_000_000
+#: Tokens a task works on at once, words it counts before it hands them on, and the bits
+#: of a bitmap: 8 KB to 32 MB.
+CHUNK_TOKENS, HELD_WORDS = 500_000, 200_000
 LEAST_BITS, MOST_BITS, BITS_PER_CANDIDATE = 1 << 16, 1 << 28, 32
 
 #: A piece ends at one of these; words end at blank and tab.
@@ -162,26 +164,35 @@ def _counted(texts: DataFrame, frequent: dict[int, Bitmap], most_words: int, lea
     support; phrases of size 0 tell the number of words of a language."""
     maps = _sent(texts.sparkSession, frequent)
 
+    def rows(lang: str, size: int, phrases: list[bytes], times: list[int]) -> pa.RecordBatch:
+        columns = [pa.array([lang] * len(times)), pa.array([size] * len(times), pa.int32()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(times, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["lang", "size", "phrase", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = {n: Bitmap(*m) for n, m in maps.value.items()}
+        counts: dict[str, Counter[bytes]] = defaultdict(Counter)
         for _, lang, chunk in _chunks(batches, 0):
             words, codes = chunk.words, chunk.codes
-            sizes, phrases, times = [0], [b""], [int(chunk.is_word.sum())]
+            yield rows(lang, 0, [b""], [int(chunk.is_word.sum())])
+            found, times = np.unique(codes[chunk.is_word], return_counts=True)
+            mine = counts[lang]
+            for code, n in zip(found.tolist(), times.tolist()):
+                mine[words[code]] += n
+            if len(mine) >= HELD_WORDS:
+                yield rows(lang, 1, list(mine), list(mine.values()))
+                mine.clear()
             # Equal phrases have equal numbers, made of those of start and last word.
             numbers = codes
-            for size in range(1, most_words + 1):
-                if size > 1:
-                    last = codes[size - 1 :]
-                    numbers = np.unique(numbers[: len(last)] * len(words) + last, return_inverse=True)[1]
+            for size in range(2, most_words + 1):
+                last = codes[size - 1 :]
+                numbers = np.unique(numbers[: len(last)] * len(words) + last, return_inverse=True)[1]
                 hashes, may = chunk.phrases(size, held)
-                at = np.flatnonzero(may & held[size].holds(hashes) if size > 1 else may)
+                at = np.flatnonzero(may & held[size].holds(hashes))
                 _, first, n = np.unique(numbers[at], return_index=True, return_counts=True)
-                places = at[first].tolist()
-                phrases += [b" ".join([words[c] for c in codes[p : p + size].tolist()]) for p in places] if size > 1 else [words[codes[p]] for p in places]
-                sizes += [size] * len(places)
-                times += n.tolist()
-            columns = [pa.array([lang] * len(sizes)), pa.array(sizes, pa.int32()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(times, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["lang", "size", "phrase", "n"])
+                phrases = [b" ".join([words[c] for c in codes[p : p + size].tolist()]) for p in at[first].tolist()]
+                yield rows(lang, size, phrases, n.tolist())
+        for lang, mine in counts.items():
+            yield rows(lang, 1, list(mine), list(mine.values()))
 
     every = texts.mapInArrow(run, "lang string, size int, phrase string, n long")
     counts = every.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
