@@ -308,3 +308,38 @@ def test_menus_have_less_density_than_text():
     menu, text = (k for k, tag in enumerate(page.tag) if tag == "div")
     assert density[menu] < density[text]
 
+
+def test_drawings_end_where_they_end():
+    assert htmltext.main_text("<article><h1>T</h1><svg class='i'/><p>Body.</p></article>") == "T\nBody."
+    assert htmltext.main_text("<p>a<svg><svg>x</svg><svg/>leak</svg> b</p>").split() == ["a", "b"]
+    assert htmltext.main_text("<p>a<svg><text>open") == "a"
+
+
+def test_all_articles_of_a_page_are_kept():
+    articles = "".join(f"<article><h1>{k}</h1><p>the {k} text of the page goes on for some words</p></article>" for k in ("one", "two", "three"))
+    found = htmltext.main_text(FURNITURE % articles)
+    assert found.split("\n")[::2] == ["one", "two", "three"] and "See also" not in found
+    cards = "".join(f"<article><a href='/{k}'>card {k}</a></article>" for k in range(3))
+    assert "card" not in htmltext.main_text(FURNITURE % f"<main>{ARTICLE}</main>{cards}")
+
+
+def test_menus_beside_text_are_left_out_without_names():
+    menu = "<ul>" + "<li><a href='/x'>menu link text</a></li>" * 10 + "</ul>"
+    text = "<div>" + "<p>many plain words in a paragraph of the text</p>" * 3 + "</div>"
+    found = htmltext.main_text(f"<body>{text}{menu}{text}</body>")
+    assert "menu" not in found and found.count("\n") == 5
+    few = "<p>See <a href='/a'>this</a> and <a href='/b'>that</a>, or <a href='/c'>more</a>.</p>"
+    assert "See this and that, or more." in htmltext.main_text(f"<body><div>{few}{few}</div></body>")
+
+
+def test_given_pages_without_the_names_of_their_parts(spark):
+    """The same pages with all parts as plain ``div``: nearly only the article is left, and all of it."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    clean = 0
+    for row in rows:
+        want = htmltext.main_text(row.html).split("\n")
+        plain = re.sub(r"<(/?)(nav|article|footer|aside|header)\b[^>]*>", r"<\1div>", row.html)
+        got = htmltext.main_text(re.sub(r"\sclass=(\"[^\"]*\"|'[^']*'|[^\s>]+)", "", plain)).split("\n")
+        assert set(want) <= set(got)
+        clean += len(set(got) - set(want)) == 0
+    assert clean > 0.75 * len(rows)

@@ -10,8 +10,11 @@ of links:
 with C, LC characters and T, LT tags of the node, all of them and those of links.
 The densities of a node's children are summed; the container with the largest sum
 holds the article.  The least density on the path from the body to it is the
-threshold at which other parts beside that path belong to the article too.  An
-``article`` or ``main`` element around the container is taken as a whole.
+threshold at which other parts beside that path belong to the article too; a part
+that is no paragraph and small against the container does not, as its few characters
+without a tag look dense.  An ``article`` or ``main`` element around the container is
+taken as a whole, with other articles of the page that reach the threshold.  Lists that
+are all links are left out of a container that no such element names.
 
 Parts that are never article (menus, headers and footers of the page, sidebars,
 notices, adverts, forms, scripts, comments) are told by tag, role and class before
@@ -58,6 +61,11 @@ PARTS = frozenset(
 PLACES = frozenset("site page main global primary secondary top bottom left right header list box bar wrap wrapper section block area widget links form inner".split())
 COMMENTS = frozenset("comment comments commentlist disqus respond replies".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TEXTUAL = HEADINGS | frozenset("p pre blockquote figure table dl".split())
+LISTING = frozenset("ul ol menu dl div section td".split())
+#: A part beside the container has this share of its characters at least; a list of so
+#: many links and nothing else is a menu.
+LEAST_PART, LINKS_OF_A_MENU = 1 / 5, 3
 #: A part named so stays if it holds more than this share of the page's unlinked text.
 LARGE_SHARE, LARGE_COMMENTS = 1 / 2, 9 / 10
 #: Why an element is dropped: by tag, role or hiding; by name; by name as comments.
@@ -76,6 +84,19 @@ _LIST = {"li": frozenset(["ul", "ol", "menu"]), "dt": frozenset(["dl"]), "dd": f
 _TABLE = frozenset(["table"])
 
 
+def _end_of(source: str, at: int, name: str) -> int:
+    """Where an element of raw text ends that is open at ``at``; drawings may hold others."""
+    depth = 1
+    for tag in re.compile(rf"<(/?){re.escape(name)}(?=[\s/>])([^>]*)>", re.IGNORECASE).finditer(source, at):
+        if tag[1]:
+            depth -= 1
+            if not depth:
+                return tag.end()
+        elif name == "svg" and not tag[2].rstrip().endswith("/"):
+            depth += 1
+    return len(source)
+
+
 class Page:
     """The tree of a page in arrays; a child always comes after its parent."""
 
@@ -106,8 +127,7 @@ class Page:
             else:
                 self._open(stack, name, found[3] or found[6] or "")
                 if name in RAW and stack[-1] and self.tag[stack[-1]] == name:
-                    end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.IGNORECASE).search(source, at)
-                    at = end.end() if end else size
+                    at = _end_of(source, at, name)
                     self._close(stack, name)
 
     def _text(self, node: int, raw: str) -> None:
@@ -134,7 +154,7 @@ class Page:
         self.reason.append(self._reason(name, attributes, self.in_article[parent]))
         self.in_article.append(self.in_article[parent] or name in ("article", "main"))
         self.inside_link.append(self.inside_link[parent] or name == "a")
-        if attributes.rstrip().endswith("/") and name not in BLOCK and name not in RAW:
+        if attributes.rstrip().endswith("/") and name not in BLOCK and (name not in RAW or name == "svg"):
             return
         stack.append(node)
 
@@ -282,12 +302,27 @@ class Page:
             if self.tag[path[-1]] in ("article", "main"):
                 whole = path[-1]
             path.append(self.parent[path[-1]])
-        if whole is not None:
-            return [whole]
         threshold = min((density[n] for n in path), default=0.0)
+        if whole is not None:
+            return self._articles(whole, density, threshold)
         on_path = set(path)
         beside = [n for n in range(1, len(density)) if not self.skipped[n] and self.parent[n] in on_path and n not in on_path and self.parent[n] != best]
-        return self._with_headings([best] + [n for n in beside if density[n] >= threshold > 0])
+        chars, _, link_chars, link_tags = self.measures()
+        kept = [n for n in beside if density[n] >= threshold > 0 and (self.tag[n] in TEXTUAL or chars[n] >= LEAST_PART * chars[best])]
+        for node in range(1, len(density)):
+            if self.tag[node] in LISTING and link_tags[node] >= LINKS_OF_A_MENU and link_chars[node] == chars[node]:
+                self.skipped[node] = True
+        return self._with_headings([best] + kept)
+
+    def _articles(self, whole: int, density: list[float], threshold: float) -> list[int]:
+        """``whole`` and the articles outside of it that are as dense as the threshold."""
+        found, inside = [], [False] * len(density)
+        for node in range(1, len(density)):
+            up = self.parent[node]
+            inside[node] = inside[up] or self.tag[up] in ("article", "main")
+            if node == whole or self.tag[node] == "article" and not inside[node] and not self.skipped[node] and density[node] >= threshold > 0:
+                found.append(node)
+        return found
 
     def _with_headings(self, chosen: list[int]) -> list[int]:
         """``chosen`` and the headings directly before each of them."""
