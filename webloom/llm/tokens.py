@@ -55,8 +55,7 @@ class CachedEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
             rules = json.load(file)
-        added = [token["content"] for token in rules.get("added_tokens", [])]
-        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.added = [token["content"] for token in rules.get("added_tokens", [])]
         self.kind = "word" if rules["model"].get("end_of_word_suffix") else "byte"
         self.model = self.tokenizer.model
         self.max_entries = max_entries
@@ -89,7 +88,7 @@ class CachedEncoder:
         return self._run(chunk) if len(runs) == 1 else b"".join(map(self._run, runs))
 
     def encode(self, text: str) -> bytes:
-        if _ODD_SPACE.search(text) or (self.added and self.added.search(text)):
+        if _ODD_SPACE.search(text) or any(token in text for token in self.added):
             return self.whole(text)
         if self.kind == "word":
             # Lower case of Latin-1 is one to one in Python and in the tokenizer.
