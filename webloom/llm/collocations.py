@@ -165,7 +165,7 @@ def _counted(texts: DataFrame, frequent: dict[int, Bitmap], most_words: int, lea
     maps = _sent(texts.sparkSession, frequent)
 
     def rows(lang: str, size: int, phrases: list[bytes], times: list[int]) -> pa.RecordBatch:
-        columns = [pa.array([lang] * len(times)), pa.array([size] * len(times), pa.int32()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(times, pa.int64())]
+        columns = [pa.array([lang] * len(times), pa.string()), pa.array([size] * len(times), pa.int32()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(times, pa.int64())]
         return pa.RecordBatch.from_arrays(columns, ["lang", "size", "phrase", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
