@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from webloom.operators.postings import build_postings, write_postings
+from webloom.operators.postings import build_postings, small_ids, write_postings
 from webloom.schemas import POSTING
 from webloom.sources.tables import commit_manifest, versions
 
@@ -92,7 +92,7 @@ def add_pass(
     # Before the first segment there is nothing to replace.
     gone = gone.distinct() if held else gone.limit(0)
     gone.write.parquet(f"{root}/gone/{name}")
-    write_postings(build_postings(changed, english), f"{root}/postings/{name}")
+    write_postings(build_postings(changed, english, dealt=True), f"{root}/postings/{name}")
     rows = _postings(spark, root, Segment(number, name, 0)).count()
     return _commit(spark, root, [*held, Segment(number, name, rows)])
 
@@ -100,8 +100,8 @@ def add_pass(
 def _live(spark: SparkSession, root: str, some: list[Segment], held: list[Segment]) -> DataFrame:
     """Postings of ``some`` segments that none of the later ones of ``held`` replaces.
 
-    A filter on terms reaches the scans, and the join is on the id by which a search
-    groups afterwards.
+    A filter on terms reaches the scans.  The replaced ids are broadcast, so postings stay
+    where they are; if they are too many the join is on the id by which a search groups.
     """
     found = reduce(
         DataFrame.unionByName,
@@ -112,7 +112,7 @@ def _live(spark: SparkSession, root: str, some: list[Segment], held: list[Segmen
         return found.drop("_number")
     ids = reduce(DataFrame.unionByName, [_gone(spark, root, s).withColumn("_until", F.lit(s.number).cast("long")) for s in later])
     last = ids.groupBy("link_id").agg(F.max("_until").alias("_until"))
-    kept = found.join(last, "link_id", "left").where(F.col("_until").isNull() | (F.col("_until") <= F.col("_number")))
+    kept = found.join(small_ids(last, ids.count()), "link_id", "left").where(F.col("_until").isNull() | (F.col("_until") <= F.col("_number")))
     return kept.select(*POSTING.fieldNames())
 
 
