@@ -117,3 +117,12 @@ def test_packing_of_no_documents(spark):
 
 def test_the_worker_keeps_one_encoder():
     assert encoder(WORD) is encoder(WORD)
+
+
+def test_the_cache_holds_the_pieces_of_many_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    cached = CachedEncoder(path)
+    cached.pieces.update({f"x{k}": b"" for k in range(500_000)})
+    want = Tokenizer.from_file(path).encode("One more word é, un9 mot", add_special_tokens=False).ids
+    assert cached.ids("One more word é, un9 mot").tolist() == want
+    assert len(cached.pieces) > 500_000

@@ -51,7 +51,7 @@ class CachedEncoder:
     is emptied, which costs time and changes no id.
     """
 
-    def __init__(self, path: str, max_entries: int = 300_000):
+    def __init__(self, path: str, max_entries: int = 800_000):
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
             rules = json.load(file)
@@ -62,6 +62,7 @@ class CachedEncoder:
         self.pieces: dict[str, bytes] = {}
         stand_in = _byte_alphabet()
         self._stand_in = {i: stand_in[i] for i in range(256)}
+        self._space = stand_in[0x20]
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -69,7 +70,12 @@ class CachedEncoder:
     def _run(self, run: str) -> bytes:
         known = self.pieces.get(run)
         if known is None:
-            spelled = run if run.isascii() and run.isalpha() else run.encode().decode("latin-1").translate(self._stand_in)
+            if run.isascii() and run.isalpha():
+                spelled = run
+            elif run.isascii() and run[0] == " " and run[1:].isalpha():
+                spelled = self._space + run[1:]
+            else:
+                spelled = run.encode().decode("latin-1").translate(self._stand_in)
             known = self.pieces[run] = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
         return known
 
