@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from webloom.functions.urls import is_web_url, normalise_url, parse_uuid, resolve_url, uuid_of
 from webloom.operators import partitioning, scans, upserts
-from webloom.operators.skew import lookup_join
-from webloom.session import planning
+from webloom.operators.skew import hot_keys, lookup_join
+from webloom.session import planning, shared_dir
 from webloom.schemas import EDGE, LINK, MAX_ID, NEVER, NIL_ID
 from webloom.sources.pages import extract_pages, rejected_submissions, submitted_links
 
@@ -243,6 +243,26 @@ def test_a_hub_is_split_and_nothing_is_lost(spark):
     assert limited.count() == table.count()
 
 
+def test_hubs_are_found_before_the_lookups(spark):
+    rows = spark.range(6000).select(
+        F.when(F.col("id") % 3 > 0, F.lit("hub")).when(F.col("id") > 30, F.concat(F.lit("s"), F.col("id"))).alias("src"),
+        F.concat(F.lit("d"), F.col("id")).alias("dst"),
+    )
+    shared_dir(spark)
+    known, total = hot_keys(rows, ["src", "dst"], 1000)
+    assert total == 6000 and known["dst"] is None
+    assert [tuple(r) for r in known["src"].collect()] == [("hub", 4)]
+    for key in ("src", "dst"):
+        table = rows.where("src <> 's33' and dst <> 'd33'").select(F.col(key).alias("_key")).distinct().withColumn("n", F.lit(1))
+        for how in ("left_semi", "left_anti", "inner", "left"):
+            found = lookup_join(rows, table, key, how, rows_per_task=1000, known=known)
+            plain = rows.join(table, rows[key] == table["_key"], how).drop("_key")
+            assert found.exceptAll(plain).count() == 0 == plain.exceptAll(found).count(), (key, how)
+    # Without a hub no key is counted.
+    plan = lookup_join(rows, rows.select(F.col("dst").alias("_key")), "dst", "inner", known=known)._jdf.queryExecution()
+    assert "Aggregate" not in plan.executedPlan().toString()
+
+
 @pytest.mark.parametrize(
     "url,ok",
     [

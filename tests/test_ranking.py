@@ -224,6 +224,18 @@ def test_steps_set_the_values_of_edges(spark, edges_per_block):
         assert sorted(tuple(r) for r in result.edges.select("src", "dst", "weight").collect()) == edges
 
 
+def test_edges_get_the_ids_of_their_sources_where_they_lie(spark):
+    from webloom.session import planning
+
+    v, e = graph(spark, "ABCD", "AB BC CA CD")
+    with planning(spark, {"spark.sql.autoBroadcastJoinThreshold": -1}):
+        edges = edge_program(v.withColumn("value", F.lit(1)), e.withColumn("weight", F.lit(2)), 2).edges
+        plan = edges._jdf.queryExecution().executedPlan().toString()
+    # Only the look-up of the destinations shuffles, and no end is counted.
+    assert "Aggregate" not in plan and plan.count("Exchange") <= 2
+    assert sorted(r.src + r.dst for r in edges.collect()) == ["AB", "BC", "CA", "CD"]
+
+
 def test_edges_of_sleeping_sources_keep_their_values(spark):
     v, e = graph(spark, "ABC", "AB BC CA")
     result = run_vertex_program(

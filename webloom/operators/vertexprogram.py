@@ -35,7 +35,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from webloom.operators.skew import lookup_join
+from webloom.operators.skew import hot_keys, lookup_join
 from webloom.session import planning, shared_dir
 
 Globals = Mapping[str, float]
@@ -43,6 +43,8 @@ MAX_BLOCKED_SOURCES = 100_000
 #: An edge is two numbers, so a partition of 40 million is some 640 MB before it is packed.
 EDGES_PER_PARTITION = 40_000_000
 VERTICES_PER_PARTITION = 5_000_000
+#: Edges by the ids of their ends, as they are encoded, are several times as large and are sorted.
+GIVEN_PER_PARTITION = 1_000_000
 
 
 class UnknownDestination(ValueError):
@@ -84,8 +86,9 @@ def unknown_destinations(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     shared_dir(edges.sparkSession)
     ids, edges = vertices.select("id").checkpoint(), edges.checkpoint()
     missing = edges.select("dst").distinct().join(ids.withColumnRenamed("id", "dst"), "dst", "left_anti")
-    lost = lookup_join(edges, missing.withColumnRenamed("dst", "_key"), "dst", "left_semi")
-    return lookup_join(lost, ids.withColumnRenamed("id", "_key"), "src", "left_semi", counted=edges)
+    known, _ = hot_keys(edges, ["src", "dst"])
+    lost = lookup_join(edges, missing.withColumnRenamed("dst", "_key"), "dst", "left_semi", known=known)
+    return lookup_join(lost, ids.withColumnRenamed("id", "_key"), "src", "left_semi", known=known)
 
 
 def out_degrees(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -122,28 +125,14 @@ class _Layout:
         # The numbers are not repeatable, so they are written before any use.
         self.keyed = _single_value(vertices).withColumn("_key", F.monotonically_increasing_id()).checkpoint()
         given = edges.persist()
-        by_id = self.keyed.select(F.col("id").alias("_key"), F.col("_key").alias("_number"))
-        encoded = lookup_join(given, by_id, "src", "inner").withColumnRenamed("_number", "_src")
-        encoded = lookup_join(encoded, by_id, "dst", "left", counted=given).withColumnRenamed("_number", "_dst")
-        encoded = encoded.drop("src", "dst").persist()
-        counted = encoded.agg(
-            F.count(F.lit(1)).alias("all"), F.count_if(F.col("_dst").isNull()).alias("lost")
-        ).first()
-        if counted["lost"] and on_unknown_dst == "error":
-            given.unpersist()
-            encoded.unpersist()
-            raise UnknownDestination(f"{counted['lost']} edges lead to unknown vertices")
-        valid = encoded.where(F.col("_dst").isNotNull()) if counted["lost"] else encoded
-        degrees = valid.groupBy(F.col("_src").alias("_key")).agg(F.count(F.lit(1)).alias("out_degree"))
-        base = (
-            self.keyed.join(degrees, "_key", "left")
-            .withColumn("out_degree", F.coalesce("out_degree", F.lit(0)))
-            .persist()
-        )
-        size = base.agg(F.count(F.lit(1)).alias("v"), F.max("out_degree").alias("hub")).first()
-        self.vertex_count, edge_count, hub = size["v"], counted["all"], size["hub"] or 0
+        hot, total = hot_keys(given, ["src", "dst"])
+        cores = spark.sparkContext.defaultParallelism
+        with planning(spark, {"spark.sql.shuffle.partitions": max(cores, math.ceil(total / GIVEN_PER_PARTITION))}):
+            base, encoded, valid, edge_count = self._encode(given, hot, on_unknown_dst)
+            size = base.agg(F.count(F.lit(1)).alias("v"), F.max("out_degree").alias("hub")).first()
+        self.vertex_count, hub = size["v"], size["hub"] or 0
         self.partitions = partitions or max(
-            spark.sparkContext.defaultParallelism,
+            cores,
             math.ceil(edge_count / EDGES_PER_PARTITION),
             math.ceil(self.vertex_count / VERTICES_PER_PARTITION),
         )
@@ -163,6 +152,30 @@ class _Layout:
         for frame in (base, encoded, given):
             frame.unpersist()
 
+    def _encode(
+        self, given: DataFrame, hot: Mapping[str, DataFrame | None], on_unknown_dst: str
+    ) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+        """Vertices with their out-degrees, all edges by number, those of known destinations, and the number of all."""
+        by_id = self.keyed.select(F.col("id").alias("_key"), F.col("_key").alias("_number"))
+        encoded = lookup_join(given, by_id, "src", "inner", known=hot).withColumnRenamed("_number", "_src")
+        encoded = lookup_join(encoded, by_id, "dst", "left", known=hot).withColumnRenamed("_number", "_dst")
+        encoded = encoded.drop("src", "dst").persist()
+        counted = encoded.agg(
+            F.count(F.lit(1)).alias("all"), F.count_if(F.col("_dst").isNull()).alias("lost")
+        ).first()
+        if counted["lost"] and on_unknown_dst == "error":
+            given.unpersist()
+            encoded.unpersist()
+            raise UnknownDestination(f"{counted['lost']} edges lead to unknown vertices")
+        valid = encoded.where(F.col("_dst").isNotNull()) if counted["lost"] else encoded
+        degrees = valid.groupBy(F.col("_src").alias("_key")).agg(F.count(F.lit(1)).alias("out_degree"))
+        base = (
+            self.keyed.join(degrees, "_key", "left")
+            .withColumn("out_degree", F.coalesce("out_degree", F.lit(0)))
+            .persist()
+        )
+        return base, encoded, valid, counted["all"]
+
     def release(self) -> None:
         self.edges.unpersist()
         if self.blocked:
@@ -206,20 +219,25 @@ class _Layout:
         sent = self.edges.select("_dst", "msg")
         return sent.unionByName(self.hub_edges.select("_dst", "msg")) if self.blocked else sent
 
-    def final_edges(self) -> DataFrame:
-        """The edges by the ids of their ends."""
-        every = self.edges.select("_src", "_dst", *self.edge_values)
+    def final_edges(self, state: DataFrame) -> DataFrame:
+        """The edges by the ids of their ends; those of the sources are found where the edges lie."""
+        sources, same = state.select("_key", F.col("id").alias("src")), F.col("_key") == F.col("_src")
+        every = self.edges.join(sources, same).select("src", "_dst", *self.edge_values)
+        if self.blocked:
+            hubs = F.broadcast(state.where(F.col("out_degree") > self.block).select("_key", F.col("id").alias("src")))
+            every = every.unionByName(self.hub_edges.join(hubs, same).select("src", "_dst", *self.edge_values))
+        ends = self.edges.select("_dst")
         if self.blocked:
-            every = every.unionByName(self.hub_edges.select("_src", "_dst", *self.edge_values))
-        ids = self.keyed.select("_key", "id")
-        found = lookup_join(every, ids.withColumnRenamed("id", "src"), "_src", "inner")
-        found = lookup_join(found, ids.withColumnRenamed("id", "dst"), "_dst", "inner", counted=every)
-        return found.select("src", "dst", *self.edge_values)
+            ends = ends.unionByName(self.hub_edges.select("_dst"))
+        known, _ = hot_keys(ends, ["_dst"])
+        ids = self.keyed.select("_key", F.col("id").alias("dst"))
+        return lookup_join(every, ids, "_dst", "inner", known=known).select("src", "dst", *self.edge_values)
 
     def messages(self, senders: DataFrame, message: Column) -> DataFrame:
         """The messages the out-edges carry, as ``(_dst, msg)``."""
         same = F.col("_key") == F.col("_src")
-        sent = senders.join(self.edges, same).select("_dst", message.alias("msg"))
+        # The edges are the streamed side, which is not buffered by key.
+        sent = self.edges.join(senders, same).select("_dst", message.alias("msg"))
         if self.blocked:
             hubs = F.broadcast(senders.where(F.col("out_degree") > self.block))
             sent = sent.unionByName(self.hub_edges.join(hubs, same).select("_dst", message.alias("msg")))
@@ -318,7 +336,7 @@ def run_vertex_program(
                     break
     finally:
         layout.release()
-    final = layout.final_edges() if edge_update else None
+    final = layout.final_edges(state) if edge_update else None
     return VertexResult(state.select("id", "out_degree", *values), step - 1, history, final)
 
 
