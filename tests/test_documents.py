@@ -296,3 +296,17 @@ def test_bucketed_table_is_not_shuffled(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         spark.sql("drop table bucketed_docs")
+
+
+def test_a_stored_index_is_dealt_by_its_size(spark, corpus, monkeypatch):
+    """Tasks sort a bounded size of text, whatever number of partitions the session has."""
+    from webloom.operators import postings as P
+    from webloom.session import planning
+
+    table, _ = corpus
+    monkeypatch.setattr(P, "TEXT_PER_TASK", 40)
+    with planning(spark, {"spark.sql.shuffle.partitions": 1}):
+        dealt = build_postings(table, dealt=True)
+        assert dealt.rdd.getNumPartitions() > 2
+    plain = build_postings(table)
+    assert dealt.exceptAll(plain).count() == 0 == plain.exceptAll(dealt).count()

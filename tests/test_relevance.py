@@ -132,3 +132,14 @@ def test_rankings_are_named(corpus):
         search.search(table, postings, "cat", ranking="bm25")
     plain = search.search(table, postings, "cat", english=False, ranking="log_tf", limit=None).page.collect()
     assert {r.link_id: r.relevance for r in plain}["a9"] == pytest.approx(1 + np.log(2), abs=1e-6)
+
+
+def test_only_positions_of_phrases_are_gathered(corpus):
+    _, table, postings = corpus
+
+    def gathered(text):
+        found = search.matches(table, postings, search.read_query(table, text, False), "ts_rank")
+        return "collect_list" in found._jdf.queryExecution().executedPlan().toString()
+
+    assert gathered('"cat dog" or bird') and gathered("cat dog")
+    assert not gathered("cat or dog or bird")

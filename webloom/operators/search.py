@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions.stem import stem
 from webloom.functions.text import STOP_WORDS, tokens
-from webloom.operators.ranking import log_tf, ts_rank
+from webloom.operators.ranking import is_near, log_tf, rank_often, rank_positions, terms_in_order, ts_rank
 from webloom.schemas import DOCUMENT_COLUMNS, PAGE_SIZE
 from webloom.session import shared_dir
 
@@ -123,7 +123,8 @@ def matches(docs: DataFrame, postings: DataFrame, query: list[list[Operand]], ra
 
     Relevance is the sum of ``1 + ln(tf)`` over the distinct wanted terms, which reads no
     positions but those of phrases, or that of PostgreSQL's ``ts_rank`` over the positions
-    of all terms.
+    of all terms.  Where that only asks how often a term occurs, the positions are counted
+    where the postings lie, and those of phrases alone are shuffled.
     """
     if ranking not in RANKINGS:
         raise ValueError(f"ranking must be one of {RANKINGS}")
@@ -131,7 +132,9 @@ def matches(docs: DataFrame, postings: DataFrame, query: list[list[Operand]], ra
     if not terms:
         return docs.select("link_id", F.lit(0.0).alias("relevance")).where(F.lit(False))
     index = {term: i for i, term in enumerate(terms)}
-    in_phrase = {t for group in query for op in group if ranking == "ts_rank" or len(op.terms) > 1 for t, _ in op.terms}
+    near = ranking == "ts_rank" and is_near(query)
+    counted = ranking == "ts_rank" and not near
+    in_phrase = {t for group in query for op in group if near or len(op.terms) > 1 for t, _ in op.terms}
     wanted = {t for group in query for op in group if not op.negated for t, _ in op.terms}
 
     def only(term: str, column: str) -> Column:
@@ -140,6 +143,11 @@ def matches(docs: DataFrame, postings: DataFrame, query: list[list[Operand]], ra
     hits = postings.where(F.col("term").isin(terms))
     # A document has one posting per term, so max() sees one value.
     tfs = [F.max(only(t, "tf")).alias(f"tf_{i}") for t, i in index.items()]
+    kept = [f"tf_{i}" for i in index.values()]
+    if counted:
+        hits = hits.withColumn("_counted", F.when(F.col("positions").isNotNull(), F.size(rank_positions(F.col("positions")))))
+        tfs += [F.max(only(t, "_counted")).alias(f"counted_{i}") for t, i in index.items()]
+        kept += [f"counted_{i}" for i in index.values()]
     if in_phrase:
         # Positions are gathered as a list, which is hashed; the maximum of an array would be sorted.
         held = F.collect_list(F.when(F.col("term").isin(*sorted(in_phrase)), F.struct("term", "positions")))
@@ -149,7 +157,7 @@ def matches(docs: DataFrame, postings: DataFrame, query: list[list[Operand]], ra
             return F.element_at(F.filter("_held", lambda h: h["term"] == t), 1)["positions"]
 
         per_doc = gathered.select(
-            "link_id", *[f"tf_{i}" for i in index.values()], *[F.when(F.col(f"tf_{index[t]}").isNotNull(), of_term(t)).alias(f"pos_{index[t]}") for t in sorted(in_phrase)]
+            "link_id", *kept, *[F.when(F.col(f"tf_{index[t]}").isNotNull(), of_term(t)).alias(f"pos_{index[t]}") for t in sorted(in_phrase)]
         )
     else:
         per_doc = hits.groupBy("link_id").agg(*tfs)
@@ -162,7 +170,9 @@ def matches(docs: DataFrame, postings: DataFrame, query: list[list[Operand]], ra
         for operand in group:
             all_hold = all_hold & _holds(operand, index)
         condition = condition | all_hold
-    if ranking == "ts_rank":
+    if counted:
+        relevance = rank_often([F.col(f"counted_{index[t]}") for t in terms_in_order(query)]).cast("double")
+    elif near:
         relevance = ts_rank(query, {t: F.col(f"pos_{i}") for t, i in index.items()}).cast("double")
     else:
         relevance = log_tf([F.col(f"tf_{index[t]}") for t in sorted(wanted)])
