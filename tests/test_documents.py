@@ -310,3 +310,9 @@ def test_a_stored_index_is_dealt_by_its_size(spark, corpus, monkeypatch):
         assert dealt.rdd.getNumPartitions() > 2
     plain = build_postings(table)
     assert dealt.exceptAll(plain).count() == 0 == plain.exceptAll(dealt).count()
+
+
+def test_plain_postings_take_one_worker_a_task(corpus):
+    table, _ = corpus
+    plan = build_postings(table, english=False)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
