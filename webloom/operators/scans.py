@@ -29,12 +29,12 @@ def in_id_range(column: str, low: str, high: str) -> Column:
     return (F.col(column) >= low) & (F.col(column) < high)
 
 
-def scan_links(links: DataFrame, before: datetime, low: str = NIL_ID, high: str = MAX_ID) -> DataFrame:
+def scan_links(links: DataFrame, before: datetime | Column, low: str = NIL_ID, high: str = MAX_ID) -> DataFrame:
     """Links of an id range fetched before ``before``."""
     return links.where(in_id_range("id", low, high) & (F.col("retrieved_at") < ntz(before)))
 
 
-def scan_edges(edges: DataFrame, before: datetime, low: str = NIL_ID, high: str = MAX_ID) -> DataFrame:
+def scan_edges(edges: DataFrame, before: datetime | Column, low: str = NIL_ID, high: str = MAX_ID) -> DataFrame:
     """Edges whose source is in an id range, updated before ``before``."""
     return edges.where(in_id_range("src", low, high) & (F.col("update_at") < ntz(before)))
 
@@ -44,7 +44,7 @@ def crawl_frontier(links: DataFrame, as_of: datetime, recrawl_days: float = RECR
     return scan_links(links, as_of - timedelta(days=recrawl_days))
 
 
-def rank_input(links: DataFrame, edges: DataFrame, as_of: datetime) -> tuple[DataFrame, DataFrame]:
+def rank_input(links: DataFrame, edges: DataFrame, as_of: datetime | Column) -> tuple[DataFrame, DataFrame]:
     """Links and edges older than one common moment."""
     return scan_links(links, as_of), scan_edges(edges, as_of)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.operators.pagerank import pagerank, resume_pagerank
@@ -31,7 +31,7 @@ def rank_pass(
     links: DataFrame,
     edges: DataFrame,
     docs: DataFrame,
-    as_of: datetime,
+    as_of: datetime | Column,
     last: DataFrame | None = None,
     **options: object,
 ) -> RankPass:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions.html import page_hrefs
 from webloom.functions.urls import uuid_of
+from webloom.operators.scans import ntz
 from webloom.operators.upserts import upsert_links
 from webloom.schemas import DOCUMENT, LINK, NEVER
 from webloom.sources.pages import extract_pages
@@ -39,6 +40,16 @@ def crawled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def after_fetches(crawled: DataFrame) -> Column:
+    """``AS_OF`` or, if pages were fetched since, an hour after the last of them.
+
+    A pass at that time sees every link and edge.  Between fetches it would see edges
+    whose ends it does not know, as a link takes the time of its last fetch.
+    """
+    last = crawled.agg(F.max("fetched_at").cast("string").alias("last")).first()["last"]
+    return F.greatest(ntz(AS_OF), F.lit(last).cast("timestamp_ntz") + F.make_dt_interval(hours=F.lit(1)))
+
+
 def root_of(url: Column) -> Column:
     """The start page of the host of ``url``."""
     return F.concat(F.regexp_extract(url, "^[a-z]+://[^/?]*", 0), F.lit("/"))
