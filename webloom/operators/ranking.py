@@ -15,6 +15,8 @@ import math
 from typing import Protocol
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,6 +62,21 @@ def rank_positions(positions: Column) -> Column:
     return F.slice(F.array_distinct(F.transform(positions, lambda p: F.least(p + 1, F.lit(LAST_POSITION)))), 1, MOST_POSITIONS)
 
 
+def rank_sizes(positions: pa.Array) -> np.ndarray:
+    """The sizes of ``rank_positions``, of lists in Python; a null one has none, as an empty one."""
+    lengths = pc.fill_null(pc.list_value_length(positions), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = positions.flatten().to_numpy(zero_copy_only=False)
+    place = np.minimum(flat + 1, LAST_POSITION)
+    of = np.repeat(np.arange(len(lengths)), lengths)
+    if not ((np.diff(flat) > 0) | (np.diff(of) > 0)).all():
+        # Positions that are not in order, each once.
+        order = np.lexsort((place, of))
+        of, place = of[order], place[order]
+    new = np.ones(len(place), bool)
+    new[1:] = (np.diff(of) > 0) | (np.diff(place) != 0)
+    return np.minimum(np.bincount(of[new], minlength=len(lengths)), MOST_POSITIONS)
+
+
 def rank_near(positions: list[Column]) -> Column:
     """Score of a conjunction or phrase: 1 - prod(1 - s) over all pairs of occurrences of
     different words, s falling with their distance; a missing word has no pairs.
